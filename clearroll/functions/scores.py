@@ -11,21 +11,27 @@ from .text import col, is_present, present, word_overlap
 PRECISION = 12
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def weight_of(key: str | Column, weights: dict[str, float], default: float) -> Column:
-    """Weight of a key as a CASE expression, so it stays inside code generation."""
-    case = None
-    for name, weight in weights.items():
-        hit = col(key) == name
-        case = F.when(hit, F.lit(float(weight))) if case is None else case.when(hit, F.lit(float(weight)))
-    return case.otherwise(F.lit(float(default))) if case is not None else F.lit(float(default))
+    """Weight of a key, ``default`` for any other.
+
+    A literal map is one expression to build, however many entries it has.
+    """
+    if not weights:
+        return F.lit(float(default))
+    entries = ", ".join(f"{_quoted(k)}, double('{float(v)!r}')" for k, v in weights.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), col(key)), F.lit(float(default)))
 
 
 def label_of(key: str | Column, labels: dict[str, str], default: str | None) -> Column:
-    case = None
-    for name, label in labels.items():
-        hit = col(key) == name
-        case = F.when(hit, F.lit(label)) if case is None else case.when(hit, F.lit(label))
-    return case.otherwise(F.lit(default)) if case is not None else F.lit(default)
+    if not labels:
+        return F.lit(default).cast("string")
+    entries = ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in labels.items())
+    found = F.try_element_at(F.expr(f"map({entries})"), col(key))
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def stable(c: Column) -> Column:
@@ -157,11 +163,8 @@ def source_reliability(source: str | Column) -> Column:
 
 
 def risk_of(action: str | Column) -> Column:
-    case = None
-    for level, actions in K.RISK_ACTIONS.items():
-        hit = col(action).isin(*actions)
-        case = F.when(hit, F.lit(level)) if case is None else case.when(hit, F.lit(level))
-    return case.otherwise(F.lit(K.DEFAULT_RISK))
+    levels = {action: level for level, actions in K.RISK_ACTIONS.items() for action in actions}
+    return label_of(action, levels, K.DEFAULT_RISK)
 
 
 def mean_field_confidence(scores: str | Column) -> Column:

@@ -8,6 +8,9 @@ Every check answers in one shape, the source result::
 as a column of the record's own row (``*_answer``) or as a table of its own
 (``check_*``).  A field that a source knows but leaves empty is still listed,
 with a NULL value.
+
+Registry, licenses and enrichment are keyed tables (``unique=True`` states it); a
+geocode table may list an address twice and is reduced first by default.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ def as_results(df: DataFrame, answer: str) -> DataFrame:
 # -- registry ----------------------------------------------------------------
 
 
-def with_registry(records: DataFrame, registry: DataFrame, unique: bool = False, **skew) -> DataFrame:
+def with_registry(records: DataFrame, registry: DataFrame, unique: bool = True, **skew) -> DataFrame:
     npi = text.digits_only("npi_number")
     key = F.when(F.length(npi) == 10, npi)
     return attach(records, registry, key, F.col("npi_number"), "registry", "provider_id", unique, **skew)
@@ -73,7 +76,7 @@ def registry_answer(hit: str = "registry") -> Column:
     return _answer(K.CHECK_REGISTRY, ok, error, _fields(values, K.REGISTRY_CONFIDENCE))
 
 
-def check_registry(records: DataFrame, registry: DataFrame, unique: bool = False, **skew) -> DataFrame:
+def check_registry(records: DataFrame, registry: DataFrame, unique: bool = True, **skew) -> DataFrame:
     found = with_registry(records, registry, unique, **skew)
     return as_results(found.withColumn("answer", registry_answer()), "answer")
 
@@ -151,7 +154,7 @@ def address_place_check(hit: str = "geocode", limit_m: float = 100.0) -> Column:
 # -- license ---------------------------------------------------------------------
 
 
-def with_license(records: DataFrame, licenses: DataFrame, unique: bool = False, **skew) -> DataFrame:
+def with_license(records: DataFrame, licenses: DataFrame, unique: bool = True, **skew) -> DataFrame:
     def key() -> Column:
         number = text.license_key("license_number")
         return F.when(number.isNotNull(), F.concat_ws("|", number, F.upper(F.trim("license_state"))))
@@ -174,7 +177,7 @@ def license_answer(hit: str = "license") -> Column:
     return _answer(K.CHECK_LICENSE, ok, error, _fields(values, K.LICENSE_CONFIDENCE))
 
 
-def check_license(records: DataFrame, licenses: DataFrame, unique: bool = False, **skew) -> DataFrame:
+def check_license(records: DataFrame, licenses: DataFrame, unique: bool = True, **skew) -> DataFrame:
     found = with_license(records, licenses, unique, **skew)
     return as_results(found.withColumn("answer", license_answer()), "answer")
 
@@ -193,7 +196,7 @@ def license_status_check(hit: str = "license") -> Column:
 # -- enrichment, documents, e-mail, phone --------------------------------------------
 
 
-def with_enrichment(records: DataFrame, enrichment: DataFrame, unique: bool = False, **skew) -> DataFrame:
+def with_enrichment(records: DataFrame, enrichment: DataFrame, unique: bool = True, **skew) -> DataFrame:
     return attach(
         records, enrichment, F.col("provider_id"), F.col("provider_id"), "extra", "provider_id", unique, **skew
     )
@@ -210,7 +213,7 @@ def enrichment_answer(hit: str = "extra") -> Column:
     return _answer(K.CHECK_ENRICHMENT, F.lit(True), F.lit(None).cast("string"), _fields(values, K.ENRICHMENT_CONFIDENCE))
 
 
-def enrich(records: DataFrame, enrichment: DataFrame, unique: bool = False, **skew) -> DataFrame:
+def enrich(records: DataFrame, enrichment: DataFrame, unique: bool = True, **skew) -> DataFrame:
     found = with_enrichment(records, enrichment, unique, **skew)
     return as_results(found.withColumn("answer", enrichment_answer()), "answer")
 

@@ -81,9 +81,9 @@ def attach(
         return spread.join(payload, F.col("_key") == F.col("_rkey"), "left").drop("_key", "_rkey")
 
     reduced = payload.groupBy("_rkey").agg(F.min(alias).alias(alias))
-    hot = F.broadcast(hot_keys(keyed, "_key", sample, hits).withColumnRenamed("_key", "_hot"))
+    hot = hot_keys(keyed, "_key", sample, hits).withColumnRenamed("_key", "_hot")
     salted = (
-        keyed.join(hot, F.col("_key") == F.col("_hot"), "left")
+        keyed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
         .withColumn(
             "_salt",
             F.when(
@@ -94,16 +94,12 @@ def attach(
         .withColumn("_key", F.coalesce("_key", own))
         .drop("_hot")
     )
+    spread = F.broadcast(
+        hot.select("_hot", F.explode(F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1))).alias("_rsalt"))
+    )
     copies = (
-        reduced.join(hot, F.col("_rkey") == F.col("_hot"), "left")
-        .withColumn(
-            "_rsalt",
-            F.explode(
-                F.when(
-                    F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1))
-                ).otherwise(F.array(F.lit(0)))
-            ),
-        )
+        reduced.join(spread, F.col("_rkey") == F.col("_hot"), "left")
+        .withColumn("_rsalt", F.coalesce("_rsalt", F.lit(0)))
         .drop("_hot")
     )
     return salted.join(

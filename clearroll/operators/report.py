@@ -231,10 +231,11 @@ def recommendations(flags: str = "flags", found: str = "insights") -> Column:
         F.when(F.array_contains(F.col(flags), flag), F.lit(advice))
         for flag, advice in K.FLAG_RECOMMENDATIONS.items()
     ]
-    by_insight = [
-        F.when(F.exists(F.col(found), lambda i, k=kind: (i["type"] == k) & i["action_required"]), F.lit(advice))
-        for kind, advice in K.INSIGHT_RECOMMENDATIONS.items()
-    ]
+
+    def urgent(kind: str) -> Column:
+        return F.exists(F.col(found), lambda i: (i["type"] == kind) & i["action_required"])
+
+    by_insight = [F.when(urgent(kind), F.lit(advice)) for kind, advice in K.INSIGHT_RECOMMENDATIONS.items()]
     advice = F.array_compact(F.array(*by_flag, *by_insight))
     return F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit(K.DEFAULT_RECOMMENDATION)))
 

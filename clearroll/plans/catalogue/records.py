@@ -20,7 +20,7 @@ def weights_case(column: str, weights: dict[str, float], default: float) -> str:
 
 
 def r6_sql(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6)"
+    return f"round(CAST({expr} AS DOUBLE) + 1e-9, 6)"
 
 
 def ts_sql(expr: str) -> str:

@@ -59,7 +59,8 @@ def query(name: str, covers: str, views: str = "", sql: str | None = None):
 
 
 def r6(c: str | Column) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Six digits; the nudge keeps exact halves from depending on how an engine rounds."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(1e-9), 6)
 
 
 def ts(c: str | Column) -> Column:

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # plans here are large expressions; recording a call site per Column is slow
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

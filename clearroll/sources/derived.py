@@ -10,6 +10,7 @@ Every view is row-local or a plain join/aggregate and grows with its tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -37,14 +38,19 @@ RULE_SOURCES = ["npi", "google_places", "hospital_website", "state_board"]
 REVIEWERS = ["R1", "R2", "R3"]
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Spark:
     """Rendering for Spark SQL over parquet files in a folder."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> str:
-        return f"parquet.`{self.folder}/{name}.parquet`"
+        relation = f"clearroll_input_{name}"
+        table(self.spark, self.folder, name).createOrReplaceTempView(relation)
+        return relation
 
     def div(self, a: str, b: int) -> str:
         return f"(({a}) div {b})"
@@ -87,14 +93,16 @@ class Duck:
 
 
 def _npi(d, nine: str) -> str:
-    """Nine digits and the check digit that makes all ten pass the Luhn check."""
+    """Nine digits and the check digit that makes all ten pass the Luhn check.
+
+    The text of ten digits holds, at each digit's place, the digit sum of its double.
+    """
     terms = []
     for place in range(9):
         digit = f"({d.div(nine, 10 ** (8 - place))} % 10)"
-        if place % 2 == 0:
-            terms.append(f"(2 * {digit} - CASE WHEN {digit} >= 5 THEN 9 ELSE 0 END)")
-        else:
-            terms.append(digit)
+        terms.append(
+            f"CAST(substr('0246813579', CAST({digit} + 1 AS INT), 1) AS INT)" if place % 2 == 0 else digit
+        )
     total = " + ".join(terms)
     return f"CAST(({nine}) * 10 + (10 - ({total}) % 10) % 10 AS STRING)"
 
@@ -103,9 +111,13 @@ def _nine(k: str) -> str:
     return f"(100000000 + (({k}) * 7919) % 900000000)"
 
 
-def people(d) -> str:
-    """True facts about every customer, before any error is put in."""
+def people(d, copied: bool = False) -> str:
+    """True facts about every customer, before any error is put in.
+
+    With ``copied`` the records of class 7 carry the number of an earlier one.
+    """
     k = "c_custkey"
+    owner = f"({k} - CASE WHEN {k} % 10 = 7 THEN 7 ELSE 0 END)" if copied else k
     return f"""
 SELECT {k} AS k,
        {k} % 10 AS class,
@@ -113,8 +125,7 @@ SELECT {k} AS k,
        concat('P', CAST({k} AS STRING)) AS provider_id,
        {d.pick(f"{k} % 20", GIVEN)} AS given_name,
        {d.pick(f"{d.div(k, 20)} % 20", FAMILY)} AS family_name,
-       {_npi(d, _nine(k))} AS npi_number,
-       {_npi(d, _nine(f"{k} - 7"))} AS earlier_npi,
+       {_npi(d, "nine")} AS npi_number,
        {d.pick("c_nationkey", STATES)} AS state,
        {d.pick("c_nationkey", CITIES)} AS city,
        CAST(10000 + ({k} * 37) % 90000 AS STRING) AS zip,
@@ -130,7 +141,7 @@ SELECT {k} AS k,
             ELSE 'Internal Medicine' END AS taxonomy,
        CAST(25 + (({k} * 13) % 2400) / 100e0 AS DOUBLE) AS lat,
        CAST(-70 - (({k} * 17) % 5000) / 100e0 AS DOUBLE) AS lng
-FROM {d.table("customer")}"""
+FROM (SELECT *, {_nine(owner)} AS nine FROM {d.table("customer")}) c"""
 
 
 def directory(d) -> str:
@@ -146,7 +157,7 @@ def directory(d) -> str:
     return f"""
 SELECT k, class, provider_id, given_name, family_name,
        CASE class WHEN 4 THEN {d.pick("k % 4", FAKE_NPIS)}
-                  WHEN 7 THEN earlier_npi ELSE npi_number END AS npi_number,
+                  ELSE npi_number END AS npi_number,
        taxonomy AS primary_taxonomy,
        concat(family_name, ' ', taxonomy) AS practice_name,
        CASE WHEN class = 5 THEN concat(street, ' (MOVED)') ELSE street END AS address_street,
@@ -170,7 +181,7 @@ SELECT k, class, provider_id, given_name, family_name,
             WHEN 40 + (k * 37) % 61 >= 80 THEN 'valid'
             WHEN 40 + (k * 37) % 61 >= 60 THEN 'warning' ELSE 'invalid' END AS validation_status,
        {flags} AS flag_codes
-FROM ({people(d)}) p"""
+FROM ({people(d, copied=True)}) p"""
 
 
 def registry(d) -> str:
@@ -360,11 +371,15 @@ VIEWS = {
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived relation over the parquet tables of a folder."""
-    return spark.sql(VIEWS[name](Spark(folder.rstrip("/"))))
+    return spark.sql(VIEWS[name](Spark(spark, folder.rstrip("/"))))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """An input table; the footers are read for the schema once per path only."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def with_views(*names: str) -> str:
