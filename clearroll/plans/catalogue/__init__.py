@@ -2,6 +2,6 @@
 
 from .registry import QUERIES, query
 
-from . import records, checking, directory, monitoring, privacy, documents  # noqa: E402,F401
+from . import records, checking, directory, monitoring, privacy, documents, streams  # noqa: E402,F401
 
 __all__ = ["QUERIES", "query"]
