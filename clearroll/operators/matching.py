@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -30,35 +30,101 @@ def mark_duplicates(df: DataFrame, key: str = "npi_number", tie: str = "provider
     ).drop("_dup")
 
 
+def _segments(size: Column, pieces: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of piece i when ``size`` characters are cut evenly."""
+    base = F.floor(size / pieces)
+    short_ones = pieces - (size - base * pieces)
+    extra = F.greatest(i - short_ones, F.lit(0))
+    return i * base + extra, base + F.when(i >= short_ones, 1).otherwise(0)
+
+
+def _signature(edits: Column, size: Column, i: Column, piece: Column) -> Column:
+    return F.concat_ws(":", edits.cast("string"), size.cast("string"), i.cast("string"), piece)
+
+
 def near_names(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Distinct names with a near-same name in the same state and with the same initials.
 
     state, name, records, near_names, nearest, similarity.  Records with one and the
     same name are counted together first, so what is compared are names, not records,
-    and a name that a third of all records have is one row.  Names are compared within
-    (state, initials) and only where their lengths could allow the threshold; per name
-    only its best partner and the number of partners leave the aggregate.
+    and a name that a third of all records have is one row.
+
+    Two names are near when they differ by at most e edits, e = (1 - threshold) x the
+    longer length.  Cut the shorter one into e + 1 pieces: an edit can spoil only one
+    piece, so one piece at least stands unchanged in the longer name, moved by at most e
+    places.  Names meet on such a piece (an equi-join on state, initials, piece, place and
+    length), never all with all; only pairs that meet are measured.  Per name its best
+    partner and the number of partners leave the aggregate.
     """
+    slack = 1 - threshold
     name = F.lower(text.collapse_spaces(text.full_name()))
     names = (
-        df.select(F.col("address_state").alias("state"), name.alias("name"), F.lower(F.left("given_name", F.lit(1))).alias("gi"),
-                  F.lower(F.left("family_name", F.lit(1))).alias("fi"))
+        df.select(
+            F.col("address_state").alias("state"),
+            name.alias("name"),
+            F.lower(F.concat(F.left("given_name", F.lit(1)), F.left("family_name", F.lit(1)))).alias("initials"),
+        )
         .where(text.is_present("name") & F.col("state").isNotNull())
-        .groupBy("state", "gi", "fi", "name")
+        .groupBy("state", "initials", "name")
         .agg(F.count(F.lit(1)).alias("records"))
+        .withColumn("size", F.length("name"))
+    )
+    size = F.col("size")
+
+    def edits_of(n: Column) -> Column:
+        return F.floor(n * F.lit(slack) + F.lit(1e-9)).cast("int")
+
+    def cut(e: Column) -> Column:
+        def piece(i: Column) -> Column:
+            start, length = _segments(size, e + 1, i)
+            return _signature(e, size, i, F.substr("name", start + 1, length))
+
+        return F.transform(F.sequence(F.lit(0), e), piece)
+
+    longest = F.floor(size / F.lit(threshold) + F.lit(1e-9)).cast("int")
+    every_e = F.sequence(F.greatest(edits_of(size), F.lit(1)), F.greatest(edits_of(longest), F.lit(1)))
+    cut_up = names.where(edits_of(longest) >= 1).select(
+        "state", "initials", F.col("name").alias("near"), F.col("records").alias("near_records"),
+        F.explode(F.array_distinct(F.flatten(F.transform(every_e, cut)))).alias("signature"),
+    )
+
+    e = edits_of(size)
+
+    def windows_of(shorter: Column) -> Column:
+        def of_piece(i: Column) -> Column:
+            start, length = _segments(shorter, e + 1, i)
+            places = F.filter(
+                F.sequence(-e, e), lambda move: (start + move >= 0) & (start + move + length <= size)
+            )
+            return F.transform(
+                places, lambda move: _signature(e, shorter, i, F.substr("name", start + move + 1, length))
+            )
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), e), of_piece))
+
+    probes = names.where(e >= 1).select(
+        "state", "initials", "name", "records",
+        F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(size - e, size), windows_of)))).alias("signature"),
     )
-    other = names.select("state", "gi", "fi", F.col("name").alias("near"), F.length("name").alias("near_size"))
-    size = F.length("name")
-    longer = F.greatest(size, F.col("near_size"))
-    close = F.abs(size - F.col("near_size")) <= longer * (1 - threshold)
-    similarity = scores.stable(text.name_similarity("name", "near"))
-    pairs = (
-        names.join(other, ["state", "gi", "fi"])
-        .where((F.col("name") != F.col("near")) & close)
-        .withColumn("similarity", similarity)
+    met = (
+        probes.join(cut_up, ["state", "initials", "signature"])
+        .where(F.col("name") != F.col("near"))
+        .select("state", "name", "records", "near", "near_records")
+        .distinct()
+        .withColumn("similarity", scores.stable(text.name_similarity("name", "near")))
         .where(F.col("similarity") >= threshold)
     )
-    return pairs.groupBy("state", "name", "records").agg(
+    both_ways = met.select(
+        "state",
+        "similarity",
+        F.explode(
+            F.array(
+                F.struct(F.col("name").alias("name"), F.col("records").alias("records"), F.col("near").alias("near")),
+                F.struct(F.col("near").alias("name"), F.col("near_records").alias("records"), F.col("name").alias("near")),
+            )
+        ).alias("p"),
+    ).select("state", "similarity", "p.*").distinct()
+    return both_ways.groupBy("state", "name", "records").agg(
         F.count(F.lit(1)).alias("near_names"),
         F.min(F.struct((-F.col("similarity")).alias("s"), F.col("near").alias("n"))).alias("best"),
     ).select(
@@ -73,29 +139,34 @@ def best_address_match(
     """Per query the candidate with the highest match confidence, and the next ones.
 
     ``asked`` has the query id, ``address`` and the block column; ``candidates`` the
-    block column, ``formatted_address``, ``place_id`` and ``types``.  Candidates are
-    ranked per query with the cut made before the exchange; suggestions are listed
-    only below a confidence of .8.
+    block column, ``formatted_address``, ``place_id`` and ``types``.  Equal addresses are
+    asked once, however many records share one, and the answer is looked up by address.
+    Candidates are ranked per address with the cut made before the exchange; suggestions
+    are listed only below a confidence of .8.
     """
-    pairs = asked.select(query, "address", block).join(candidates, block)
+    question = F.concat_ws("\x01", block, "address")
+    questions = asked.where(F.col(block).isNotNull() & F.col("address").isNotNull()).withColumn("_q", question)
+    pairs = questions.select("_q", "address", block).distinct().join(candidates.distinct(), block)
     confidence = scores.stable(scores.address_match_confidence(F.col("types"), "formatted_address", "address"))
-    order = Window.partitionBy(query).orderBy(F.col("confidence").desc(), "formatted_address", "place_id")
+    order = Window.partitionBy("_q").orderBy(F.col("confidence").desc(), "formatted_address", "place_id")
     ranked = (
         pairs.withColumn("confidence", confidence)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= suggestions + 1)
     )
     entry = F.struct("rank", "formatted_address", "place_id", "confidence", scores.address_type_ok(F.col("types")).alias("valid"))
-    grouped = ranked.groupBy(query).agg(F.sort_array(F.collect_list(entry)).alias("all"))
-    best = F.element_at("all", 1)
-    rest = F.slice("all", 2, suggestions)
-    return grouped.select(
+    grouped = ranked.groupBy("_q").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+    answered = attach(questions, grouped, F.col("_q"), F.col("_q"), "_a", query)
+    every = F.col("_a.all")
+    best = F.try_element_at(every, F.lit(1))
+    rest = F.slice(every, 2, suggestions)
+    return answered.where(F.col("_a").isNotNull()).select(
         query,
         best["formatted_address"].alias("formatted_address"),
         best["place_id"].alias("place_id"),
         best["valid"].alias("valid"),
         best["confidence"].alias("confidence"),
-        F.when(best["confidence"] < 0.8, rest).otherwise(F.slice("all", 1, 0)).alias("suggestions"),
+        F.when(best["confidence"] < 0.8, rest).otherwise(F.slice(every, 1, 0)).alias("suggestions"),
     )
 
 

@@ -142,16 +142,17 @@ def quality_score(results: DataFrame, records: DataFrame) -> DataFrame:
     """High-confidence results per record; may exceed 1.  Two one-row aggregates."""
     high = results.agg(F.count_if(F.col("overall_confidence") >= K.HIGH).alias("high"))
     total = records.agg(F.count(F.lit(1)).alias("records"))
-    return both(high, total).select(
+    return side_by_side(high, total).select(
         "high", "records", scores.ratio(F.col("high"), F.col("records")).alias("quality_score")
     )
 
 
-def both(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two one-row results side by side, joined on a constant key."""
-    return (
-        left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    )
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row results as one row: stacked and reduced, so no join is needed."""
+    whole = rows[0]
+    for row in rows[1:]:
+        whole = whole.unionByName(row, allowMissingColumns=True)
+    return whole.agg(*[F.max(c).alias(c) for c in whole.columns])
 
 
 def flagged_count(records: DataFrame, code: str, column: str = "flag_codes") -> DataFrame:
@@ -241,7 +242,7 @@ def failure_rate(jobs: DataFrame) -> DataFrame:
 
 
 def dashboard_metrics(records: DataFrame, results: DataFrame, jobs: DataFrame, log: DataFrame, as_of: str) -> DataFrame:
-    """The key-figure row: one aggregate per table, then four one-row joins."""
+    """The key-figure row: one aggregate per table, four rows made one."""
     end = F.lit(as_of).cast("timestamp")
     hour = F.expr("make_dt_interval(0, 1)")
     week = F.expr("make_dt_interval(7)")
@@ -273,7 +274,7 @@ def dashboard_metrics(records: DataFrame, results: DataFrame, jobs: DataFrame, l
         scores.ratio(F.count_if(F.col("cache") == "hit") * 100, F.count("cache")).alias("cache_hit_rate"),
         scores.ratio(F.sum("duration_seconds"), F.count("duration_seconds")).alias("external_api_avg_duration"),
     )
-    row = both(both(of_results, of_records), both(of_jobs, of_log))
+    row = side_by_side(of_results, of_records, of_jobs, of_log)
     health = scores.health_score("manual_review_queue_length", "active_workers", "failed_jobs")
     return (
         row.withColumn("data_quality_score", scores.ratio(F.col("_high"), F.col("_records")))

@@ -17,6 +17,9 @@ from .. import constants as K
 from ..functions import scores
 
 
+ISLANDS_PER_TASK = 4096
+
+
 def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -103,7 +106,7 @@ def greedy_spans(ticks: DataFrame, keys: list[str], tick: str, weight: str, widt
     A pause of at least the width always ends a span, so the ticks between two such
     pauses form an island of its own.  An island shorter than the width is one span,
     a plain aggregate; only longer islands, where each span depends on the one before,
-    are folded tick by tick.
+    are folded tick by tick, many consecutive islands in one call.
     """
     w = (width if isinstance(width, Column) else F.lit(width)).cast("bigint")
     order = Window.partitionBy(*keys).orderBy(tick)
@@ -137,7 +140,8 @@ def greedy_spans(ticks: DataFrame, keys: list[str], tick: str, weight: str, widt
         out[weight] = np.add.reduceat(counts, starts)
         return out
 
-    long = sized.where(~short).groupBy(*keys, "_island").applyInPandas(fold, schema)
+    many = F.floor(F.col("_island") / ISLANDS_PER_TASK).alias("_islands")
+    long = sized.where(~short).groupBy(*keys, many).applyInPandas(fold, schema)
     return brief.unionByName(long)
 
 
