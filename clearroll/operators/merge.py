@@ -163,53 +163,49 @@ def best_field_summary(results: DataFrame) -> DataFrame:
 # check), merging needs no shuffle at all.
 
 
-def _entries(answers: Column) -> Column:
-    """All (field, weighted, rank, raw, source, value) of the successful answers."""
+def _entries(answers: Column, lead: str) -> Column:
+    """All (field, lead, rank, ...) of the successful answers, ordered by field, then lead."""
 
     def of_answer(a: Column) -> Column:
-        return F.transform(
-            a["fields"],
-            lambda f: F.struct(
+        weight, rank = _source_weight(a["source"]), _source_rank(a["source"])
+
+        def entry(f: Column) -> Column:
+            weighted = f["confidence"] * weight
+            return F.struct(
                 f["field"].alias("field"),
-                scores.stable(f["confidence"] * _source_weight(a["source"])).alias("weighted"),
-                _source_rank(a["source"]).alias("rank"),
-                f["confidence"].alias("raw"),
-                a["source"].alias("source"),
+                (weighted if lead == "weighted" else f["confidence"]).alias("lead"),
+                rank.alias("rank"),
                 f["value"].alias("value"),
-            ),
-        )
+                a["source"].alias("source"),
+                weighted.alias("weighted"),
+                f["confidence"].alias("raw"),
+            )
+
+        return F.transform(a["fields"], entry)
+
+    return F.array_sort(F.flatten(F.transform(F.filter(answers, lambda a: a["success"]), of_answer)))
+
+
+def _last_of_each_field(entries: Column) -> Column:
+    """The greatest entry per field of an ordered array: the one before the field changes."""
+    return F.filter(
+        entries, lambda e, i: ~F.coalesce(F.get(entries, i + 1)["field"] == e["field"], F.lit(False))
+    )
 
-    return F.flatten(F.transform(F.filter(answers, lambda a: a["success"]), of_answer))
-
-
-def _best_by(entries: Column, lead: str) -> Column:
-    """Per field the entry that is greatest by ``lead``, then by source rank."""
-    names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["field"])))
-
-    def best(name: Column) -> Column:
-        ranked = F.transform(
-            F.filter(entries, lambda e: e["field"] == name),
-            lambda e: F.struct(
-                e[lead].alias("lead"),
-                e["rank"].alias("rank"),
-                e["field"].alias("field"),
-                e["value"].alias("value"),
-                e["source"].alias("source"),
-                e["weighted"].alias("weighted"),
-                e["raw"].alias("raw"),
-            ),
-        )
-        return F.array_max(ranked)
 
-    return F.transform(names, best)
+def _best(answers: str, lead: str) -> Column:
+    # a one-element array names the ordered entries, so that they are computed once
+    return F.transform(F.array(_entries(F.col(answers), lead)), _last_of_each_field)[0]
 
 
 def merged_in_row(answers: str = "answers") -> Column:
-    return _best_by(_entries(F.col(answers)), "weighted")
+    """Per field the entry with the highest confidence x source weight, fields in order."""
+    return _best(answers, "weighted")
 
 
 def best_in_row(answers: str = "answers") -> Column:
-    return _best_by(_entries(F.col(answers)), "raw")
+    """Per field the entry with the highest raw confidence, fields in order."""
+    return _best(answers, "raw")
 
 
 def weighted_mean_in_row(fields: Column, score: str) -> Column:

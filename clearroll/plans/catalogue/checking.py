@@ -27,7 +27,7 @@ GEO_SCORE = weights_case("g.location_type", K.GEOMETRY_CONFIDENCE, 0.5)
 
 
 def tables(t):
-    return t.directory, t.registry, t.geocodes, t.licenses, t.enrichment, t.document_fields
+    return t.wide(t.directory, "provider_id"), t.registry, t.geocodes, t.licenses, t.enrichment, t.document_fields
 
 
 # -- the five checks, as rows ------------------------------------------------------------

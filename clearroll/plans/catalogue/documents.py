@@ -52,7 +52,7 @@ FOUND = " UNION ALL ".join(find_sql(*n) for n in NUMBERED)
 
 @query("document_fields", "F22 F23 F24 X3", "", FOUND.replace("{source}", "documents"))
 def _(t):
-    done = documents.extract_document_fields(t.raw("documents"))
+    done = documents.extract_document_fields(t.wide(t.raw("documents"), "doc_id"))
     return done.select(
         "doc_id", "field", F.col("pattern_no").cast("bigint").alias("pattern_no"), "value", r6("confidence").alias("confidence")
     )
@@ -70,7 +70,7 @@ def letters(t):
         F.lit("Phone: "), "phone_primary", nl, F.lit("License: "), "license_number", nl, F.lit("Email: "), "email", nl,
         F.lit("Specialty: "), "primary_taxonomy", F.lit(" | end"),
     )
-    return t.directory.select(F.col("k").alias("doc_id"), body.alias("text"))
+    return t.wide(t.directory.select(F.col("k").alias("doc_id"), body.alias("text")), "doc_id")
 
 
 @query("letter_fields", "F22 F23 F24", "directory", FOUND.replace("{source}", LETTER))
@@ -139,7 +139,7 @@ AD = '(?is)<div class="ad">(.*?)</div\\s*>'
        f"""SELECT page_id, {first_sql('title')} AS title, {first_sql('h1')} AS heading, CAST(len(regexp_extract_all(html, '{TAG.format(tag='p')}', 1)) AS BIGINT) AS paragraphs,
   CASE WHEN regexp_matches(html, '{AD}') THEN {plain_sql(f"regexp_extract(html, '{AD}', 1)")} END AS ad, regexp_matches(html, '(?i)<nav[ >]') AS has_nav FROM pages""")
 def _(t):
-    return t.raw("pages").select(
+    return t.wide(t.raw("pages"), "page_id").select(
         "page_id",
         html.select_text("html", "title").alias("title"),
         html.select_text("html", "h1").alias("heading"),
