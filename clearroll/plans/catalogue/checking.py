@@ -8,6 +8,7 @@ from ... import constants as K
 from ...functions import scores, text
 from ...operators import checks, edits, matching, merge, report, rules
 from ...plans import validate
+from ...sources import sinks
 from ...sources.derived import AS_OF, KNOWN_DOMAINS
 from .records import PHONE, luhn_sql, r6_sql, status_sql, weights_case
 from .registry import joined_list, query, r6
@@ -487,8 +488,7 @@ JOIN (SELECT provider_id, sum(CASE WHEN success THEN 0 ELSE 1 END) AS failed,
 ADVICE = K.FLAG_RECOMMENDATIONS
 
 
-@query("validation_reports", "A13 A14 A15 A15b A16 A17 A18", SOURCES,
-       f"""SELECT provider_id, CAST(n AS BIGINT) AS total_fields, CAST(vals AS BIGINT) AS validated_fields, CAST(hi AS BIGINT) AS high_fields,
+REPORT_SQL = f"""SELECT provider_id, CAST(n AS BIGINT) AS total_fields, CAST(vals AS BIGINT) AS validated_fields, CAST(hi AS BIGINT) AS high_fields,
   CAST(med AS BIGINT) AS medium_fields, CAST(lo AS BIGINT) AS low_fields, CAST(failed AS BIGINT) AS failed_validations, {r6_sql('c')} AS confidence,
   {status_sql('c')} AS status,
   concat_ws(',', CASE WHEN missing IS NOT NULL THEN 'missing_critical_field' END, CASE WHEN lo > n * 0.5e0 THEN 'low_confidence' END,
@@ -505,7 +505,10 @@ ADVICE = K.FLAG_RECOMMENDATIONS
     CASE WHEN mail_bad THEN '{ADVICE["invalid_email"]}' END, CASE WHEN street_gone THEN '{ADVICE["address_not_found"]}' END,
     CASE WHEN docs_bad THEN '{ADVICE["ocr_failed"]}' END, CASE WHEN missing IS NOT NULL THEN '{K.INSIGHT_RECOMMENDATIONS["missing_critical_fields"]}' END,
     CASE WHEN failed > 0 THEN '{K.INSIGHT_RECOMMENDATIONS["failed_validations"]}' END), ''), '{K.DEFAULT_RECOMMENDATION}') AS advice
-FROM ({REPORT_BASE}) r""")
+FROM ({REPORT_BASE}) r"""
+
+
+@query("validation_reports", "A13 A14 A15 A15b A16 A17 A18", SOURCES, REPORT_SQL)
 def _(t):
     reports = validate.report_records(*tables(t), as_of=AS_OF)
     grave = F.filter("insights", lambda i: i["severity"].isin("critical", "error"))
@@ -522,6 +525,32 @@ def _(t):
     )
 
 
+@query("report_digests", "S10", SOURCES,
+       f"SELECT provider_id, '2024-01-31T00:00:00' AS generated_at, status, flags, critical, advice FROM ({REPORT_SQL}) v")
+def _(t):
+    digests = sinks.report_digest(validate.report_records(*tables(t), as_of=AS_OF))
+    return digests.select(
+        "provider_id", "generated_at", F.col("summary.validation_status").alias("status"),
+        joined_list("flags", ",").alias("flags"),
+        joined_list(F.transform("critical_insights", lambda i: i["title"]), ",").alias("critical"),
+        joined_list("recommendations").alias("advice"),
+    )
+
+
+@query("report_json", "S9", SOURCES,
+       f"SELECT provider_id, '2024-01-31T00:00:00' AS generated_at, status, CAST(total_fields AS STRING) AS total_fields, split_part(flags, ',', 1) AS first_flag FROM ({REPORT_SQL}) v")
+def _(t):
+    texts = sinks.report_json(validate.report_records(*tables(t), as_of=AS_OF))
+
+    def at(path: str):
+        return F.get_json_object("json", path)
+
+    return texts.select(
+        "provider_id", at("$.generated_at").alias("generated_at"), at("$.summary.validation_status").alias("status"),
+        at("$.summary.total_fields").alias("total_fields"), F.coalesce(at("$.flags[0]"), F.lit("")).alias("first_flag"),
+    )
+
+
 # -- duplicates and candidates --------------------------------------------------------------------------
 
 

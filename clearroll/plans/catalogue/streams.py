@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from ...functions.scores import label_of
 from ...operators import audit, windows
+from ...schema import BATCH_FIELDS
+from ...sources import files
 from ...streaming import (
     alert_stream, drain, high_risk_stream, job_progress_stream, latest_updates, request_limit_stream,
-    retryable_requests, session_stream, stream_table, unique_requests, validation_rate_stream,
+    retry_failed, retryable_requests, session_stream, stream_table, unique_requests, validate_arrivals,
+    validation_rate_stream,
 )
+from ...streaming.run import work_folder
 from .monitoring import BREACHES, TICK_RULES, tick_metrics
 from .privacy import RISK
-from .records import r6_sql, ts_sql
-from .registry import query, r6, ts
+from .records import CANONICAL, ERRORS, r6_sql, ts_sql
+from .registry import joined_list, query, r6, ts
 
 ACTIONS = {
     "click": "provider.read", "view": "validation.review", "purchase": "pii.reveal",
@@ -106,8 +110,6 @@ f AS (SELECT rule, severity, minutes, min(tick) AS fired_at FROM b GROUP BY rule
   UNION ALL SELECT f.rule, f.severity, f.minutes, (SELECT min(tick) FROM b WHERE b.rule = f.rule AND b.tick >= f.fired_at + to_minutes(f.minutes)) FROM f
   WHERE f.fired_at IS NOT NULL) SELECT * FROM f WHERE fired_at IS NOT NULL) z""")
 def _(t):
-    from ...streaming.run import work_folder
-
     breaches = windows.rule_breaches(tick_metrics(t), TICK_RULES)
     folder = work_folder(t.spark, "ticks")
     breaches.write.parquet(folder)
@@ -115,6 +117,56 @@ def _(t):
     return drain(alert_stream(arriving)).select("rule", "severity", ts("fired_at").alias("fired_at"))
 
 
+CSV_HEADERS = {
+    "provider_id": "Id", "given_name": "First_Name", "family_name": "LastName", "npi_number": "NPI", "phone_primary": "Telephone",
+    "email": "E_Mail", "license_number": "License_No", "address_zip": "Zip_Code",
+}
+
+
+def csv_files(t) -> str:
+    """The directory written out as CSV files with headers of another make."""
+    target = work_folder(t.spark, "csv")
+    named = t.directory.select(*[F.col(c).alias(h) for c, h in CSV_HEADERS.items()])
+    named.write.csv(target, header=True, escape='"')
+    return target
+
+
+@query("csv_round_trip", "S1 S2 S4", "directory", f"SELECT provider_id, {ERRORS} AS errors, true AS complete FROM ({CANONICAL}) c")
+def _(t):
+    target = csv_files(t)
+    raw = t.spark.read.csv(target, header=True, escape='"')
+    told = files.check_structure(raw.withColumnsRenamed({"First_Name": "given_name", "LastName": "family_name"}))
+    checked = files.read_directory_csv(t.spark, target)
+    return checked.rows.select("provider_id", joined_list("errors").alias("errors"), F.lit(told["valid"]).alias("complete"))
+
+
+@query("json_round_trip", "S6", "directory", "SELECT provider_id, given_name, email, document_path FROM directory")
+def _(t):
+    target = work_folder(t.spark, "json")
+    t.directory.select(*BATCH_FIELDS, F.lit("ignored").alias("other")).write.json(target)
+    return files.read_batch_json(t.spark, target).select("provider_id", "given_name", "email", "document_path")
+
+
+@query("arriving_files", "M8 S1", "directory", f"SELECT provider_id, CASE WHEN {ERRORS} = '' THEN 'good' ELSE 'bad' END AS outcome FROM ({CANONICAL}) c")
+def _(t):
+    base = work_folder(t.spark, "arrivals")
+    schema = ", ".join(f"{h} string" for h in CSV_HEADERS.values())
+    validate_arrivals(t.spark, csv_files(t), schema, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    parts = [
+        t.spark.read.parquet(f"{base}/out/{o}").select("provider_id", F.lit(o).alias("outcome")) for o in ("good", "bad")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("retry_tasks", "M9", "field_results",
+       """SELECT job_id AS task_id, max(line_no) + 1 AS attempt FROM field_results GROUP BY job_id
+HAVING bool_or(status = 'invalid') AND NOT bool_or(status = 'valid') AND max(line_no) < 6""")
+def _(t):
+    status = F.when(F.col("status") == "valid", "completed").when(F.col("status") == "invalid", "failed").otherwise("running")
+    attempts = t.field_results.select(F.col("job_id").alias("task_id"), status.alias("status"), F.col("line_no").alias("attempt"))
+    return retry_failed(attempts, 6)
+
+
 @query("audit_partition_totals", "S12 M5", "audit_logs",
        f"SELECT risk_level, date, CAST(count(*) AS BIGINT) AS n FROM (SELECT {RISK} AS risk_level, strftime(logged_at, '%Y-%m-%d') AS date FROM audit_logs) a GROUP BY 1, 2")
 def _(t):
