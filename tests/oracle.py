@@ -75,7 +75,8 @@ def main(argv):
     sqls = oracle_sql()
     failed = 0
     for name, run in queries().items():
-        if argv[1:] and not any(a in name for a in argv[1:]):
+        wanted = [a for a in argv[1:] if not a.startswith("-")]
+        if any(a[1:] in name for a in argv[1:] if a.startswith("-")) or (wanted and not any(a in name for a in wanted)):
             continue
         start = time.time()
         try:
