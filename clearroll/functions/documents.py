@@ -45,7 +45,7 @@ def field_confidence(field: str, value: Column, pattern: str) -> Column:
 
 def _first_good(text: Column, pattern: str) -> Column:
     """First match whose cleaned value has more than one character."""
-    flags = "(?im)"
+    flags = "(?imd)"  # only a line feed ends a line
     found = F.regexp_extract_all(text, F.lit(flags + pattern.replace("(?i)", "")), F.lit(1))
     cleaned = F.transform(found, clean_value)
     return F.try_element_at(F.filter(cleaned, lambda v: F.length(v) > 1), F.lit(1))

@@ -28,25 +28,39 @@ def sanitize_map(c: str | Column) -> Column:
     )
 
 
+# class -> (patterns, whether a dot also matches a line end)
 HOSTILE_CLASSES = {
-    "xss_attempt": XSS_PATTERNS,
-    "sql_injection_attempt": SQL_PATTERNS,
-    "path_traversal_attempt": PATH_PATTERNS,
+    "xss_attempt": (XSS_PATTERNS, True),
+    "sql_injection_attempt": (SQL_PATTERNS, False),
+    "path_traversal_attempt": (PATH_PATTERNS, False),
 }
+_TAG_LEAD = "<.*?"
 
 
-def hostile_pattern(name: str) -> str:
-    """One case-blind alternation of a class, so a text is scanned once per class."""
-    return "(?is)" + "|".join(f"(?:{p})" for p in HOSTILE_CLASSES[name])
+def _either(patterns: list[str], across_lines: bool) -> str:
+    # only a line feed ends a line
+    return ("(?is)" if across_lines else "(?id)") + "|".join(f"(?:{p})" for p in patterns)
+
+
+def _found(c: Column, name: str) -> Column:
+    """Whether any pattern of a class occurs; the text is scanned once per class.
+
+    A pattern that starts with "any < and then anything" occurs if its rest occurs after
+    the first <, so that rest is searched there, instead of from every < anew.
+    """
+    patterns, across_lines = HOSTILE_CLASSES[name]
+    rests = [p[len(_TAG_LEAD):] for p in patterns if across_lines and p.startswith(_TAG_LEAD)]
+    plain = [p for p in patterns if not (across_lines and p.startswith(_TAG_LEAD))]
+    found = c.rlike(_either(plain, across_lines))
+    if rests:
+        bracket = F.instr(c, "<")
+        found = found | ((bracket > 0) & F.substr(c, bracket + 1).rlike(_either(rests, across_lines)))
+    return F.coalesce(found, F.lit(False))
 
 
 def detect_malicious(c: str | Column) -> Column:
     """Names of the hostile classes found in a text."""
-    hits = [
-        F.when(F.coalesce(col(c).rlike(hostile_pattern(name)), F.lit(False)), F.lit(name))
-        for name in HOSTILE_CLASSES
-    ]
-    return F.array_compact(F.array(*hits))
+    return F.array_compact(F.array(*[F.when(_found(col(c), n), F.lit(n)) for n in HOSTILE_CLASSES]))
 
 
 def content_key(columns: list[str], prefix: str = "validation") -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scores, text
-from .lookup import attach
+from .lookup import attach, attach_by_id
 
 FIELD_TYPE = "array<struct<field:string,value:string,confidence:double>>"
 RESULT_COLUMNS = ["provider_id", "source", "success", "confidence", "error_message", "fields"]
@@ -196,10 +196,8 @@ def license_status_check(hit: str = "license") -> Column:
 # -- enrichment, documents, e-mail, phone --------------------------------------------
 
 
-def with_enrichment(records: DataFrame, enrichment: DataFrame, unique: bool = True, **skew) -> DataFrame:
-    return attach(
-        records, enrichment, F.col("provider_id"), F.col("provider_id"), "extra", "provider_id", unique, **skew
-    )
+def with_enrichment(records: DataFrame, enrichment: DataFrame) -> DataFrame:
+    return attach_by_id(records, enrichment, "extra", "provider_id")
 
 
 def enrichment_answer(hit: str = "extra") -> Column:
@@ -213,8 +211,8 @@ def enrichment_answer(hit: str = "extra") -> Column:
     return _answer(K.CHECK_ENRICHMENT, F.lit(True), F.lit(None).cast("string"), _fields(values, K.ENRICHMENT_CONFIDENCE))
 
 
-def enrich(records: DataFrame, enrichment: DataFrame, unique: bool = True, **skew) -> DataFrame:
-    found = with_enrichment(records, enrichment, unique, **skew)
+def enrich(records: DataFrame, enrichment: DataFrame) -> DataFrame:
+    found = with_enrichment(records, enrichment)
     return as_results(found.withColumn("answer", enrichment_answer()), "answer")
 
 
@@ -239,11 +237,8 @@ def document_answers(extracted: DataFrame) -> DataFrame:
     )
 
 
-def with_documents(records: DataFrame, extracted: DataFrame, **skew) -> DataFrame:
-    answers = document_answers(extracted)
-    return attach(
-        records, answers, F.col("provider_id"), F.col("provider_id"), "document", "provider_id", True, **skew
-    )
+def with_documents(records: DataFrame, extracted: DataFrame) -> DataFrame:
+    return attach_by_id(records, document_answers(extracted), "document", "provider_id")
 
 
 def document_answer(hit: str = "document") -> Column:

@@ -105,3 +105,15 @@ def attach(
     return salted.join(
         copies, (F.col("_key") == F.col("_rkey")) & (F.col("_salt") == F.col("_rsalt")), "left"
     ).drop("_key", "_rkey", "_salt", "_rsalt")
+
+
+def attach_by_id(left: DataFrame, right: DataFrame, alias: str, row_id: str) -> DataFrame:
+    """``left`` with the right row of the same id, both keyed by that id, as a struct.
+
+    Several such joins in a row share one exchange of ``left``, as all of them need it
+    partitioned by the same column.
+    """
+    payload = right.select(
+        F.col(row_id).alias("_rkey"), F.struct(*[F.col(c) for c in right.columns]).alias(alias)
+    )
+    return left.join(payload, F.col(row_id) == F.col("_rkey"), "left").drop("_rkey")

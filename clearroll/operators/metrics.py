@@ -6,7 +6,7 @@ status, and scalar results joined only when they are one row each.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -208,10 +208,65 @@ def histogram_quantile(df: DataFrame, value: str, bounds: list[float], q: float,
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: list[float], *by: str) -> DataFrame:
-    """Exact quantiles; the per-group state holds distinct values with counts."""
-    return df.groupBy(*by).agg(
-        *[F.percentile(F.col(value), q).alias(f"p{int(q * 100)}") for q in qs]
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], *by: str, accuracy: int = 10000) -> DataFrame:
+    """Exact quantiles with linear interpolation, for groups of any size.
+
+    Holding a group's values in one place would not scale, so each quantile is fenced in
+    first: the approximate quantiles a little below and above it have a proven rank error,
+    so the exact one lies between them.  The rows below the fence are only counted; the
+    few in the fence are counted per value and put in order.  A group of fewer than ten
+    times ``accuracy`` rows is put in order as a whole.
+    """
+    margin = 2.0 / accuracy
+    small = F.col("_n") < 10 * accuracy
+    v = F.col(value)
+    lower = [float(max(q - margin, 0.0)) for q in qs]
+    upper = [float(min(q + margin, 1.0)) for q in qs]
+    fences = df.where(v.isNotNull()).groupBy(*by).agg(
+        F.count(v).alias("_n"),
+        F.percentile_approx(v, lower + upper, accuracy).alias("_f"),
+        F.min(v).alias("_min"),
+        F.max(v).alias("_max"),
+    )
+    specs = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                (F.lit(float(q)) * (F.col("_n") - 1)).alias("rank"),
+                F.when(small | F.lit(lower[i] == 0), F.col("_min")).otherwise(F.col("_f")[i]).alias("low"),
+                F.when(small | F.lit(upper[i] == 1), F.col("_max")).otherwise(F.col("_f")[i + len(qs)]).alias("high"),
+            )
+            for i, q in enumerate(qs)
+        ]
+    )
+    keyed = fences.select(*by, specs.alias("_s"))
+    if by:
+        placed = df.where(v.isNotNull()).join(keyed, list(by))
+    else:
+        one = F.lit(1).alias("_one")
+        placed = df.where(v.isNotNull()).select("*", one).join(keyed.select("*", one), "_one").drop("_one")
+    # a row counts in a fence at its value, below a fence at NULL, above it not at all
+    hits = F.transform(
+        F.filter("_s", lambda s: v <= s["high"]),
+        lambda s: F.struct(
+            s["i"].alias("i"), s["rank"].alias("rank"), F.when(v >= s["low"], v.cast("double")).alias("v")
+        ),
+    )
+    counted = placed.select(*by, F.explode(hits).alias("h")).groupBy(*by, "h.i", "h.rank", "h.v").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    upto = F.sum("n").over(Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()))
+    ordered = counted.withColumn("upto", upto).where(F.col("v").isNotNull())
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("v")))
+
+    picked = ordered.groupBy(*by, "i").agg(
+        at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), F.max(F.col("rank") - F.floor("rank")).alias("part")
+    )
+    exact = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
+    return picked.groupBy(*by).agg(
+        *[F.max(F.when(F.col("i") == i, exact)).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)]
     )
 
 
@@ -313,8 +368,6 @@ def accuracy_by_source(results: DataFrame) -> DataFrame:
 
 def count_by_confidence_range(records: DataFrame) -> DataFrame:
     """High, medium and low counts with their share; the share is over three rows."""
-    from pyspark.sql import Window
-
     counted = records.groupBy(scores.confidence_range("overall_confidence").alias("range")).agg(
         F.count(F.lit(1)).alias("n")
     )

@@ -17,7 +17,7 @@ from .registry import query, r6
        r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), '[\x00-\x1f\x7f-\x{9f}]', '', 'g'))) AS digest,
   md5(translate(trim(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), '[\x00-\x1f\x7f-\x{9f}]', '', 'g')), '|05', 'IOS')) AS fixed FROM documents""")
 def _(t):
-    return t.raw("documents").select(
+    return t.wide(t.raw("documents"), "doc_id").select(
         "doc_id", F.md5(D.clean_text("text")).alias("digest"), F.md5(D.clean_text("text", fixups=True)).alias("fixed")
     )
 
@@ -210,4 +210,4 @@ def _(t):
   ['the', 'of', 'and', 'der', 'que', 'le', 'de', 'en'] AS b FROM documents) x""")
 def _(t):
     common = F.lit("the of and der que le de en")
-    return t.raw("documents").select("doc_id", r6(text.word_overlap("text", common)).alias("overlap"))
+    return t.wide(t.raw("documents"), "doc_id").select("doc_id", r6(text.word_overlap("text", common)).alias("overlap"))

@@ -198,13 +198,14 @@ def sql_text(s: str) -> str:
 
 
 HITS = ", ".join(
-    f"CASE WHEN regexp_matches(html, '{sql_text(guard.hostile_pattern(n))}') THEN '{n}' END" for n in guard.HOSTILE_CLASSES
+    f"CASE WHEN regexp_matches(html, '{'(?is)' if across else '(?i)'}{sql_text('|'.join(f'(?:{p})' for p in patterns))}') THEN '{n}' END"
+    for n, (patterns, across) in guard.HOSTILE_CLASSES.items()
 )
 
 
 @query("hostile_pages", "F32", "", f"SELECT page_id, concat_ws(',', {HITS}) AS classes FROM pages")
 def _(t):
-    return t.raw("pages").select("page_id", joined_list(guard.detect_malicious("html"), ",").alias("classes"))
+    return t.wide(t.raw("pages"), "page_id").select("page_id", joined_list(guard.detect_malicious("html"), ",").alias("classes"))
 
 
 DOC_HITS = HITS.replace("html", "text")
@@ -213,7 +214,7 @@ DOC_HITS = HITS.replace("html", "text")
 @query("hostile_documents", "F32", "",
        f"SELECT doc_id, concat_ws(',', {DOC_HITS}) AS classes FROM documents")
 def _(t):
-    return t.raw("documents").select("doc_id", joined_list(guard.detect_malicious("text"), ",").alias("classes"))
+    return t.wide(t.raw("documents"), "doc_id").select("doc_id", joined_list(guard.detect_malicious("text"), ",").alias("classes"))
 
 
 @query("redacted_entries", "F33", "directory",

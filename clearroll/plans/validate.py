@@ -36,14 +36,15 @@ def answer_records(
 ) -> DataFrame:
     """Records with ``answers``, and the matched reference rows beside them.
 
-    ``unique_references`` states that registry, licenses and enrichment are keyed
-    tables; the geocode table is always reduced to one row per address.
+    ``unique_references`` states that registry and licenses are keyed tables; the
+    geocode table is always reduced to one row per address.  It comes first, so that the
+    sample of hot addresses is taken from the records themselves.  The two joins by
+    record id come last and share one exchange, which is also that of any step after.
     """
-    found = checks.with_registry(records, registry, unique_references)
-    found = checks.with_geocode(found, geocodes)
+    found = checks.with_geocode(records, geocodes)
+    found = checks.with_registry(found, registry, unique_references)
     found = checks.with_license(found, licenses, unique_references)
-    found = checks.with_enrichment(found, enrichment, unique_references)
-    found = checks.with_documents(found, extracted)
+    found = checks.with_documents(checks.with_enrichment(found, enrichment), extracted)
     document = F.when(text.is_present("document_path"), checks.document_answer())
     answers = F.array_compact(
         F.array(

@@ -250,6 +250,53 @@ def test_histogram_quantile(spark):
     assert metrics.histogram_quantile(df, "v", bounds, 0.99).collect()[0]["quantile"] == 4.0
 
 
+def test_exact_quantiles_of_any_group(spark):
+    rng = random.Random(4)
+    rows = [("a", rng.choice([1.0, 2.5, 7.0])) for _ in range(500)] + [("b", rng.random()) for _ in range(999)]
+    rows += [("c", 5.0), ("d", 1.0), ("d", 2.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
+    for accuracy in (20, 10000):
+        got = {r.k: r for r in metrics.exact_quantiles(df, "v", qs, "k", accuracy=accuracy).collect()}
+        for r in df.groupBy("k").agg(F.percentile("v", qs).alias("p")).collect():
+            assert [got[r.k][f"p{int(q * 100)}"] for q in qs] == pytest.approx(r.p)
+    whole = metrics.exact_quantiles(df, "v", [0.5]).collect()[0]["p50"]
+    assert whole == pytest.approx(df.agg(F.percentile("v", 0.5)).collect()[0][0])
+
+
+def test_audit_range_prunes_partitions(spark, folder, tmp_path):
+    from clearroll.sources.sinks import append_audit
+
+    append_audit(Tables(spark, folder).audit_logs, str(tmp_path / "audit"))
+    stored = spark.read.parquet(str(tmp_path / "audit"))
+    kept = filters.audit_filter(stored, action="pii.reveal", start="2024-01-05 00:00:00", end="2024-01-06 12:00:00")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "PushedFilters: [IsNotNull(action)" in plan
+    assert 0 < kept.count() < stored.count()
+
+
+def test_record_id_joins_share_an_exchange(spark, folder):
+    t = Tables(spark, folder)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = checks.with_documents(checks.with_enrichment(t.directory, t.enrichment), t.document_fields)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # records once, enrichment once, and the two aggregates of the document fields
+        assert plan.count("Exchange hashpartitioning") == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_hostile_text_across_lines(spark):
+    from clearroll.functions import guard
+
+    rows = [("<b\nonmouse =1",), ("onmouse=1 <",), ("/* a\n b */",), ("/* a b */",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v string").select(guard.detect_malicious("v")).collect()]
+    assert got == [["xss_attempt"], [], [], ["sql_injection_attempt"], []]
+
+
 # -- matching ------------------------------------------------------------------------------------
 
 
