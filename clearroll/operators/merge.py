@@ -183,7 +183,7 @@ def _entries(answers: Column, lead: str) -> Column:
 
         return F.transform(a["fields"], entry)
 
-    return F.array_sort(F.flatten(F.transform(F.filter(answers, lambda a: a["success"]), of_answer)))
+    return F.sort_array(F.flatten(F.transform(F.filter(answers, lambda a: a["success"]), of_answer)))
 
 
 def _last_of_each_field(entries: Column) -> Column:
