@@ -156,17 +156,17 @@ def directory(d) -> str:
     ])
     return f"""
 SELECT k, class, provider_id, given_name, family_name,
-       CASE class WHEN 4 THEN {d.pick("k % 4", FAKE_NPIS)}
+       CASE class WHEN 4 THEN {d.pick(f"{d.div('k', 10)} % 4", FAKE_NPIS)}
                   ELSE npi_number END AS npi_number,
        taxonomy AS primary_taxonomy,
        concat(family_name, ' ', taxonomy) AS practice_name,
        CASE WHEN class = 5 THEN concat(street, ' (MOVED)') ELSE street END AS address_street,
        city AS address_city, state AS address_state, zip AS address_zip,
-       CASE WHEN class = 1 THEN {d.pick("k % 5", BAD_PHONES)}
+       CASE WHEN class = 1 THEN {d.pick(f"{d.div('k', 10)} % 5", BAD_PHONES)}
             WHEN k % 3 = 0 THEN concat('(', area, ') ', exchange, '-', line)
             WHEN k % 3 = 1 THEN concat(area, '-', exchange, '-', line)
             ELSE concat('+1', area, exchange, line) END AS phone_primary,
-       CASE WHEN class = 2 THEN {d.pick("k % 5", BAD_EMAILS)}
+       CASE WHEN class = 2 THEN {d.pick(f"{d.div('k', 10)} % 5", BAD_EMAILS)}
             ELSE lower(concat(given_name, '.', family_name, '@', domain)) END AS email,
        CASE WHEN class = 6 THEN '' ELSE license_no END AS license_number,
        state AS license_state,
