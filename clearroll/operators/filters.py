@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_LENGTHS
-from ..functions.text import all_of, any_of, col, full_address, full_name, is_present
+from ..functions.text import all_of, any_of, full_address, full_name, is_present
 
 SEARCH_COLUMNS = ["given_name", "family_name", "npi_number", "primary_taxonomy", "practice_name"]
 

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from ... import constants as K
 from ...functions import scores
 from ...operators import metrics, rules, windows
-from ...sources.derived import AS_OF
-from .directory import count_if
 from .records import r6_sql, ts_sql, weights_case
 from .registry import query, r6, ts
 
