@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import pii, secret_scan, simhash, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +24,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op1_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op2_secret_scan(spark, folder):
+    found = secret_scan.find_secrets(table(spark, folder, "documents"), keep=["doc_id"])
+    return spans.digested(found, "secrets", secret_scan.BASE)
+
+
+@query
+def op9_personal_data(spark, folder):
+    found = pii.find_personal_data(table(spark, folder, "documents"), keep=["doc_id"])
+    return spans.digested(found, "personal", pii.BASE)
