@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secret_scan, simhash, spans
+from . import mixing, pii, secret_scan, simhash, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +36,8 @@ def op2_secret_scan(spark, folder):
 def op9_personal_data(spark, folder):
     found = pii.find_personal_data(table(spark, folder, "documents"), keep=["doc_id"])
     return spans.digested(found, "personal", pii.BASE)
+
+
+@query
+def op3_source_mix(spark, folder):
+    return mixing.mix(table(spark, folder, "documents")).drop("copies")

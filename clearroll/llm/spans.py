@@ -17,7 +17,7 @@ def digested(found: DataFrame, spans: str, kinds: list[str]) -> DataFrame:
     """Counts and digest of the base ``kinds``, and all spans as one string, per row."""
     s = F.col(spans)
     base = F.filter(s, lambda x: x["kind"].isin(kinds))
-    rest = [F.size(F.filter(s, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    rest = [F.size(F.filter(s["kind"], lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in kinds]
     return found.select(
         "doc_id", *rest, F.sha2(written(base), 256).alias("base_sha256"), written(s).alias("spans")
     )
