@@ -179,7 +179,8 @@ def near_duplicates(
     named = points.join(found, "node").select("node", "component", "first")
     smallest = named.groupBy("component").agg(F.min("first").alias("least"))
     linked = named.join(smallest, "component").select("node", "least")
-    own = prints.withColumn("node", node).join(
-        points.join(linked, "node", "left").select("node", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id")), "node"
-    )
+    label = F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id")
+    labels = saved(points.join(linked, "node", "left").select("node", label), "labels")
+    # two plain exchanges, so that a fingerprint of very many copies can be split
+    own = prints.withColumn("node", node).join(labels, "node")
     return own.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
