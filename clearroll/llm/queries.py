@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, secret_scan, simhash, spans
+from . import langid, mixing, pii, secret_scan, simhash, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op9_personal_data(spark, folder):
 @query
 def op3_source_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).drop("copies")
+
+
+@query
+def op4_language_id(spark, folder):
+    return langid.identify(table(spark, folder, "documents"))
