@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pii, secret_scan, simhash, spans
+from . import decontaminate, langid, mixing, pii, secret_scan, simhash, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op3_source_mix(spark, folder):
 @query
 def op4_language_id(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
+
+
+@query
+def op8_decontamination(spark, folder):
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
