@@ -184,3 +184,17 @@ def near_duplicates(
     # two plain exchanges, so that a fingerprint of very many copies can be split
     own = prints.withColumn("node", node).join(labels, "node")
     return own.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose group in ``found`` has a smaller id, and one row per id.
+
+    Rows without an id cannot be named by ``found`` and stay.
+    """
+    found = saved(found, "found")
+    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    own = F.col(f"`{doc_id}`")
+    kept = docs.join(gone, own.cast("long") == gone["_gone"], "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").take(1):
+        kept = kept.where(own.isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(own.isNull()))
+    return kept
