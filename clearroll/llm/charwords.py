@@ -39,15 +39,15 @@ def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[list[in
 class Words:
     """The letter runs of some texts.
 
-    ``x``: lower-cased code points, zero where there is no letter, one zero after each text.
+    ``raw``: the code points, a line feed after each text; ``x``: lower-cased code points, zero where there is no letter, one zero after each text.
     ``start``, ``end``: positions of each word in ``x``; ``text``: which text it is of;
-    ``first``: the first word of each text, with one more entry than texts.
+    ``offset``: where each text begins; ``first``: the first word of each text, with one more entry than texts.
     """
 
     def __init__(self, texts: list[str | None], known: tuple[np.ndarray, np.ndarray]):
         letter, lower = known
         raw = np.frombuffer("\n".join([*(t or "" for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        raw = np.minimum(raw, 0x10FFFF)
+        self.raw = raw = np.minimum(raw, 0x10FFFF)
         is_letter = letter[raw]
         self.x = np.where(is_letter, lower[raw], 0).astype(np.uint32)
         edge = np.diff(np.concatenate([[0], is_letter.view(np.int8), [0]]))
@@ -85,3 +85,20 @@ class Words:
                 h ^= h >> np.uint32(15)
             found.append((h >> np.uint32(32 - bits)).astype(np.int64) + (j << bits))
         return at, where, found
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        at = np.flatnonzero(self.x)
+        length = self.end - self.start
+        place = at - np.repeat(self.start, length)
+        h = mixed(self.x[at].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32)))
+        return mixed(np.add.reduceat(h, np.concatenate([[0], np.cumsum(length)[:-1]])))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The bits of 64-bit values spread over the whole word."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
