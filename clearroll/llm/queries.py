@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, mixing, pii, quality, secret_scan, simhash, spans
+from . import chat, decontaminate, embeddings, langid, mixing, pii, quality, secret_scan, simhash, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,8 @@ ORACLE["op7_chat_format"] = chat.SQL
 @query
 def op6_quality_score(spark, folder):
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op5_embedding_copies(spark, folder):
+    return embeddings.near_vectors(table(spark, folder, "embeddings"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import cells
+from .cells import cells, reached, whole_groups
 from .components import components
 from .store import per_text, saved
 
@@ -109,48 +109,16 @@ def links(points: DataFrame, radius: int, blocks: int, second: int | None = None
             if e - s > SMALL:
                 at = np.arange(s, e)
                 near = close(rows, at[:, None], at[None, :])
-                label = np.arange(e - s)
-                while True:
-                    least = np.minimum(label, np.where(near, label[None, :], e - s).min(axis=1))
-                    if (least == label).all():
-                        break
-                    label = least
-                yield node[at], node[s + label]
+                yield node[at], node[s + reached(near)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                new = {c: batch.column(c).to_numpy() for c in batch.schema.names}
-                held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
-            if held is None:
-                continue
-            change = np.zeros(len(held["node"]), bool)
-            for c in group:
-                change[1:] |= held[c][1:] != held[c][:-1]
-            starts = np.concatenate([[0], np.flatnonzero(change)])
-            ends = np.concatenate([starts[1:], [len(change)]])
-            if batch is not None:  # the last group may go on in the next batch
-                cut = starts[-1]
-                whole, rest = {c: v[:cut] for c, v in held.items()}, {c: v[cut:] for c, v in held.items()}
-                starts, ends = starts[:-1], ends[:-1]
-            else:
-                whole, rest = held, None
-            if len(starts):
-                for a, b in compare(whole, starts, ends):
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            held = rest
+        for rows, starts, ends in whole_groups(batches, group):
+            for a, b in compare(rows, starts, ends):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def _with_end(batches):
-    for b in batches:
-        if b.num_rows:
-            yield b
-    yield None
-
-
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
