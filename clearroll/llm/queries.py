@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, langid, mixing, pii, quality, secret_scan, simhash, spans
+from . import chat, decontaminate, embeddings, langid, mixing, pii, quality, secret_scan, simhash, spans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op6_quality_score(spark, folder):
 @query
 def op5_embedding_copies(spark, folder):
     return embeddings.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op10_toxicity(spark, folder):
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
