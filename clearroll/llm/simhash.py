@@ -90,9 +90,12 @@ def links(points: DataFrame, radius: int, blocks: int, second: int | None = None
     group = ["c", "k", "_i", "_j"]
     dealt = dealt.select(*group, "node", "fp0", *extra).repartition(*group).sortWithinPartitions(*group)
 
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((x ^ y).view(np.uint64))  # of a signed number it would count the absolute value's bits
+
     def close(rows: dict, a, b):
-        near = np.bitwise_count(rows["fp0"][a] ^ rows["fp0"][b]) <= radius
-        return near & (np.bitwise_count(rows["fp1"][a] ^ rows["fp1"][b]) <= second) if extra else near
+        near = apart(rows["fp0"][a], rows["fp0"][b]) <= radius
+        return near & (apart(rows["fp1"][a], rows["fp1"][b]) <= second) if extra else near
 
     def compare(rows: dict, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, node = len(rows["node"]), rows["node"]
