@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cells import cells, reached, whole_groups
@@ -75,27 +75,32 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
 
 
+def node_of(fps: list[str]) -> Column:
+    """The point of a row: its fingerprint, or a 64-bit hash of both."""
+    return F.col("fp0") if len(fps) == 1 else F.xxhash64(*fps)
+
+
 def links(points: DataFrame, radius: int, blocks: int, second: int | None = None) -> DataFrame:
-    """Edges ``(a, b)`` between the nodes of ``points(node, fp0[, fp1])`` whose fp0 differ in ``radius`` bits or fewer.
+    """Edges ``(a, b)`` between the nodes of ``points(fp0[, fp1])``, see :func:`node_of`, whose fp0 differ in ``radius`` bits or fewer.
 
     With ``second``, fp1 must also differ in at most that many bits.  The edges connect what
     all links connect: groups of up to ``SMALL`` give every link, larger ones each member's
     link to the smallest member it reaches inside its cell, so no group emits all its pairs.
     """
     masks = [signed(m) for m in block_masks(radius, blocks)]
-    extra = ["fp1"] if second is not None else []
-    keys = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("c"), F.col("fp0").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]))
-    members = points.select("node", "fp0", *extra, keys.alias("_k")).select("node", "fp0", *extra, "_k.c", "_k.k")
-    dealt = cells(members, ["c", "k"], F.col("node"), CHUNK)
-    group = ["c", "k", "_i", "_j"]
-    dealt = dealt.select(*group, "node", "fp0", *extra).repartition(*group).sortWithinPartitions(*group)
+    fps = ["fp0"] if second is None else ["fp0", "fp1"]
+    # a block's number and bits as one hash: rows stay short, and a chance collision only adds pairs to verify
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp0").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
+    dealt = cells(points.select(*fps, keys.alias("k")), ["k"], node_of(fps), CHUNK)
+    group = ["k", "_i", "_j"]
+    dealt = dealt.select(*group, node_of(fps).alias("node"), *fps).repartition(*group).sortWithinPartitions(*group)
 
     def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count((x ^ y).view(np.uint64))  # of a signed number it would count the absolute value's bits
 
     def close(rows: dict, a, b):
         near = apart(rows["fp0"][a], rows["fp0"][b]) <= radius
-        return near & (apart(rows["fp1"][a], rows["fp1"][b]) <= second) if extra else near
+        return near if second is None else near & (apart(rows["fp1"][a], rows["fp1"][b]) <= second)
 
     def compare(rows: dict, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, node = len(rows["node"]), rows["node"]
@@ -144,7 +149,7 @@ def near_duplicates(
     prints = fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], kinds)
     prints = saved(prints, "prints")
     fps = [f"fp{i}" for i in range(len(kinds))]
-    node = F.col("fp0") if len(fps) == 1 else F.xxhash64(*fps)
+    node = node_of(fps)
     points = saved(prints.groupBy(*fps).agg(F.min("doc_id").alias("first")).withColumn("node", node), "points")
     found = components(links(points, radius, blocks, wide[1] if wide else None))
     named = points.join(found, "node").select("node", "component", "first")
