@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,12 +46,29 @@ def field_confidence(field: str, value: Column, pattern: str) -> Column:
     return F.least(F.lit(1.0), stable(base + anchored))
 
 
-def _first_good(text: Column, pattern: str) -> Column:
-    """First match whose cleaned value has more than one character."""
+_LEADING = re.compile(r"\(\?:([A-Za-z \-|.?\\]+)\)")
+
+
+def needed(pattern: str) -> list[str]:
+    """Lower-case strings one of which a text must hold for the pattern to match, none if that cannot be told.
+
+    A pattern tells by a group of plain words it begins with, or by an ``@``.
+    """
+    m = _LEADING.match(pattern.replace("(?i)", ""))
+    words = [w.replace("\\.?", "").lower() for w in m.group(1).split("|")] if m else []
+    if words and not any(c in w for w in words for c in "\\.?"):
+        return words
+    return ["@"] if "@" in pattern else []
+
+
+def _first_good(text: Column, lowered: Column, pattern: str) -> Column:
+    """First match whose cleaned value has more than one character; not searched where :data:`needed` words are missing."""
     flags = "(?imd)"  # only a line feed ends a line
     found = F.regexp_extract_all(text, F.lit(flags + pattern.replace("(?i)", "")), F.lit(1))
     cleaned = F.transform(found, clean_value)
-    return F.try_element_at(F.filter(cleaned, lambda v: F.length(v) > 1), F.lit(1))
+    value = F.try_element_at(F.filter(cleaned, lambda v: F.length(v) > 1), F.lit(1))
+    words = needed(pattern)
+    return F.when(reduce(Column.__or__, [lowered.contains(w) for w in words]), value) if words else value
 
 
 def extract_fields(c: str | Column, patterns: dict[str, list[str]] | None = None) -> Column:
@@ -62,7 +82,7 @@ def extract_fields(c: str | Column, patterns: dict[str, list[str]] | None = None
     for field, regexes in (patterns or DOCUMENT_PATTERNS).items():
         for regex in regexes:
             number += 1
-            value = _first_good(text, regex)
+            value = _first_good(text, F.lower(text), regex)
             entries.append(
                 F.struct(
                     F.lit(field).alias("field"),

@@ -9,8 +9,8 @@ as a column of the record's own row (``*_answer``) or as a table of its own
 (``check_*``).  A field that a source knows but leaves empty is still listed,
 with a NULL value.
 
-Registry, licenses and enrichment are keyed tables (``unique=True`` states it); a
-geocode table may list an address twice and is reduced first by default.
+A reference table that lists a key twice is reduced to one row per key first, so a
+record never becomes two; ``unique=True`` states that a table is keyed and saves that.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def as_results(df: DataFrame, answer: str) -> DataFrame:
 # -- registry ----------------------------------------------------------------
 
 
-def with_registry(records: DataFrame, registry: DataFrame, unique: bool = True, **skew) -> DataFrame:
+def with_registry(records: DataFrame, registry: DataFrame, unique: bool = False, **skew) -> DataFrame:
     npi = text.digits_only("npi_number")
     key = F.when(F.length(npi) == 10, npi)
     return attach(records, registry, key, F.col("npi_number"), "registry", "provider_id", unique, **skew)
@@ -76,7 +76,7 @@ def registry_answer(hit: str = "registry") -> Column:
     return _answer(K.CHECK_REGISTRY, ok, error, _fields(values, K.REGISTRY_CONFIDENCE))
 
 
-def check_registry(records: DataFrame, registry: DataFrame, unique: bool = True, **skew) -> DataFrame:
+def check_registry(records: DataFrame, registry: DataFrame, unique: bool = False, **skew) -> DataFrame:
     found = with_registry(records, registry, unique, **skew)
     return as_results(found.withColumn("answer", registry_answer()), "answer")
 
@@ -154,7 +154,7 @@ def address_place_check(hit: str = "geocode", limit_m: float = 100.0) -> Column:
 # -- license ---------------------------------------------------------------------
 
 
-def with_license(records: DataFrame, licenses: DataFrame, unique: bool = True, **skew) -> DataFrame:
+def with_license(records: DataFrame, licenses: DataFrame, unique: bool = False, **skew) -> DataFrame:
     def key() -> Column:
         number = text.license_key("license_number")
         return F.when(number.isNotNull(), F.concat_ws("|", number, F.upper(F.trim("license_state"))))
@@ -177,7 +177,7 @@ def license_answer(hit: str = "license") -> Column:
     return _answer(K.CHECK_LICENSE, ok, error, _fields(values, K.LICENSE_CONFIDENCE))
 
 
-def check_license(records: DataFrame, licenses: DataFrame, unique: bool = True, **skew) -> DataFrame:
+def check_license(records: DataFrame, licenses: DataFrame, unique: bool = False, **skew) -> DataFrame:
     found = with_license(records, licenses, unique, **skew)
     return as_results(found.withColumn("answer", license_answer()), "answer")
 
@@ -238,7 +238,7 @@ def document_answers(extracted: DataFrame) -> DataFrame:
 
 
 def with_documents(records: DataFrame, extracted: DataFrame) -> DataFrame:
-    return attach_by_id(records, document_answers(extracted), "document", "provider_id")
+    return attach_by_id(records, document_answers(extracted), "document", "provider_id", unique=True)
 
 
 def document_answer(hit: str = "document") -> Column:
@@ -277,13 +277,14 @@ def check_email_domain(records: DataFrame, domains: DataFrame) -> DataFrame:
 def check_phones(records: DataFrame, area_codes: DataFrame) -> DataFrame:
     """provider_id, value, status, confidence of the primary phone number.
 
-    There are at most 800 area codes, so the table is broadcast.
+    Area codes are three digits of which the first is 2 to 9, 800 at most, so the table is broadcast.
     """
     phone = text.normalize_phone("phone_primary")
     asked = records.select("provider_id", phone.alias("phone")).withColumn(
         "area", F.when(F.col("phone").startswith("+1"), F.substring("phone", 3, 3))
     )
-    areas = area_codes.groupBy("area").agg(F.max("carrier").alias("carrier"), F.max("region").alias("region")).limit(1000)
+    codes = area_codes.where(F.col("area").rlike("^[2-9][0-9]{2}$"))
+    areas = codes.groupBy("area").agg(F.max("carrier").alias("carrier"), F.max("region").alias("region"))
     found = asked.join(F.broadcast(areas), "area", "left")
     return found.withColumn("check", scores.check_phone("phone", "carrier", "region")).select("provider_id", "check.*")
 
@@ -291,31 +292,41 @@ def check_phones(records: DataFrame, area_codes: DataFrame) -> DataFrame:
 # -- union of all checks -----------------------------------------------------------------
 
 
-def run_checks(
+def answer_records(
     records: DataFrame,
     registry: DataFrame,
     geocodes: DataFrame,
     licenses: DataFrame,
     enrichment: DataFrame,
     extracted: DataFrame,
+    unique_references: bool = False,
 ) -> DataFrame:
-    """Source results of all five checks, one row per record and check.
+    """Records with ``answers``, and the matched reference rows beside them.
+
+    ``unique_references`` states that registry and licenses are keyed tables; otherwise
+    they are reduced to one row per key, as the geocode table always is.  It comes first, so
+    that the sample of hot addresses is taken from the records themselves.  The two joins by
+    record id come last and share one exchange, which is also that of any step after.
+    The document check is left out for records without a document, as such a task is never
+    created.
+    """
+    found = with_geocode(records, geocodes)
+    found = with_registry(found, registry, unique_references)
+    found = with_license(found, licenses, unique_references)
+    found = with_documents(with_enrichment(found, enrichment), extracted)
+    document = F.when(text.is_present("document_path"), document_answer())
+    answers = F.array_compact(
+        F.array(registry_answer(), address_answer(), document, license_answer(), enrichment_answer())
+    )
+    return found.withColumn("answers", answers)
+
+
+def run_checks(*tables: DataFrame, **options) -> DataFrame:
+    """Source results of all five checks, one row per record and check: :func:`answer_records` in long form.
 
-    The document check is left out for records without a document, as such a task
-    is never created.
+    The records are read once, whatever the number of checks.
     """
-    with_doc = records.where(text.is_present("document_path"))
-    parts = [
-        check_registry(records, registry),
-        check_address(records, geocodes),
-        attach_document_fields(with_doc, extracted),
-        check_license(records, licenses),
-        enrich(records, enrichment),
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return answer_records(*tables, **options).select("provider_id", F.inline("answers"))
 
 
 def registry_search(
@@ -342,14 +353,15 @@ def registry_search(
 def registry_candidates(records: DataFrame, registry: DataFrame, keys: list[str], limit: int = 50) -> DataFrame:
     """For every distinct combination of ``keys`` in records, its first registry entries.
 
-    Ranked per combination; the ranking is limited before the shuffle.
+    The registry is cut to those combinations first, then ranked; the ranking is limited
+    before the shuffle.
     """
     from pyspark.sql import Window
 
     asked = records.select(*keys).distinct()
     per_key = Window.partitionBy(*keys).orderBy("npi_number")
-    ranked = registry.withColumn("rank", F.row_number().over(per_key)).where(F.col("rank") <= limit)
-    return ranked.join(asked, keys, "left_semi")
+    met = registry.join(asked, keys, "left_semi")
+    return met.withColumn("rank", F.row_number().over(per_key)).where(F.col("rank") <= limit)
 
 
 def license_search(licenses: DataFrame, top: int = 3) -> DataFrame:

@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 
 from ..constants import CHECK_ADDRESS, CHECK_DOCUMENT, CHECK_ENRICHMENT, CHECK_LICENSE, CHECK_REGISTRY
 from ..functions.text import is_present
+from .lookup import one_per_key
 
 
-def patch(df: DataFrame, updates: DataFrame, key: str, as_of: Column, stamp: str = "updated_at") -> DataFrame:
+def patch(
+    df: DataFrame, updates: DataFrame, key: str, as_of: Column, stamp: str = "updated_at", nulls: str | None = None
+) -> DataFrame:
     """Partial update: a column changes where ``updates`` supplies a value.
 
-    ``updates`` has the key and any subset of columns, one row per key.
+    ``updates`` has the key and any subset of columns; of several rows with one key the
+    smallest counts.  ``nulls`` names a column of ``updates`` with an array of the columns
+    that are supplied as NULL, which sets them so.
     """
-    supplied = [c for c in updates.columns if c != key]
-    new = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in supplied], F.lit(True).alias("_hit"))
+    supplied = [c for c in updates.columns if c not in (key, nulls)]
+    keyed = one_per_key(updates, [key])
+    cleared = F.coalesce(F.col(nulls), F.array().cast("array<string>")) if nulls else F.array().cast("array<string>")
+    new = keyed.select(
+        key, *[F.col(c).alias(f"_new_{c}") for c in supplied], cleared.alias("_cleared"), F.lit(True).alias("_hit")
+    )
     joined = df.join(new, key, "left")
-    changes = {c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in supplied}
+    gone = lambda c: F.coalesce(F.array_contains("_cleared", c), F.lit(False))
+    changes = {c: F.when(~gone(c), F.coalesce(F.col(f"_new_{c}"), F.col(c))) for c in supplied}
     changes[stamp] = F.when(F.col("_hit"), as_of).otherwise(F.col(stamp))
     return joined.withColumns(changes).select(*df.columns)
 
@@ -57,9 +67,10 @@ REVIEW_STATUS = {"accept": "valid", "reject": "invalid", "flag": "warning", "rev
 def review_actions(df: DataFrame, decisions: DataFrame, key: str = "provider_id") -> DataFrame:
     """Accept, reject, flag, revalidate or assign the selected records.
 
-    ``decisions`` has the key, ``action`` and ``assignee``, one row per key.
+    ``decisions`` has the key, ``action`` and ``assignee``; of several rows with one key the
+    smallest counts.
     """
-    joined = df.join(decisions.select(key, "action", "assignee"), key, "left")
+    joined = df.join(one_per_key(decisions.select(key, "action", "assignee"), [key]), key, "left")
     status = F.col("validation_status")
     for action, outcome in REVIEW_STATUS.items():
         status = F.when(F.col("action") == action, F.lit(outcome)).otherwise(status)
@@ -74,9 +85,10 @@ def job_transitions(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     """Apply retry and cancel requests (job_id, request) to jobs.
 
     Only a failed job may be retried; a completed or failed one cannot be
-    cancelled.  ``error`` tells why a request was refused.
+    cancelled.  ``error`` tells why a request was refused.  Of several requests for a job
+    the first by name counts.
     """
-    joined = jobs.join(requests.select("job_id", "request"), "job_id", "left")
+    joined = jobs.join(one_per_key(requests.select("job_id", "request"), ["job_id"]), "job_id", "left")
     retry = (F.col("request") == "retry") & (F.col("status") == "failed")
     cancel = (F.col("request") == "cancel") & ~F.col("status").isin("completed", "failed")
     legal = F.coalesce(retry | cancel, F.lit(False))

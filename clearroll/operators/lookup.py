@@ -30,13 +30,15 @@ def one_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None)
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def hot_keys(df: DataFrame, key: str, sample: float = SAMPLE, hits: int = SAMPLE_HITS) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, sample: float = SAMPLE, hits: int = SAMPLE_HITS, row_id: str | None = None) -> DataFrame:
     """At most :data:`HOT_KEYS` keys that dominate a column.
 
     Only the decision where to salt comes from the sample; no row is dropped, and
-    a key that is missed is merely joined unsalted.
+    a key that is missed is merely joined unsalted.  The sample is chosen by a hash of
+    ``row_id``, so every evaluation of it finds the same keys.
     """
-    probe = df.select(key) if sample >= 1 else df.select(key).sample(False, sample, 17)
+    chosen = F.pmod(F.xxhash64(row_id or key, F.lit(17)), F.lit(1_000_000)) < int(sample * 1_000_000)
+    probe = df.select(key) if sample >= 1 else df.where(chosen).select(key)
     return (
         probe.where(F.col(key).isNotNull())
         .groupBy(key)
@@ -81,7 +83,7 @@ def attach(
         return spread.join(payload, F.col("_key") == F.col("_rkey"), "left").drop("_key", "_rkey")
 
     reduced = payload.groupBy("_rkey").agg(F.min(alias).alias(alias))
-    hot = hot_keys(keyed, "_key", sample, hits).withColumnRenamed("_key", "_hot")
+    hot = hot_keys(keyed, "_key", sample, hits, row_id).withColumnRenamed("_key", "_hot")
     salted = (
         keyed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
         .withColumn(
@@ -107,13 +109,16 @@ def attach(
     ).drop("_key", "_rkey", "_salt", "_rsalt")
 
 
-def attach_by_id(left: DataFrame, right: DataFrame, alias: str, row_id: str) -> DataFrame:
+def attach_by_id(left: DataFrame, right: DataFrame, alias: str, row_id: str, unique: bool = False) -> DataFrame:
     """``left`` with the right row of the same id, both keyed by that id, as a struct.
 
-    Several such joins in a row share one exchange of ``left``, as all of them need it
+    ``right`` is reduced to one row per id, unless ``unique`` states that it is keyed; the
+    reduced rows are partitioned as the join needs them.  Several such joins in a row share one exchange of ``left``, as all of them need it
     partitioned by the same column.
     """
     payload = right.select(
         F.col(row_id).alias("_rkey"), F.struct(*[F.col(c) for c in right.columns]).alias(alias)
     )
+    if not unique:
+        payload = payload.groupBy("_rkey").agg(F.min(alias).alias(alias))
     return left.join(payload, F.col(row_id) == F.col("_rkey"), "left").drop("_rkey")

@@ -242,14 +242,15 @@ def merge_flags(answers: str = "answers") -> Column:
     return F.concat(head, low, missing)
 
 
-def gather_answers(results: DataFrame) -> DataFrame:
+def gather_answers(results: DataFrame, at: str | None = None) -> DataFrame:
     """One row per record with its answers as an array, from a table of results.
 
-    First reduced to the newest row per (record, check) - here one row each - so
-    the array holds at most as many entries as there are checks.
+    First reduced to one row per (record, check), the newest by ``at`` where the results
+    carry a time, so the array holds at most as many entries as there are checks.
     """
     answer = F.struct("source", "success", "confidence", "error_message", "fields")
-    one = results.groupBy("provider_id", "source").agg(F.max(answer).alias("a"))
+    newest = F.max_by(answer, F.struct(at, answer)) if at else F.max(answer)
+    one = results.groupBy("provider_id", "source").agg(newest.alias("a"))
     return one.groupBy("provider_id").agg(F.sort_array(F.collect_list("a")).alias("answers"))
 
 

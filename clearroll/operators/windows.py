@@ -158,22 +158,18 @@ def burst_limits(log: DataFrame, key: str, at: str, seconds: int = K.BURST_SECON
 def rule_breaches(ticks: DataFrame, rules: dict[str, tuple[str, str, int]], at: str = "tick") -> DataFrame:
     """rule, severity, minutes, at, breached: every rule's condition at every tick.
 
-    Conditions are SQL expressions over the columns of a metrics row.  A rule whose
-    columns are not there is left out.
+    Conditions are SQL expressions over the columns of a metrics row; Spark resolves them,
+    so one that names an unknown column raises.
     """
-    have = {c.lower() for c in ticks.columns}
-    rows = []
-    for name, (condition, severity, minutes) in rules.items():
-        column = condition.split()[0].lower()
-        if column in have:
-            rows.append(
-                F.struct(
-                    F.lit(name).alias("rule"),
-                    F.lit(severity).alias("severity"),
-                    F.lit(minutes).cast("bigint").alias("minutes"),
-                    F.coalesce(F.expr(condition), F.lit(False)).alias("breached"),
-                )
-            )
+    rows = [
+        F.struct(
+            F.lit(name).alias("rule"),
+            F.lit(severity).alias("severity"),
+            F.lit(minutes).cast("bigint").alias("minutes"),
+            F.coalesce(F.expr(condition), F.lit(False)).alias("breached"),
+        )
+        for name, (condition, severity, minutes) in rules.items()
+    ]
     return ticks.select(F.col(at), F.explode(F.array(*rows)).alias("r")).select("r.*", at)
 
 

@@ -88,11 +88,9 @@ def _(t):
 
 
 @query("new_jobs", "P20", "directory",
-       "SELECT concat('job_', provider_id) AS job_id, provider_id, 'pending' AS status, 'medium' AS priority FROM directory WHERE validation_status = 'pending'")
+       "SELECT concat('job_', provider_id) AS job_id, provider_id, 'pending' AS status, 'medium' AS priority FROM directory")
 def _(t):
-    return edits.materialise_jobs(t.directory.where("validation_status = 'pending'")).select(
-        "job_id", "provider_id", "status", "priority"
-    )
+    return edits.materialise_jobs(t.directory).select("job_id", "provider_id", "status", "priority")
 
 
 @query("bulk_create", "J8", "directory registry",
@@ -271,7 +269,7 @@ def _(t):
 @query("balanced_assignment", "W9", "jobs",
        """SELECT job_id, CAST(position AS BIGINT) AS position, concat('R', CAST(position % 3 + 1 AS STRING)) AS assigned_to FROM (
   SELECT job_id, row_number() OVER (ORDER BY CASE priority WHEN 'urgent' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END,
-    strftime(created_at, '%Y-%m-%d'), md5(job_id), job_id) - 1 AS position FROM jobs WHERE status = 'pending') x""")
+    created_at, md5(job_id), job_id) - 1 AS position FROM jobs WHERE status = 'pending') x""")
 def _(t):
     return review.assign_balanced(t.jobs.where("status = 'pending'"), REVIEWERS).select("job_id", "position", "assigned_to")
 

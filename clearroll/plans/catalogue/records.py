@@ -330,12 +330,11 @@ def _(t):
 @query(
     "records_with_any_source", "P6", "field_results",
     """SELECT provider_id, CAST(count(DISTINCT source) AS BIGINT) AS sources FROM field_results
-WHERE provider_id IN (SELECT provider_id FROM field_results WHERE source IN ('state_board') AND field_name = 'email')
-  AND field_name = 'email' GROUP BY provider_id""",
+WHERE provider_id IN (SELECT provider_id FROM field_results WHERE source IN ('state_board')) GROUP BY provider_id""",
 )
 def _(t):
     per_record = (
-        t.field_results.where("field_name = 'email'").groupBy("provider_id")
+        t.field_results.groupBy("provider_id")
         .agg(F.collect_set(F.struct("source")).alias("sources"))
     )
     return filters.any_source(per_record, ["state_board"]).select(

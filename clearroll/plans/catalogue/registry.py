@@ -33,15 +33,6 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return table(self._spark, self._folder, name)
 
-    def wide(self, df: DataFrame, key: str) -> DataFrame:
-        """A scan spread over all cores when its files have fewer splits than there are cores.
-
-        For row-local work that is heavy per row; large inputs have splits enough and are
-        left as they are.  ``df`` must be a scan with projections only.
-        """
-        cores = self._spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
     @property
     def spark(self) -> SparkSession:
         return self._spark

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import checks, merge, report
+from ..operators import merge, report
+from ..operators.checks import answer_records
 
 CLEANED = [
     "npi_number", "phone_primary", "email", "license_number", "address_street",
@@ -25,39 +26,6 @@ def clean_records(records: DataFrame) -> DataFrame:
     return records.withColumns({c: text.clean_field(c, c) for c in have})
 
 
-def answer_records(
-    records: DataFrame,
-    registry: DataFrame,
-    geocodes: DataFrame,
-    licenses: DataFrame,
-    enrichment: DataFrame,
-    extracted: DataFrame,
-    unique_references: bool = True,
-) -> DataFrame:
-    """Records with ``answers``, and the matched reference rows beside them.
-
-    ``unique_references`` states that registry and licenses are keyed tables; the
-    geocode table is always reduced to one row per address.  It comes first, so that the
-    sample of hot addresses is taken from the records themselves.  The two joins by
-    record id come last and share one exchange, which is also that of any step after.
-    """
-    found = checks.with_geocode(records, geocodes)
-    found = checks.with_registry(found, registry, unique_references)
-    found = checks.with_license(found, licenses, unique_references)
-    found = checks.with_documents(checks.with_enrichment(found, enrichment), extracted)
-    document = F.when(text.is_present("document_path"), checks.document_answer())
-    answers = F.array_compact(
-        F.array(
-            checks.registry_answer(),
-            checks.address_answer(),
-            document,
-            checks.license_answer(),
-            checks.enrichment_answer(),
-        )
-    )
-    return found.withColumn("answers", answers)
-
-
 def validate_records(*tables: DataFrame, normalise: bool = False, **options) -> DataFrame:
     """provider_id, overall_confidence, validation_status, flags, fields of each record."""
     answered = answer_records(*tables, **options)

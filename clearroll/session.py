@@ -37,14 +37,10 @@ def build_session(
     return builder.getOrCreate()
 
 
-def shared_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+def shared_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; where it names none, one in the warehouse.
 
-    ``fallback`` is used (and set) only where the session names none, as in tests.
+    Both are shared by the driver and all executors; a machine's own temporary folder is never used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_clearroll"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,21 +13,22 @@ from ..session import shared_checkpoint_dir
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's table and checkpoint.
 
-    It lies in the shared folder the cluster names; only where none is named (a test on
-    one machine) a temporary one is made.
+    It lies in the folder all executors share, see :func:`shared_checkpoint_dir`.
     """
-    base = shared_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="clearroll-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet table of the inputs as a stream of its files."""
+    """A parquet table of the inputs, one file or a folder of them, as a stream of its files.
+
+    A table without files raises when its schema is read.
+    """
     from ..sources.derived import table
 
-    reader = spark.readStream.schema(table(spark, folder, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parque[t]")  # a glob may name a file, a plain path only a folder
 
 
 def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:

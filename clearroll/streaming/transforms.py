@@ -49,9 +49,9 @@ def unique_requests(requests: DataFrame, key: str, at: str, ttl: str = "24 hours
 def retryable_requests(requests: DataFrame, key: str, at: str, status: str = "status", ttl_seconds: int = 86400) -> DataFrame:
     """Requests let through: new keys, expired keys, and keys whose last attempt failed.
 
-    The state of a key is the status and expiry of its last accepted request.  Rows of
-    a key are taken in chunks as they arrive, each chunk in order of time, so a key with
-    very many requests needs the memory of one chunk only.
+    The state of a key is the status and expiry of its last accepted request.  The rows
+    a micro-batch has of a key are put in order of time before any is decided, however
+    they are stored or cut into chunks; the files per trigger bound them.
     """
     columns = requests.columns
 
@@ -60,16 +60,15 @@ def retryable_requests(requests: DataFrame, key: str, at: str, status: str = "st
             state.remove()
             return
         last, expires = state.get if state.exists else (None, None)
-        for pdf in chunks:
-            ordered = pdf.sort_values(at, kind="stable")
-            times = ordered[at].astype("int64").to_numpy() // 1000
-            accepted = []
-            for when, outcome in zip(times, ordered[status]):
-                fresh = last is None or when > expires or last == "failed"
-                accepted.append(fresh)
-                if fresh:
-                    last, expires = outcome, int(when) + ttl_seconds * 1_000_000
-            yield ordered[accepted][columns]
+        ordered = pd.concat(list(chunks)).sort_values(at, kind="stable")
+        times = ordered[at].astype("int64").to_numpy() // 1000
+        accepted = []
+        for when, outcome in zip(times, ordered[status]):
+            fresh = last is None or when > expires or last == "failed"
+            accepted.append(fresh)
+            if fresh:
+                last, expires = outcome, int(when) + ttl_seconds * 1_000_000
+        yield ordered[accepted][columns]
         state.update((last, expires))
         state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs() + 1))
 
