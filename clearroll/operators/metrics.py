@@ -392,13 +392,24 @@ def idempotency_metrics(keys: DataFrame, as_of: str) -> DataFrame:
 
 
 def ingest_summary(rows: DataFrame) -> DataFrame:
-    """Counts of a row-checked input (``errors`` array): read, valid, rejected, error texts."""
-    return rows.agg(
+    """Counts of a row-checked input (``errors`` array): read, valid, rejected, error texts; and its warnings."""
+    counts = rows.agg(
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(F.size("errors") == 0).alias("valid_rows"),
         F.count_if(F.size("errors") > 0).alias("rejected_rows"),
         F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("error_count"),
     )
+    none = F.when(F.col("valid_rows") == 0, F.lit("No valid provider records found in CSV"))
+    some = F.when(
+        F.col("valid_rows") < F.col("rows_read"),
+        F.format_string("Only %d out of %d rows were processed successfully", "valid_rows", "rows_read"),
+    )
+    return counts.withColumn("warnings", F.array_compact(F.array(none, some)))
+
+
+def ingest_errors(rows: DataFrame, row_id: str = "provider_id") -> DataFrame:
+    """Every error of every rejected row: the row's id and the text."""
+    return rows.select(row_id, F.explode("errors").alias("error"))
 
 
 def document_confidence(pages: DataFrame, fields: DataFrame) -> DataFrame:

@@ -122,14 +122,27 @@ def _(t):
     f"""SELECT CAST(count(*) AS BIGINT) AS rows_read,
   CAST(sum(CASE WHEN errors = '' THEN 1 ELSE 0 END) AS BIGINT) AS valid_rows,
   CAST(sum(CASE WHEN errors <> '' THEN 1 ELSE 0 END) AS BIGINT) AS rejected_rows,
-  CAST(sum(CASE WHEN errors = '' THEN 0 ELSE len(string_split(errors, '; ')) END) AS BIGINT) AS error_count
+  CAST(sum(CASE WHEN errors = '' THEN 0 ELSE len(string_split(errors, '; ')) END) AS BIGINT) AS error_count,
+  concat_ws('; ', CASE WHEN count(*) FILTER (errors = '') = 0 THEN 'No valid provider records found in CSV' END,
+    CASE WHEN count(*) FILTER (errors = '') < count(*) THEN concat('Only ', count(*) FILTER (errors = ''), ' out of ', count(*), ' rows were processed successfully') END) AS warnings
 FROM (SELECT {ERRORS} AS errors FROM ({CANONICAL}) c) e""",
 )
 def _(t):
     from ...operators.metrics import ingest_summary
 
     checked = files.canonical_rows(t.directory.select(*CSV_FIELDS), {f: f for f in CSV_FIELDS})
-    return ingest_summary(checked.rows)
+    return ingest_summary(checked.rows).withColumn("warnings", joined_list("warnings"))
+
+
+@query(
+    "ingest_errors", "A47 S1", "directory",
+    f"""SELECT provider_id, unnest(string_split(errors, '; ')) AS error FROM (SELECT provider_id, {ERRORS} AS errors FROM ({CANONICAL}) c) e
+WHERE errors <> ''""",
+)
+def _(t):
+    from ...operators.metrics import ingest_errors
+
+    return ingest_errors(files.canonical_rows(t.directory.select(*CSV_FIELDS), {f: f for f in CSV_FIELDS}).rows)
 
 
 @query(

@@ -133,10 +133,13 @@ def csv_files(t) -> str:
 
 @query("csv_round_trip", "S1 S2 S4", "directory", f"SELECT provider_id, {ERRORS} AS errors, true AS complete FROM ({CANONICAL}) c")
 def _(t):
-    target = csv_files(t)
-    raw = t.spark.read.csv(target, header=True, escape='"')
-    told = files.check_structure(raw.withColumnsRenamed({"First_Name": "given_name", "LastName": "family_name"}))
-    checked = files.read_directory_csv(t.spark, target)
+    """Two sets of files, the columns of one in another order, with line breaks and quotes in a value."""
+    target = work_folder(t.spark, "csv")
+    columns = [F.col(c).alias(h) for c, h in CSV_HEADERS.items()] + [F.lit('first\nsecond, "third"').alias("Notes")]
+    for i, order in enumerate((columns, columns[::-1])):
+        t.directory.where(F.col("k") % 2 == i).select(*order).write.csv(f"{target}/{i}", header=True, escape='"')
+    told = files.check_files(t.spark, f"{target}/*")
+    checked = files.read_directory_csv(t.spark, f"{target}/*")
     return checked.rows.select("provider_id", joined_list("errors").alias("errors"), F.lit(told["valid"]).alias("complete"))
 
 

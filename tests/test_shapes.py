@@ -8,6 +8,7 @@ from clearroll.operators import checks, edits, merge, review
 from clearroll.plans import validate
 from clearroll.plans.catalogue import QUERIES
 from clearroll.plans.catalogue.registry import Tables
+from clearroll.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,20 @@ def test_queue_is_assigned_by_age_inside_a_priority(spark):
     got = review.assign_balanced(queue, ["R1", "R2"]).orderBy("position").collect()
     assert [r.position for r in got] == list(range(6)) and [r.assigned_to for r in got] == ["R1", "R2"] * 3
     assert [r.job_id for r in got][0] == "j5" and [r.s for r in got] == [90_000, 1, 1, 61, 86_399, 5]
+
+
+def test_csv_files_lose_nothing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('given,family,email\nAnn,"Lee\nRoe",a@b.co\nBob,Fox,b@b.co,surplus,more\n')
+    (tmp_path / "b c.csv").write_text('email,family,given\nc@b.co,Ash,"Cy ""C"""\n')
+    mapping = {"given_name": "given", "family_name": "family", "email": "email"}
+    rows = files.read_directory_csv(spark, str(tmp_path), mapping).rows.collect()
+    got = {r.email: (r.given_name, r.family_name, list(r.errors)) for r in rows}
+    assert got["c@b.co"][:2] == ('Cy "C"', "Ash") and got["a@b.co"][0] == "Ann" and "Roe" in got["a@b.co"][1]
+    assert len(rows) == 3 and files.MALFORMED in got["b@b.co"][2] and files.MALFORMED not in got["a@b.co"][2]
+
+
+def test_repeated_headers_are_seen(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("given_name,family_name,Email,email\nAnn,Lee,x@b.co,y@b.co\n")
+    told = files.check_files(spark, str(tmp_path))
+    assert told["duplicate_headers"] == ["email"] and not told["valid"] and told["row_count"] == 1
+    assert files.read_batch_csv(spark, str(tmp_path)).first().given_name == "Ann"
