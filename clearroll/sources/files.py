@@ -175,6 +175,11 @@ def check_structure(df: DataFrame) -> dict:
     return headers_told(list(df.columns)) | {"row_count": df.count()}
 
 
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """Header names as they stand in the first file, repeats included."""
+    return list(next(iter(file_headers(spark, path)), ()))
+
+
 def check_files(spark: SparkSession, path: str) -> dict:
     """:func:`check_structure` of CSV files by the headers that stand in them, repeats included."""
     told = [headers_told(list(names), aliases=True) for names in file_headers(spark, path)]
