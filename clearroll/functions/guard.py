@@ -16,16 +16,13 @@ def sanitize(c: str | Column, longest: int = 1000) -> Column:
 
 
 def sanitize_map(c: str | Column) -> Column:
-    """Keys cut to 100 characters, values to 1000."""
-    entries = F.map_entries(col(c))
-    return F.map_from_entries(
-        F.transform(
-            entries,
-            lambda e: F.struct(
-                sanitize(e["key"], 100).alias("key"), sanitize(e["value"]).alias("value")
-            ),
-        )
+    """Keys cut to 100 characters, values to 1000; of keys that become equal the last one stays."""
+    entries = F.transform(
+        F.map_entries(col(c)),
+        lambda e: F.struct(sanitize(e["key"], 100).alias("key"), sanitize(e["value"]).alias("value")),
     )
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
 
 
 # class -> (patterns, whether a dot also matches a line end)

@@ -509,12 +509,21 @@ def _(t):
 
 
 @query(
-    "geocode_payloads", "S14 S15 F11", "geocodes",
+    "geocode_payloads", "S14 F11", "geocodes",
     f"""SELECT coalesce(place_id, '') AS place_id, formatted_address, {r6_sql('latitude')} AS latitude, street AS address_street,
   city AS address_city, state AS address_state, zip AS address_zip, 'US' AS country,
   {r6_sql(weights_case('location_type', K.GEOMETRY_CONFIDENCE, 0.5))} AS match_confidence FROM geocodes""",
 )
 def _(t):
+    return payloads.flatten_geocode(place_bodies(t)).select(
+        F.coalesce("place_id", F.lit("")).alias("place_id"), "formatted_address", r6("latitude").alias("latitude"),
+        "address_street", "address_city", "address_state", "address_zip", "country",
+        r6("match_confidence").alias("match_confidence"),
+    )
+
+
+def place_bodies(t):
+    """The geocodes as the JSON answers they come from."""
     def part(long, short, kind):
         return F.struct(long.alias("long_name"), short.alias("short_name"), F.array(F.lit(kind)).alias("types"))
 
@@ -533,12 +542,39 @@ def _(t):
                 "location_type",
             ).alias("geometry"),
             parts.alias("address_components"),
+            F.concat("city", F.lit(" office")).alias("name"),
+            F.array(F.lower("location_type"), F.lit("premise")).alias("types"),
         )
     )
-    return payloads.flatten_geocode(t.geocodes.select(body.alias("payload"))).select(
-        F.coalesce("place_id", F.lit("")).alias("place_id"), "formatted_address", r6("latitude").alias("latitude"),
-        "address_street", "address_city", "address_state", "address_zip", "country",
-        r6("match_confidence").alias("match_confidence"),
+    return t.geocodes.select(body.alias("payload"))
+
+
+@query(
+    "place_details", "S15", "geocodes",
+    """SELECT coalesce(place_id, '') AS place_id, concat(city, ' office') AS name, formatted_address, street AS address_street,
+  concat_ws(',', lower(location_type), 'premise') AS types, coalesce(location_type, '') AS geometry_accuracy FROM geocodes""",
+)
+def _(t):
+    return payloads.flatten_place_details(place_bodies(t)).select(
+        F.coalesce("place_id", F.lit("")).alias("place_id"), "name", "formatted_address", "address_street",
+        joined_list("types", ",").alias("types"), "geometry_accuracy",
+    )
+
+
+@query(
+    "sanitised_headers", "F31", "directory",
+    """SELECT provider_id, coalesce(trim(email), '') AS same, trim(given_name) AS own FROM directory""",
+)
+def _(t):
+    from ...functions import guard
+
+    longest = F.repeat(F.lit("k"), F.lit(100))  # two keys that are equal once they are cut
+    sent = F.create_map(
+        F.concat(longest, F.lit("1")), F.lit("first"), F.lit(" own "), F.concat(F.lit(" "), "given_name"),
+        F.concat(longest, F.lit("2")), F.coalesce("email", F.lit("")),
+    )
+    return t.directory.select("provider_id", guard.sanitize_map(sent).alias("m")).select(
+        "provider_id", F.col("m")[longest].alias("same"), F.col("m")["own"].alias("own")
     )
 
 
