@@ -93,7 +93,8 @@ def links(points: DataFrame, radius: int, blocks: int, second: int | None = None
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp0").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
     dealt = cells(points.select(*fps, keys.alias("k")), ["k"], node_of(fps), CHUNK)
     group = ["k", "_i", "_j"]
-    dealt = dealt.select(*group, node_of(fps).alias("node"), *fps).repartition(*group).sortWithinPartitions(*group)
+    # by node inside a group, so that the cells of a crowd name the same smallest members and their edges coincide
+    dealt = dealt.select(*group, node_of(fps).alias("node"), *fps).repartition(*group).sortWithinPartitions(*group, "node")
 
     def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count((x ^ y).view(np.uint64))  # of a signed number it would count the absolute value's bits
