@@ -27,14 +27,22 @@ SENSITIVE = {
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|your.*|example.*|change.?me.*|placeholder.*|dummy.*|none|null|true|false|todo.*|redacted.*|test)$")
 THRESHOLD = 0.5
-#: A target name is its last so many characters.
-NAME_LENGTH = 256
 
 _OPERATOR = re.compile(r"(?<![=!<>:])(?:=>|:=|=(?![=>])|:(?![:/=]))")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)["']?\]?[ \t]*$""")
+_LETTER = re.compile(r"[A-Za-z_]")
+_IN_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_LONG = re.compile(r"""[ \t]*(?:[A-Za-z]{1,2}(?=["']))?(\"{3}|'{3}|`)""")
 _TERM = re.compile(
-    r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$\{?([A-Za-z_]\w*)\}?|([^\s"'(){}\[\],;<>$+=]+=*))(\()?"""
+    r"""[ \t]*(?:(?:[A-Za-z]{1,2}|u8)?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')|\$\{?([A-Za-z_]\w*)\}?(?![^\s"'(){}\[\],;<>+=])"""
+    r"""|((?:[^\s"'`(){}\[\],;<>$+=]|\$(?![A-Za-z_{]))[^\s"'`(){}\[\],;<>+=]*=*)|\$\{?([A-Za-z_]\w*)\}?)(\()?"""
 )
+_GAP = re.compile(r"(?:\s|\\\n|#[^\n]*\n|//[^\n]*\n)*")
+_NEXT_LINE = re.compile(r"[ \t]*\\?\r?\n\s*")
+_BLOCK = re.compile(r"[ \t]*[|>][-+0-9]{0,2}[ \t]*\r?\n")
+_BELOW = re.compile(r"[ \t]*(?:[|>][-+0-9]{0,2}[ \t]*|\\)\r?\n")
+_LINE = re.compile(r"([ \t]*)([^\n]*)(?:\n|\Z)")
+_ITEM = re.compile(r"-[ \t]+")
+_KEY_NEXT = re.compile(r"[ \t]*(?:=(?!=)|:(?!:))")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.)(?!=)")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]+)</\1>")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -42,10 +50,10 @@ _PLAIN = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*")
 
 
 def name_weight(name: str) -> float:
-    """How sensitive a target name is: its best part, or pair of neighbouring parts, in any case style."""
+    """How sensitive a target name is: its best part, or pair of neighbouring parts, in any case style and number."""
     parts = [p.lower() for p in _WORDS.findall(name)]
     pairs = [a + b for a, b in zip(parts, parts[1:])]
-    return max((SENSITIVE.get(p, 0.0) for p in [*parts, *pairs]), default=0.0)
+    return max((max(SENSITIVE.get(p, 0.0), SENSITIVE.get(p.removesuffix("s"), 0.0)) for p in [*parts, *pairs]), default=0.0)
 
 
 def literal_weight(value: str) -> float:
@@ -58,57 +66,201 @@ def literal_weight(value: str) -> float:
     return min(1.0, 0.3 * min(1, n / 16) + 0.45 * min(1, entropy / 3.5) + 0.25 * (kinds - 1) / 2)
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple]]]:
-    """``(name, terms)`` of every assignment, mapping entry, attribute and element, in text order.
+def name_before(text: str, least: int, end: int) -> str | None:
+    """The target name that ends at ``end``, quotes, a bracket and blanks aside, however long; it begins at ``least`` or later."""
+    if end > least and text[end - 1] == "\n":
+        end -= 1
+    while end > least and text[end - 1] in " \t":
+        end -= 1
+    for closing in ("]", "\"'"):
+        if end > least and text[end - 1] in closing:
+            end -= 1
+    at = end
+    while at > least and text[at - 1] in _IN_NAME:
+        at -= 1
+    m = _LETTER.search(text, at, end)
+    return text[m.start() : end] if m else None
+
+
+def lines_of(text: str, start: int, end: int) -> list[tuple]:
+    """The lines of a long literal as terms of one concatenation, without blanks around them and the lines that frame a key."""
+    terms, at = [], start
+    for line in text[start:end].split("\n"):
+        bare = line.strip()
+        if bare and not bare.startswith("-----"):
+            a = at + line.index(bare)
+            terms.append(("lit", bare, a, a + len(bare)))
+        at += len(line) + 1
+    return terms
+
+
+class Values:
+    """Reads the values of assignments of one text."""
+
+    def __init__(self, text: str):
+        self.text, self.open = text, set()  # quotes that no later quote closes
+
+    def term(self, at: int) -> tuple[list[tuple], int] | None:
+        """The terms of one literal, reference or bare word at ``at`` and its end; a call gives no terms and end -1."""
+        text, long = self.text, _LONG.match(self.text, at)
+        if long and long.group(1) not in self.open:
+            quote, start = long.group(1), long.end()
+            end = text.find(quote, start)
+            while end > start and self.escaped(start, end):
+                end = text.find(quote, end + 1)
+            if end >= 0:
+                return lines_of(text, start, end), end + len(quote)
+            self.open.add(quote)
+        t = _TERM.match(text, at)
+        if not t:
+            return None
+        double, single, whole, bare, part, call = t.groups()
+        if call:
+            return [], -1
+        if double is not None or single is not None:
+            k = 1 if double is not None else 2
+            return [("lit", t.group(k), t.start(k), t.end(k))], t.end()
+        if bare is None:
+            return [("ref", whole or part)], t.end()
+        word = bare.rstrip(".:")
+        kind = ("ref", word) if _PLAIN.fullmatch(word) else None
+        return [("bare", word, t.start(4), t.start(4) + len(word), kind)], t.end()
+
+    def escaped(self, start: int, at: int) -> bool:
+        """Whether an odd number of backslashes stands before ``at``."""
+        k = at
+        while k > start and self.text[k - 1] == "\\":
+            k -= 1
+        return (at - k) % 2 == 1
+
+    def joined(self, at: int) -> tuple[list[tuple], int]:
+        """The terms of a concatenation and where it ends."""
+        terms, end = [], at
+        while (found := self.term(at)) is not None:
+            if found[1] < 0:
+                return [], end
+            terms += found[0]
+            at = end = found[1]
+            j = _JOIN.match(self.text, at)
+            if not j:
+                break
+            at = j.end()
+        return terms, end
+
+    def bracket(self, at: int) -> tuple[list[list[tuple]], int]:
+        """The values within brackets that open at ``at``, over line breaks, up to what is no plain value: a call, a key, a brace."""
+        text, depth, values, now = self.text, 0, [], []
+        while at < len(text):
+            at = _GAP.match(text, at).end()
+            c = text[at : at + 1]
+            if c in ("(", "["):
+                depth, at = depth + 1, at + 1
+            elif c in (")", "]", ","):
+                if now:
+                    values.append(now)
+                now, at = [], at + 1
+                depth -= c != ","
+                if not depth:
+                    break
+            elif c == "+" and now:
+                at += 1
+            else:
+                found = self.term(at)
+                if found is None or found[1] < 0 or _KEY_NEXT.match(text, found[1]):
+                    break
+                bare = found[0] and found[0][0][0] == "bare" and text[at - 1 : at] in (" ", "\t", "\n") and now and now[-1][0] == "bare"
+                if bare:  # two words in a row are no value
+                    now = []
+                    break
+                if found[0] and found[0][0][0] == "bare" and text[found[1] - 1] == "=" and text[found[1] : found[1] + 1].strip(",;)]"):
+                    break  # a keyword, not padding
+                now.extend(found[0])
+                at = found[1]
+        return [*values, now] if now else values, at
+
+    def below(self, name_at: int, at: int) -> tuple[list[list[tuple]], int]:
+        """The values on the lines after an operator: a block, a list of items, or one value."""
+        text = self.text
+        line = text.rfind("\n", 0, name_at) + 1
+        indent = _LINE.match(text, line).end(1) - line
+        block = _BLOCK.match(text, at)
+        if block:
+            end = block.end()
+            while end < len(text):
+                m = _LINE.match(text, end)
+                if m.group(2).strip() and len(m.group(1)) <= indent:
+                    break
+                end = m.end()
+            terms = lines_of(text, block.end(), end)
+            return [terms] if terms else [], end
+        m = _NEXT_LINE.match(text, at)
+        if not m:
+            return [], at
+        start, values, end = m.end(), [], at
+        if text[start : start + 1] in ("(", "["):
+            return self.bracket(start)
+        while item := _ITEM.match(text, start):
+            terms, stop = self.joined(item.end())
+            rest = _LINE.match(text, stop)
+            if not terms or rest.group().strip() or start - (text.rfind("\n", 0, start) + 1) < indent:
+                break
+            values.append(terms)
+            end = stop
+            start = _GAP.match(text, rest.end()).end()
+        if values or item:
+            return values, end
+        terms, stop = self.joined(start)
+        quoted = terms and all(t[0] == "lit" for t in terms)
+        deeper = start - (text.rfind("\n", 0, start) + 1) > indent
+        if not terms or _KEY_NEXT.match(text, stop) or not (quoted or deeper and not _LINE.match(text, stop).group().strip()):
+            return [], at
+        if terms[-1][0] == "bare" and text[terms[-1][3] : stop]:  # a key of its own, "name:"
+            return [], at
+        return [terms], stop
+
+
+def pairs(text: str) -> list[tuple[str, list[tuple], bool]]:
+    """``(name, terms, again)`` of every assignment, mapping entry, attribute and element, in text order.
 
     A term is ``("lit", value, start, end)`` or ``("ref", name)``; several terms are a
-    concatenation.  Calls are not literals.  ``name: type = value`` binds the name.
+    concatenation.  Strings may have prefixes, triple quotes or backticks; values may stand
+    in brackets, on the next line or in a block, and a list gives an entry per value, all
+    but the first ``again``.  Calls are not literals.  ``name: type = value`` binds the name.
     """
     found, prev, last = [], 0, None
+    values = Values(text)
     for op in _OPERATOR.finditer(text):
         if op.start() < prev:
             continue
-        m = _NAME.search(text, max(prev, op.start() - NAME_LENGTH), op.start())
-        name = m.group(1) if m else None
+        name = name_before(text, prev, op.start())
         if name is None and last and op.group() == "=" and not text[prev : op.start()].strip():
             name = last  # what stood between was a type
             found.pop()
         prev, last = op.end(), None
         if name is None:
             continue
-        terms, at = [], op.end()
-        while t := _TERM.match(text, at):
-            double, single, variable, bare, call = t.groups()
-            if call:
-                terms = []
-                break
-            if double is not None or single is not None:
-                k = 1 if double is not None else 2
-                terms.append(("lit", t.group(k), t.start(k), t.end(k)))
-            elif variable:
-                terms.append(("ref", variable))
-            else:
-                word = bare.rstrip(".:")
-                kind = ("ref", word) if _PLAIN.fullmatch(word) else None
-                terms.append(("bare", word, t.start(4), t.start(4) + len(word), kind))
-            at = t.end()
-            j = _JOIN.match(text, at)
-            if not j:
-                break
-            at = j.end()
+        terms, end = ([], 0) if _BELOW.match(text, op.end()) else values.joined(op.end())
         if terms:
-            found.append((name, terms))
-            prev = at
+            found.append((name, terms, False))
+            prev = end
             last = name if len(terms) == 1 and terms[0][0] == "bare" else None
+            continue
+        at = op.end()
+        while text[at : at + 1] in (" ", "\t"):
+            at += 1
+        many, end = values.bracket(at) if text[at : at + 1] in ("(", "[") else values.below(op.start(), op.end())
+        if many:
+            found += [(name, one, n > 0) for n, one in enumerate(many)]
+            prev = end
     if "</" in text:
-        found += [(m.group(1), [("lit", m.group(2), m.start(2), m.end(2))]) for m in _ELEMENT.finditer(text)]
+        found += [(m.group(1), [("lit", m.group(2), m.start(2), m.end(2))], False) for m in _ELEMENT.finditer(text)]
     return found
 
 
 def literals(text: str) -> list[tuple[int, int, float]]:
     """``(start, end, score)`` of literals that reach a sensitive name, directly or through constants."""
     bound = pairs(text)
-    if not any(name_weight(n) for n, _ in bound):
+    if not any(name_weight(n) for n, *_ in bound):
         return []
     latest: dict[str, list] = {}
 
@@ -126,7 +278,7 @@ def literals(text: str) -> list[tuple[int, int, float]]:
         return whole, spans
 
     out: dict[tuple[int, int], float] = {}
-    for name, terms in bound:
+    for name, terms, again in bound:
         latest_here = {name}
         weight = name_weight(name)
         if weight:
@@ -135,7 +287,9 @@ def literals(text: str) -> list[tuple[int, int, float]]:
             if score >= THRESHOLD:
                 for s in spans:
                     out[s] = max(out.get(s, 0.0), score)
-        latest[name] = terms
+        if not again:
+            latest[name] = []
+        latest[name].extend(terms)
     return [(a, b, s) for (a, b), s in out.items() if b > a]
 
 
