@@ -16,7 +16,15 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+#: Characters of an account number by country.
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 "
+    "GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 "
+    "MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 "
+    "TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -58,6 +66,24 @@ def scored(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, START[kind] + STEP * bool(for_it) - STEP * bool(against)))
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping account numbers that pass mod-97.
+
+    A number may end where a token ends: the end that gives its country's length is tried first, then the longest.
+    """
+    found, at = [], 0
+    while m := IBAN.search(text, at):
+        start, at = m.start(), m.start() + 1
+        ends = [e.start() for e in _IBAN_END.finditer(text, start, m.end() + 1) if e.start() <= m.end()]
+        tried = sorted(((text[start:e].replace(" ", ""), e) for e in ends), key=lambda x: (len(x[0]) == IBAN_LENGTH.get(x[0][:2]), x[1]), reverse=True)
+        for plain, end in tried:
+            if len(plain) >= 15 and mod97(plain):
+                found.append((start, end))
+                at = end
+                break
+    return found
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping addresses: every ``@`` has one possible local part, the run before it."""
     found, free, at = [], 0, text.find("@")
@@ -91,10 +117,7 @@ def scan(text: str | None) -> list[tuple]:
             for m in PHONE.finditer(text):
                 if 10 <= sum(c.isdigit() for c in m.group()) <= 15:
                     found.append(("phone", m.start(), m.end()))
-        for m in IBAN.finditer(text):
-            plain = m.group().replace(" ", "")
-            if 15 <= len(plain) <= 34 and mod97(plain):
-                found.append(("iban", m.start(), m.end()))
+        found += [("iban", a, b) for a, b in ibans(text)]
         found += [("ssn", m.start(), m.end()) for m in SSN.finditer(text)]
     out = [(k, a, b, a, scored(text, k, a, b)) for k, a, b in found]
     return [s for s in out if s[0] in BASE or s[4] >= THRESHOLD]
