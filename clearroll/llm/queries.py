@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, mixing, pii, quality, secret_scan, simhash, spans, toxicity
+from . import chat, decontaminate, embeddings, langid, mixing, nearest, pii, quality, secret_scan, simhash, spans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +78,9 @@ def op5_embedding_copies(spark, folder):
 @query
 def op10_toxicity(spark, folder):
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op13_nearest_vectors(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
