@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, mixing, nearest, pii, quality, secret_scan, simhash, spans, toxicity
+from . import chat, decontaminate, embeddings, langid, mixing, nearest, pii, quality, secret_scan, simhash, spans, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op10_toxicity(spark, folder):
 def op13_nearest_vectors(spark, folder):
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query
+def op12_spelling_variants(spark, folder):
+    return variants.variants(table(spark, folder, "documents"))
