@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, langid, mixing, nearest, pii, quality, secret_scan, simhash, spans, toxicity, variants
+from . import chat, collocations, decontaminate, embeddings, langid, mixing, nearest, pii, quality, secret_scan, simhash, spans, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +89,11 @@ def op13_nearest_vectors(spark, folder):
 @query
 def op12_spelling_variants(spark, folder):
     return variants.variants(table(spark, folder, "documents"))
+
+
+@query
+def op11_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+ORACLE["op11_collocations"] = collocations.SQL
