@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,10 @@ SENSITIVE = {
     "secretkey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "connectionstring": 0.8, "salt": 0.6,
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|your.*|example.*|change.?me.*|placeholder.*|dummy.*|none|null|true|false|todo.*|redacted.*|test)$")
+OPENING = re.compile(r"(?i)your|example|change.?me|placeholder|dummy|todo|redacted")
 THRESHOLD = 0.5
+#: First code points of a value that are kept, as many as a placeholder's opening may have; where lengths and counts stop.
+HEAD, MOST = 16, 1 << 60
 
 _OPERATOR = re.compile(r"(?<![=!<>:])(?:=>|:=|=(?![=>])|:(?![:/=]))")
 _LETTER = re.compile(r"[A-Za-z_]")
@@ -41,6 +46,8 @@ _NEXT_LINE = re.compile(r"[ \t]*\\?\r?\n\s*")
 _BLOCK = re.compile(r"[ \t]*[|>][-+0-9]{0,2}[ \t]*\r?\n")
 _BELOW = re.compile(r"[ \t]*(?:[|>][-+0-9]{0,2}[ \t]*|\\)\r?\n")
 _LINE = re.compile(r"([ \t]*)([^\n]*)(?:\n|\Z)")
+_BLANKS = re.compile(r"[ \t]*")
+_REST = re.compile(r"[^\S\n]*(?:\n|\Z)")
 _ITEM = re.compile(r"-[ \t]+")
 _KEY_NEXT = re.compile(r"[ \t]*(?:=(?!=)|:(?!:))")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.)(?!=)")
@@ -56,14 +63,62 @@ def name_weight(name: str) -> float:
     return max((max(SENSITIVE.get(p, 0.0), SENSITIVE.get(p.removesuffix("s"), 0.0)) for p in [*parts, *pairs]), default=0.0)
 
 
-def literal_weight(value: str) -> float:
-    """How much a literal looks like a key: length, entropy and kinds of characters; placeholders have none."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    n = len(value)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-    return min(1.0, 0.3 * min(1, n / 16) + 0.45 * min(1, entropy / 3.5) + 0.25 * (kinds - 1) / 2)
+class Literal:
+    """What scoring needs of a value: its length, characters and ends, not its text; and the values it is joined from.
+
+    Characters are counted by the last eight bits of their code points, and counts of more
+    than ``MOST`` are halved together, so joining costs the same however long a value gets.
+    """
+
+    __slots__ = ("size", "counts", "head", "last", "blank", "kinds", "parts", "span", "score")
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None):
+        self.size, self.head, self.last, self.parts, self.span, self.score = len(text), text[:HEAD], text[-1:], [], span, 0.0
+        chars = Counter(text)
+        self.counts = Counter()
+        for c, n in chars.items():
+            self.counts[ord(c) & 255] += n
+        self.blank = any(c.isspace() for c in chars)
+        self.kinds = sum(1 << i for i, test in enumerate((str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())) if any(map(test, chars)))
+
+    def weight(self) -> float:
+        """How much the value looks like a key: length, entropy and kinds of characters; placeholders have none."""
+        if self.size < 8 or self.blank or self.placeholder():
+            return 0.0
+        total = self.counts.total()
+        shares = [k / total for k in self.counts.values()]
+        entropy = -sum(p * math.log2(p) for p in shares if p)
+        return min(1.0, 0.3 * min(16, self.size) / 16 + 0.45 * min(1, entropy / 3.5) + 0.25 * (self.kinds.bit_count() - 1) / 2)
+
+    def placeholder(self) -> bool:
+        if self.size <= HEAD:
+            return bool(PLACEHOLDER.match(self.head))
+        if set(self.counts) <= {ord("x"), ord("X")} or len(self.counts) == 1 and self.head[0] in "*.":
+            return True
+        return self.head[0] == "<" and self.last == ">" or bool(OPENING.match(self.head))
+
+
+def joined_of(parts: list[Literal], made: list[Literal]) -> Literal:
+    """The parts as one value; a new one is added to ``made``."""
+    if len(parts) == 1:
+        return parts[0]
+    out = Literal()
+    for p in parts:
+        if out.size < HEAD:
+            out.head = (out.head + p.head)[:HEAD]
+        out.size += p.size
+        out.counts.update(p.counts)
+        out.last = p.last or out.last
+        out.blank |= p.blank
+        out.kinds |= p.kinds
+    total = out.counts.total()
+    if total > MOST:
+        by = (total // MOST).bit_length()
+        out.counts = Counter({c: max(1, n >> by) for c, n in out.counts.items()})
+    out.size = min(out.size, MOST)
+    out.parts = parts
+    made.append(out)
+    return out
 
 
 def name_before(text: str, least: int, end: int) -> str | None:
@@ -99,10 +154,25 @@ class Values:
 
     def __init__(self, text: str):
         self.text, self.open = text, set()  # quotes that no later quote closes
+        self.called = 0  # up to where a word that is called goes
+        self.lines = None  # where lines start
+
+    def indent(self, at: int) -> int:
+        """The blanks before the line that ``at`` is in."""
+        if self.lines is None:
+            self.lines = [0, *[m.end() for m in re.finditer("\n", self.text)]]
+        line = self.lines[bisect_right(self.lines, at) - 1]
+        return _BLANKS.match(self.text, line).end() - line
+
+    def column(self, at: int) -> int:
+        self.indent(at)
+        return at - self.lines[bisect_right(self.lines, at) - 1]
 
     def term(self, at: int) -> tuple[list[tuple], int] | None:
         """The terms of one literal, reference or bare word at ``at`` and its end; a call gives no terms and end -1."""
         text, long = self.text, _LONG.match(self.text, at)
+        if at < self.called:
+            return [], -1
         if long and long.group(1) not in self.open:
             quote, start = long.group(1), long.end()
             end = text.find(quote, start)
@@ -116,6 +186,7 @@ class Values:
             return None
         double, single, whole, bare, part, call = t.groups()
         if call:
+            self.called = t.end() - 1
             return [], -1
         if double is not None or single is not None:
             k = 1 if double is not None else 2
@@ -149,7 +220,7 @@ class Values:
 
     def bracket(self, at: int) -> tuple[list[list[tuple]], int]:
         """The values within brackets that open at ``at``, over line breaks, up to what is no plain value: a call, a key, a brace."""
-        text, depth, values, now = self.text, 0, [], []
+        text, depth, values, now, plus = self.text, 0, [], [], False
         while at < len(text):
             at = _GAP.match(text, at).end()
             c = text[at : at + 1]
@@ -163,26 +234,24 @@ class Values:
                 if not depth:
                     break
             elif c == "+" and now:
-                at += 1
+                at, plus = at + 1, True
             else:
                 found = self.term(at)
                 if found is None or found[1] < 0 or _KEY_NEXT.match(text, found[1]):
                     break
-                bare = found[0] and found[0][0][0] == "bare" and text[at - 1 : at] in (" ", "\t", "\n") and now and now[-1][0] == "bare"
+                bare = found[0] and found[0][0][0] == "bare" and text[at - 1 : at] in (" ", "\t", "\n") and now and now[-1][0] == "bare" and not plus
                 if bare:  # two words in a row are no value
                     now = []
                     break
                 if found[0] and found[0][0][0] == "bare" and text[found[1] - 1] == "=" and text[found[1] : found[1] + 1].strip(",;)]"):
                     break  # a keyword, not padding
                 now.extend(found[0])
-                at = found[1]
+                at, plus = found[1], False
         return [*values, now] if now else values, at
 
     def below(self, name_at: int, at: int) -> tuple[list[list[tuple]], int]:
         """The values on the lines after an operator: a block, a list of items, or one value."""
-        text = self.text
-        line = text.rfind("\n", 0, name_at) + 1
-        indent = _LINE.match(text, line).end(1) - line
+        text, indent = self.text, self.indent(name_at)
         block = _BLOCK.match(text, at)
         if block:
             end = block.end()
@@ -201,8 +270,8 @@ class Values:
             return self.bracket(start)
         while item := _ITEM.match(text, start):
             terms, stop = self.joined(item.end())
-            rest = _LINE.match(text, stop)
-            if not terms or rest.group().strip() or start - (text.rfind("\n", 0, start) + 1) < indent:
+            rest = _REST.match(text, stop)
+            if not terms or not rest or self.column(start) < indent:
                 break
             values.append(terms)
             end = stop
@@ -211,8 +280,8 @@ class Values:
             return values, end
         terms, stop = self.joined(start)
         quoted = terms and all(t[0] == "lit" for t in terms)
-        deeper = start - (text.rfind("\n", 0, start) + 1) > indent
-        if not terms or _KEY_NEXT.match(text, stop) or not (quoted or deeper and not _LINE.match(text, stop).group().strip()):
+        deeper = self.column(start) > indent
+        if not terms or _KEY_NEXT.match(text, stop) or not (quoted or deeper and _REST.match(text, stop)):
             return [], at
         if terms[-1][0] == "bare" and text[terms[-1][3] : stop]:  # a key of its own, "name:"
             return [], at
@@ -258,39 +327,76 @@ def pairs(text: str) -> list[tuple[str, list[tuple], bool]]:
 
 
 def literals(text: str) -> list[tuple[int, int, float]]:
-    """``(start, end, score)`` of literals that reach a sensitive name, directly or through constants."""
-    bound = pairs(text)
-    if not any(name_weight(n) for n, *_ in bound):
+    """``(start, end, score)`` of literals that reach a sensitive name, directly or through constants.
+
+    A reference means the last value its name has been given before, else the first one it
+    is given later.  Every constant is worked out once, whatever uses it, with a stack of
+    its own instead of recursion; one that needs itself counts as the bare word it is.
+    """
+    bound: list[tuple[str, list[list[tuple]]]] = []
+    for name, terms, again in pairs(text):
+        if again:
+            bound[-1][1].append(terms)
+        else:
+            bound.append((name, [terms]))
+    weights = [name_weight(name) for name, _ in bound]
+    if not any(weights):
         return []
-    latest: dict[str, list] = {}
-
-    def value(terms: list, seen: frozenset) -> tuple[str, list[tuple[int, int]]]:
-        whole, spans = "", []
-        for t in terms:
-            ref = t[1] if t[0] == "ref" else t[4][1] if t[0] == "bare" and t[4] else None
-            if ref is not None and ref in latest and ref not in seen:
-                v, s = value(latest[ref], seen | {ref})
-            elif t[0] == "ref":
-                v, s = "", []
-            else:
-                v, s = t[1], [(t[2], t[3])]
-            whole, spans = whole + v, spans + s
-        return whole, spans
-
-    out: dict[tuple[int, int], float] = {}
-    for name, terms, again in bound:
-        latest_here = {name}
-        weight = name_weight(name)
-        if weight:
-            whole, spans = value(terms, frozenset(latest_here))
-            score = weight * literal_weight(whole)
+    where: dict[str, list[int]] = {}
+    for g, (name, _) in enumerate(bound):
+        where.setdefault(name, []).append(g)
+
+    def target(term: tuple, g: int) -> int | None:
+        name = term[1] if term[0] == "ref" else term[4][1] if term[0] == "bare" and term[4] else None
+        places = where.get(name)
+        if not places:
+            return None
+        k = bisect_left(places, g)
+        if k:
+            return places[k - 1]
+        return next((p for p in places[:2] if p != g), None)
+
+    made: list[Literal] = []
+    values: list[list[Literal] | None] = [None] * len(bound)  # of every entry of a binding
+    wholes: list[Literal | None] = [None] * len(bound)
+    entered = [False] * len(bound)
+
+    def value(term: tuple, g: int) -> list[Literal]:
+        to = target(term, g)
+        if to is not None and wholes[to] is not None:
+            return [wholes[to]]
+        if term[0] == "ref":
+            return []
+        leaf = Literal(term[1], (term[2], term[3]))
+        made.append(leaf)
+        return [leaf]
+
+    for root in [g for g, w in enumerate(weights) if w]:
+        stack = [root]
+        while stack:
+            g = stack[-1]
+            if not entered[g]:
+                entered[g] = True
+                needs = {target(t, g) for terms in bound[g][1] for t in terms} - {None}
+                stack += [n for n in sorted(needs, reverse=True) if not entered[n]]
+                continue
+            stack.pop()
+            if values[g] is None:
+                values[g] = [joined_of([v for t in terms for v in value(t, g)], made) for terms in bound[g][1]]
+                wholes[g] = joined_of(values[g], made)
+    for g, weight in enumerate(weights):
+        for v in values[g] if weight else ():
+            score = weight * v.weight()
             if score >= THRESHOLD:
-                for s in spans:
-                    out[s] = max(out.get(s, 0.0), score)
-        if not again:
-            latest[name] = []
-        latest[name].extend(terms)
-    return [(a, b, s) for (a, b), s in out.items() if b > a]
+                v.score = max(v.score, score)
+    out = []
+    for v in reversed(made):  # parts are made before what they are joined to
+        if v.score:
+            for p in v.parts:
+                p.score = max(p.score, v.score)
+            if v.span and v.span[1] > v.span[0]:
+                out.append((*v.span, v.score))
+    return sorted(out)
 
 
 def scan(text: str | None) -> list[tuple]:
@@ -305,9 +411,11 @@ def scan(text: str | None) -> list[tuple]:
         found += [("access", m.start(), m.end(), m.start(), 1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", m.start(), m.end(), m.start(), 1.0) for m in HEX.finditer(text)]
     if assigns or "</" in text:
-        base = list(found)
+        base = sorted((s, e) for _, s, e, _, _ in found)
+        starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
         for a, b, score in literals(text):
-            if not any(s <= a and b <= e for _, s, e, _, _ in base):
+            k = bisect_right(starts, a)
+            if not k or reach[k - 1] < b:
                 found.append(("literal", a, b, a, score))
     return found
 

@@ -1,11 +1,25 @@
 """Secret and personal data spans against the plain patterns, and what the methods add."""
 
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
+
+import pytest
 
 from clearroll.llm import pii, secret_scan, spans
 
+#: Long chains of constants, constants that double, a list named again and again, and operators that nothing follows.
+CONSTANTS = [
+    'v0 = "Zx9kQ2pL"\n' + "".join(f"v{i + 1} = v{i}\n" for i in range(12_000)) + "password = v12000",
+    'v0 = "Zx9kQ2pL"\n' + "".join(f"v{i + 1} = v{i} + v{i}\n" for i in range(3_000)) + "password = v3000",
+    "tokens = [" + ", ".join(f"'Zx9kQ2pLm7Rt{i}'" for i in range(10_000)) + "]\n" + "token = tokens\n" * 20_000,
+    "a=;" * 100_000,
+    "secret=a;" + "a:" * 100_000 + "b(",
+    "".join(f'v{i} = v{i + 1} + "{chr(0x4E00 + i)}"\n' for i in range(8_000)) + "secret = v0",
+]
 HOSTILE = ["a=" * 30_000, "x@" * 20_000, "1" * 60_000, "password" * 8_000, '"' * 30_000, "+1" + " 2" * 20_000, "a.b" * 20_000, "<a>" * 20_000, "AB12" + " A" * 9000]
 
 
@@ -60,6 +74,104 @@ def test_hostile_texts_end_soon():
         secret_scan.scan(text), pii.scan(text), secret_scan.redacted(text)
 
 
+@pytest.mark.parametrize("n", range(len(CONSTANTS)))
+def test_constants_of_any_depth_end_soon(n):
+    start = time.process_time()
+    found = secret_scan.scan(CONSTANTS[n])
+    assert time.process_time() - start < 2.5
+    assert len(found) == [1, 1, 10_000, 0, 0, 8_001][n]
+    if n == 1:
+        assert found[0][0] == "literal" and CONSTANTS[n][found[0][1] : found[0][2]] == "Zx9kQ2pL"
+
+
+def text_weight(value):
+    """The weight of a literal, from its whole text."""
+    if len(value) < 8 or secret_scan.PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+        return 0.0
+    n = len(value)
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
+    return min(1.0, 0.3 * min(1, n / 16) + 0.45 * min(1, entropy / 3.5) + 0.25 * (kinds - 1) / 2)
+
+
+def program(rng):
+    """Random assignments as ``(text, bindings)``; a binding is a name and its values, lists of ``(literal, start, end)`` or names."""
+    names = ["alpha", "beta", "gamma", "delta", "eps", "password", "db_token"]
+    text, bound = "", []
+    for _ in range(rng.randint(2, 14)):
+        name, values = rng.choice(names), []
+        text += f"{name} = "
+        several = rng.random() < 0.2
+        text += "[" * several
+        for i in range(rng.randint(2, 3) if several else 1):
+            text += ", " * (i > 0)
+            terms = []
+            for k in range(rng.choice([1, 1, 2, 3])):
+                text += " + " * (k > 0)
+                if rng.random() < 0.5:
+                    terms.append(rng.choice(names[:5]))
+                    text += terms[-1]
+                else:
+                    own = rng.choice(["Zx9kQ2", "pLm7Rt5v", "a", "xxxxxx", "your-", "hG4!nB8vCw1Ys6", "<", ">", "", "aaaa aaaa"])
+                    terms.append((own, len(text) + 1, len(text) + 1 + len(own)))
+                    text += f'"{own}"'
+            values.append(terms)
+        text += "]" * several + "\n"
+        bound.append((name, values))
+    return text, bound
+
+
+def resolved(bound):
+    """Spans by writing every value out in full; None where constants need each other."""
+    spans = {}
+
+    def value(terms, g, path):
+        whole, own = "", []
+        for t in terms:
+            if isinstance(t, str):
+                before = [k for k in range(g) if bound[k][0] == t]
+                later = [k for k in range(g + 1, len(bound)) if bound[k][0] == t]
+                if before or later:
+                    to = before[-1] if before else later[0]
+                    if to in path:
+                        raise RecursionError
+                    parts = [value(v, to, path | {to}) for v in bound[to][1]]
+                    whole, own = whole + "".join(p[0] for p in parts), own + [x for p in parts for x in p[1]]
+                else:
+                    whole += t  # a bare word
+            else:
+                whole, own = whole + t[0], own + [t[1:]]
+        return whole, own
+
+    for g, (name, values) in enumerate(bound):
+        for terms in values if name in ("password", "db_token") else ():
+            whole, own = value(terms, g, {g})
+            score = (1.0 if name == "password" else 0.9) * text_weight(whole)
+            for a, b in own:
+                if score >= secret_scan.THRESHOLD and b > a:
+                    spans[a, b] = max(spans.get((a, b), 0.0), score)
+    return spans
+
+
+def test_constants_are_what_writing_them_out_gives():
+    rng, told = random.Random(12), 0
+    for _ in range(3000):
+        text, bound = program(rng)
+        try:
+            want = resolved(bound)
+        except RecursionError:
+            secret_scan.scan(text)
+            continue
+        got = {(a, b): s for a, b, s in secret_scan.literals(text)}
+        bare = {k: s for k, s in got.items() if text[k[0] - 1] != '"'}
+        assert all(text[a:b] in ("alpha", "beta", "gamma", "delta", "eps") for a, b in bare)
+        got = {k: s for k, s in got.items() if k not in bare}
+        assert set(got) == set(want), text
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want), text
+        told += bool(want)
+    assert told > 300
+
+
 def test_lexer_pairs_constants_and_scores():
     names = lambda t: [(k, t[a:b]) for k, a, b, _, _ in secret_scan.scan(t)]
     assert names('KEY = "Zx9$kQ2pLm7Rt5"\npassword = KEY') == [("literal", "Zx9$kQ2pLm7Rt5")]
