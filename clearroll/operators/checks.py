@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scores, text
-from .lookup import attach, attach_by_id
+from .lookup import attach, attach_by_id, hot_values
 
 FIELD_TYPE = "array<struct<field:string,value:string,confidence:double>>"
 RESULT_COLUMNS = ["provider_id", "source", "success", "confidence", "error_message", "fields"]
@@ -57,10 +57,13 @@ def as_results(df: DataFrame, answer: str) -> DataFrame:
 # -- registry ----------------------------------------------------------------
 
 
-def with_registry(records: DataFrame, registry: DataFrame, unique: bool = False, **skew) -> DataFrame:
+def registry_key() -> Column:
     npi = text.digits_only("npi_number")
-    key = F.when(F.length(npi) == 10, npi)
-    return attach(records, registry, key, F.col("npi_number"), "registry", "provider_id", unique, **skew)
+    return F.when(F.length(npi) == 10, npi)
+
+
+def with_registry(records: DataFrame, registry: DataFrame, unique: bool = False, **skew) -> DataFrame:
+    return attach(records, registry, registry_key(), F.col("npi_number"), "registry", "provider_id", unique, **skew)
 
 
 def registry_answer(hit: str = "registry") -> Column:
@@ -108,10 +111,13 @@ def registry_name_check(hit: str = "registry", field: str = "family_name") -> Co
 # -- address -------------------------------------------------------------------
 
 
+def geocode_key() -> Column:
+    return F.when(text.is_present("address_street"), text.address_key(text.full_address()))
+
+
 def with_geocode(records: DataFrame, geocodes: DataFrame, unique: bool = False, **skew) -> DataFrame:
-    asked = F.when(text.is_present("address_street"), text.address_key(text.full_address()))
     return attach(
-        records, geocodes, asked, text.address_key("formatted_address"), "geocode", "provider_id", unique, **skew
+        records, geocodes, geocode_key(), text.address_key("formatted_address"), "geocode", "provider_id", unique, **skew
     )
 
 
@@ -154,12 +160,13 @@ def address_place_check(hit: str = "geocode", limit_m: float = 100.0) -> Column:
 # -- license ---------------------------------------------------------------------
 
 
-def with_license(records: DataFrame, licenses: DataFrame, unique: bool = False, **skew) -> DataFrame:
-    def key() -> Column:
-        number = text.license_key("license_number")
-        return F.when(number.isNotNull(), F.concat_ws("|", number, F.upper(F.trim("license_state"))))
+def license_pair() -> Column:
+    number = text.license_key("license_number")
+    return F.when(number.isNotNull(), F.concat_ws("|", number, F.upper(F.trim("license_state"))))
 
-    return attach(records, licenses, key(), key(), "license", "provider_id", unique, **skew)
+
+def with_license(records: DataFrame, licenses: DataFrame, unique: bool = False, **skew) -> DataFrame:
+    return attach(records, licenses, license_pair(), license_pair(), "license", "provider_id", unique, **skew)
 
 
 def license_answer(hit: str = "license") -> Column:
@@ -292,6 +299,23 @@ def check_phones(records: DataFrame, area_codes: DataFrame) -> DataFrame:
 # -- union of all checks -----------------------------------------------------------------
 
 
+def with_references(
+    records: DataFrame, registry: DataFrame, geocodes: DataFrame, licenses: DataFrame, unique_references: bool = False, **skew
+) -> DataFrame:
+    """Records with ``geocode``, ``registry`` and ``license`` beside them.
+
+    The hot keys of all three are found in one pass over the records, before any join; with
+    none, each look-up is one exchange of the records and one of its reference.
+    """
+    keys = {"geocode": geocode_key()}
+    if not unique_references:
+        keys |= {"registry": registry_key(), "license": license_pair()}
+    hot = hot_values(records, keys, "provider_id", **skew)
+    found = with_geocode(records, geocodes, hot=hot["geocode"])
+    found = with_registry(found, registry, unique_references, hot=hot.get("registry"))
+    return with_license(found, licenses, unique_references, hot=hot.get("license"))
+
+
 def answer_records(
     records: DataFrame,
     registry: DataFrame,
@@ -304,15 +328,12 @@ def answer_records(
     """Records with ``answers``, and the matched reference rows beside them.
 
     ``unique_references`` states that registry and licenses are keyed tables; otherwise
-    they are reduced to one row per key, as the geocode table always is.  It comes first, so
-    that the sample of hot addresses is taken from the records themselves.  The two joins by
+    they are reduced to one row per key, as the geocode table always is.  The two joins by
     record id come last and share one exchange, which is also that of any step after.
     The document check is left out for records without a document, as such a task is never
     created.
     """
-    found = with_geocode(records, geocodes)
-    found = with_registry(found, registry, unique_references)
-    found = with_license(found, licenses, unique_references)
+    found = with_references(records, registry, geocodes, licenses, unique_references)
     found = with_documents(with_enrichment(found, enrichment), extracted)
     document = F.when(text.is_present("document_path"), document_answer())
     answers = F.array_compact(

@@ -50,6 +50,26 @@ def hot_keys(df: DataFrame, key: str, sample: float = SAMPLE, hits: int = SAMPLE
     )
 
 
+def hot_values(
+    df: DataFrame, keys: dict[str, Column], row_id: str, sample: float = SAMPLE, hits: int = SAMPLE_HITS
+) -> dict[str, list[str]]:
+    """For each named key of the rows, at most :data:`HOT_KEYS` values that dominate it, from one pass over a sample.
+
+    This runs a job: it reads the key columns of a sample that a hash of ``row_id`` chooses
+    and brings at most :data:`HOT_KEYS` values per key to the driver.  Several look-ups from
+    the same rows share it, so none has to run what stands before it to find its hot keys.
+    """
+    chosen = F.pmod(F.xxhash64(row_id, F.lit(17)), F.lit(1_000_000)) < int(sample * 1_000_000)
+    probe = df if sample >= 1 else df.where(chosen)
+    pairs = F.array(*[F.struct(F.lit(name).alias("name"), key.cast("string").alias("key")) for name, key in keys.items()])
+    counted = probe.select(F.inline(pairs)).where("key IS NOT NULL").groupBy("name", "key").count()
+    found: dict[str, list[str]] = {name: [] for name in keys}
+    for r in counted.where(F.col("count") >= hits).orderBy(F.desc("count"), "name", "key").limit(HOT_KEYS * len(keys)).collect():
+        if len(found[r["name"]]) < HOT_KEYS:
+            found[r["name"]].append(r["key"])
+    return found
+
+
 def attach(
     left: DataFrame,
     right: DataFrame,
@@ -60,6 +80,7 @@ def attach(
     unique: bool = False,
     sample: float = SAMPLE,
     hits: int = SAMPLE_HITS,
+    hot: list[str] | None = None,
 ) -> DataFrame:
     """``left`` with a struct column ``alias``: the matching right row, or NULL.
 
@@ -70,8 +91,10 @@ def attach(
     ``unique`` states that ``right`` has one row per key: then this is a plain
     left join of two exchanges, which adaptive execution splits where it is
     skewed.  Otherwise ``right`` is reduced to one row per key first, and the hot
-    keys of ``left`` are salted over :data:`HOT_SPREAD` tasks.  The hot-key set is
-    broadcast: it has at most :data:`HOT_KEYS` rows by construction.
+    keys of ``left`` are salted over :data:`HOT_SPREAD` tasks.  ``hot`` names them (see
+    :func:`hot_values`); where it is empty nothing is salted, and the exchange that reduces
+    ``right`` is also the join's.  Without ``hot`` they are found in ``left`` itself, by a
+    set that is broadcast: it has at most :data:`HOT_KEYS` rows by construction.
     """
     own = F.concat(F.lit("\x01"), F.col(row_id).cast("string"))
     keyed = left.withColumn("_key", left_key.cast("string"))
@@ -83,6 +106,18 @@ def attach(
         return spread.join(payload, F.col("_key") == F.col("_rkey"), "left").drop("_key", "_rkey")
 
     reduced = payload.groupBy("_rkey").agg(F.min(alias).alias(alias))
+    if hot is not None:
+        spread = keyed.withColumn("_key", F.coalesce("_key", own))
+        if not hot:
+            return spread.join(reduced, F.col("_key") == F.col("_rkey"), "left").drop("_key", "_rkey")
+        salt = F.pmod(F.xxhash64(row_id), F.lit(HOT_SPREAD)).cast("int")
+        spread = spread.withColumn("_salt", F.when(F.col("_key").isin(hot), salt).otherwise(0))
+        salts = F.when(F.col("_rkey").isin(hot), F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1))).otherwise(F.array(F.lit(0)))
+        copies = reduced.withColumn("_rsalt", F.explode(salts))
+        return spread.join(
+            copies, (F.col("_key") == F.col("_rkey")) & (F.col("_salt") == F.col("_rsalt")), "left"
+        ).drop("_key", "_rkey", "_salt", "_rsalt")
+
     hot = hot_keys(keyed, "_key", sample, hits, row_id).withColumnRenamed("_key", "_hot")
     salted = (
         keyed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")

@@ -394,8 +394,7 @@ UNION ALL SELECT 'state_board_verification', CASE WHEN l.license_number IS NULL
   WHEN upper(l.license_status) IN ('SUSPENDED', 'REVOKED') THEN 'invalid' ELSE 'warning' END FROM {LIC_JOIN} WHERE coalesce(d.license_number, '') <> ''
 UNION ALL SELECT 'unheard_of', 'unknown' FROM directory) x GROUP BY rule_type, status""")
 def _(t):
-    found = checks.with_registry(checks.with_geocode(t.directory, t.geocodes), t.registry)
-    found = checks.with_license(found, t.licenses)
+    found = checks.with_references(t.directory, t.registry, t.geocodes, t.licenses)
     own = [
         rules.Rule("family_name", "fuzzy_matching", {"levenshtein_threshold": 0.85}),
         rules.Rule("license_number", "state_board_verification", {}, "state_board"),
@@ -431,8 +430,7 @@ FROM (SELECT *, CASE WHEN total = 0 THEN 0e0 ELSE good * 100e0 / total END AS sc
     JOIN (SELECT d.provider_id, l.license_number IS NOT NULL AS ok FROM {LIC_JOIN}) c ON a.provider_id = c.provider_id) v
   ON j.provider_id = v.provider_id) y) z""")
 def _(t):
-    found = checks.with_registry(checks.with_geocode(t.directory, t.geocodes), t.registry)
-    found = checks.with_license(found, t.licenses)
+    found = checks.with_references(t.directory, t.registry, t.geocodes, t.licenses)
     outcomes = found.select(
         "provider_id",
         checks.registry_answer()["success"].alias("npi_valid"),

@@ -27,7 +27,7 @@ def hot_records(spark, n=3000):
 def test_attach_matches_a_plain_join_under_skew(spark):
     left = hot_records(spark)
     right = spark.createDataFrame([("hot", "b"), ("hot", "a"), ("2", "x"), ("5", "y"), (None, "z")], "k string, v string")
-    for options in ({"sample": 1.0, "hits": 10}, {"sample": 1.0, "hits": 10**9}, {}):
+    for options in ({"sample": 1.0, "hits": 10}, {"sample": 1.0, "hits": 10**9}, {}, {"hot": []}, {"hot": ["hot", "gone"]}):
         got = lookup.attach(left, right, F.col("k"), F.col("k"), "hit", "row", **options)
         assert got.count() == 3000
         found = {(r.k, r.v): r.n for r in got.groupBy("k", F.col("hit.v").alias("v")).agg(F.count("*").alias("n")).where("v is not null").collect()}
@@ -41,11 +41,14 @@ def test_hot_keys_are_salted(spark):
     right = spark.createDataFrame([("hot", "a")], "k string, v string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    found = lookup.hot_values(left, {"k": F.col("k"), "row": F.col("row"), "none": F.lit(None)}, "row", sample=1.0, hits=500)
+    assert found == {"k": ["hot"], "row": [], "none": []}
     try:
-        got = lookup.attach(left, right, F.col("k"), F.col("k"), "hit", "row", sample=1.0, hits=500)
-        spread = got.where("hit is not null").groupBy(F.spark_partition_id().alias("p")).count().collect()
-        assert sum(r["count"] for r in spread) == 1000 and len(spread) == 8
-        assert max(r["count"] for r in spread) < 400
+        for options in ({"sample": 1.0, "hits": 500}, {"hot": found["k"]}):
+            got = lookup.attach(left, right, F.col("k"), F.col("k"), "hit", "row", **options)
+            spread = got.where("hit is not null").groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert sum(r["count"] for r in spread) == 1000 and len(spread) == 8
+            assert max(r["count"] for r in spread) < 400
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")

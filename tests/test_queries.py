@@ -55,5 +55,17 @@ def test_pushdown_and_pruning(spark, folder):
     assert re.search(r"ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>", plan)
 
 
+@pytest.mark.parametrize("name,most", [("validation_outcomes", 14), ("validation_reports", 14), ("job_scores", 10), ("merged_confidence", 20)])
+def test_records_are_exchanged_once_per_reference(spark, folder, name, most):
+    """No look-up runs what stands before it a second time."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = planned(spark, folder, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall("Exchange hashpartitioning", plan)) <= most
+    assert "BroadcastExchange" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
