@@ -6,6 +6,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
 from operator import itemgetter
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import saved
+
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself that a passage must reach to be verified.
 RETRIEVE = 0.6
@@ -22,6 +25,8 @@ RETRIEVE = 0.6
 SHINGLE, OVERLAP, PART = 5, 0.8, 0.5
 #: Items per block of the index.
 BLOCK = 8
+#: Block maxima added up at once.
+AT_ONCE = 2_000_000
 #: Characters of items that one index takes; more items are searched in several passes.
 ITEM_CHARS = 8 << 20
 
@@ -47,19 +52,23 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words_of(text[:cut]), words_of(text[cut:])
 
 
-def build(items: list[tuple]) -> dict:
+def build(items: list[tuple], statistics: tuple[int, float, dict[str, int]] | None = None) -> dict:
     """The index of ``(item_id, text)``, as plain values: terms, and postings per class of item length.
 
     A class holds items of up to twice the length of the class before; its passages are
     twice as long as its longest items can be and overlap by half, so every item lies whole
     in one.  Impacts are BM25 term scores over the item's score against itself.
+    ``statistics`` are the number of items, their mean length and how many hold a term;
+    without them, those of ``items``.  A block of many items gets those of all.
     """
     worded = [(item, text, words_of(text)) for item, text in items if text]
     worded = [x for x in worded if x[2]]
-    seen = Counter(t for _, _, w in worded for t in set(w))
-    idf = {t: math.log(1 + (len(worded) - n + 0.5) / (n + 0.5)) for t, n in seen.items()}
-    mean = sum(len(w) for _, _, w in worded) / max(1, len(worded))
-    terms = {t: i + 1 for i, t in enumerate(sorted(seen))}
+    if statistics is None:
+        statistics = len(worded), sum(len(w) for _, _, w in worded) / max(1, len(worded)), Counter(t for _, _, w in worded for t in set(w))
+    total, mean, seen = statistics
+    own = sorted({t for _, _, w in worded for t in w})
+    idf = {t: math.log(1 + (total - seen[t] + 0.5) / (seen[t] + 0.5)) for t in own}
+    terms = {t: i + 1 for i, t in enumerate(own)}
     grouped = defaultdict(list)
     for x in worded:
         grouped[max(3, (len(x[2]) - 1).bit_length())].append(x)
@@ -72,34 +81,67 @@ def build(items: list[tuple]) -> dict:
             whole = sum(scores.values())
             for t, s in scores.items():
                 postings[terms[t]].append((n, s / whole))
-        most, lists, blocks = np.zeros(len(terms) + 1), {}, {}
-        for t, entries in postings.items():
-            top: dict[int, float] = {}
+        most, lists = np.zeros(len(terms) + 1), {}
+        # the blocks of term t and their largest impacts are entries first[t] to first[t + 1]
+        first, blocks, tops = np.zeros(len(terms) + 2, np.int64), [], []
+        for t in range(1, len(terms) + 1):
+            entries, top = postings.get(t, ()), {}
             for n, s in entries:
                 top[n // BLOCK] = max(top.get(n // BLOCK, 0.0), s)
-            most[t] = max(top.values())
-            lists[t] = ([n for n, _ in entries], [s for _, s in entries])
-            blocks[t] = (np.array(list(top), np.int64), np.array(list(top.values())))
-        classes.append({"lists": lists, "blocks": blocks, "most": most, "items": members, "step": 1 << bits})
+            if entries:
+                most[t] = max(top.values())
+                lists[t] = ([n for n, _ in entries], [s for _, s in entries])
+            blocks += top
+            tops += top.values()
+            first[t + 1] = len(blocks)
+        part = {"first": first, "blocks": np.array(blocks, np.int64), "tops": np.array(tops, float), "count": (len(members) - 1) // BLOCK + 1}
+        classes.append(part | {"lists": lists, "most": most, "items": members, "step": 1 << bits})
     return {"terms": terms, "classes": classes}
 
 
+def blocks_above(index: dict, passage: np.ndarray, terms: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """``(passage, block)`` where the block maxima of the passage's terms add up to ``least``; the others are skipped whole.
+
+    ``passage`` ascends, ``terms`` are distinct within one.  Works through some millions of maxima at a time.
+    """
+    many = index["first"][terms + 1] - index["first"][terms]
+    found, ends = [], np.cumsum(many)
+    if not len(passage):
+        return []
+    edges = np.concatenate([[0], np.flatnonzero(passage[1:] != passage[:-1]) + 1, [len(passage)]])
+    k = 0
+    while k < len(edges) - 1:
+        done = ends[edges[k] - 1] if edges[k] else 0
+        stop = max(k + 1, int(np.searchsorted(ends[edges[1:] - 1], done + AT_ONCE, "right")))
+        rows = slice(edges[k], edges[stop])
+        n = many[rows]
+        at = np.repeat(index["first"][terms[rows]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = np.repeat(passage[rows], n) * index["count"] + index["blocks"][at]
+        keys, inverse = np.unique(key, return_inverse=True)
+        bounds = np.bincount(inverse, index["tops"][at], len(keys))
+        found += [divmod(x, index["count"]) for x in keys[bounds >= least - 1e-9].tolist()]
+        k = stop
+    return found
+
+
 def block_max_wand(index: dict, terms: list[int], least: float) -> list[tuple[int, float]]:
     """All items of a class whose impacts over ``terms`` reach ``least``.
 
-    The block maxima of the terms are summed per block; blocks that stay below are
-    skipped whole, the others are searched by WAND, with the block's own maxima as bounds.
+    Blocks whose maxima stay below are skipped whole, the others are searched by WAND, with
+    the block's own maxima as bounds.
     """
-    tops = [index["blocks"][t] for t in terms if t in index["blocks"]]
-    if not tops:
-        return []
-    bounds = np.bincount(np.concatenate([b for b, _ in tops]), np.concatenate([m for _, m in tops]))
+    own = np.array([t for t in terms if t in index["lists"]], np.int64)
     found = []
-    for block in np.flatnonzero(bounds >= least).tolist():
-        found += _wand(index["lists"], [t for t in terms if t in index["lists"]], block * BLOCK, block * BLOCK + BLOCK, least)
+    for _, block in blocks_above(index, np.zeros(len(own), np.int64), own, least):
+        found += in_block(index, own.tolist(), block, least)
     return found
 
 
+def in_block(index: dict, terms: list[int], block: int, least: float) -> list[tuple[int, float]]:
+    """Items of one block whose impacts over ``terms`` reach ``least``, by WAND."""
+    return _wand(index["lists"], [t for t in terms if t in index["lists"]], block * BLOCK, block * BLOCK + BLOCK, least)
+
+
 def _wand(lists: dict, terms: list[int], lo: int, hi: int, least: float) -> list[tuple[int, float]]:
     found, cursors = [], []
     for t in terms:
@@ -131,11 +173,12 @@ def _wand(lists: dict, terms: list[int], lo: int, hi: int, least: float) -> list
     return found
 
 
-def passages(index: dict, words: list[str]) -> list[tuple[dict, int, list[int]]]:
-    """``(class, first word, terms)`` of the passages whose terms could reach an item of the class at all.
+def passages(index: dict, words: list[str]) -> list[tuple[dict, int, list[int], list[int]]]:
+    """``(class, first word, terms, blocks)`` of the passages and the blocks of items they could reach.
 
     Passages are two steps long and begin at every step.  The bound of a passage counts
     each of its terms once: a repeated word counts where it first stands in the passage.
+    First each term's largest impact is added up, then, where that is enough, its largest in every block.
     """
     n, out = len(words), []
     ids = np.fromiter(map(index["terms"].get, words, repeat(0)), np.int32, n)
@@ -149,21 +192,36 @@ def passages(index: dict, words: list[str]) -> list[tuple[dict, int, list[int]]]
     before[order[1:][same]] = at[order[:-1][same]]
     for part in index["classes"]:
         step = part["step"]
-        block, bound = at // step, part["most"][own]
+        most = part["most"][own]
+        held = np.flatnonzero(most)  # the others are in no item of the class
+        block = at[held] // step
         blocks = (n + step - 1) // step
-        first = np.bincount(block, bound * (before < block * step), blocks + 1)
-        second = np.bincount(block, bound * (before < (block - 1) * step), blocks + 1)
-        for k in np.flatnonzero(first[:blocks] + second[1 : blocks + 1] >= RETRIEVE).tolist():
-            lo, hi = np.searchsorted(at, (k * step, (k + 2) * step))
-            out.append((part, k * step, list(set(own[lo:hi].tolist()))))
+        first, second = before[held] < block * step, before[held] < (block - 1) * step
+        bound = np.bincount(block, most[held] * first, blocks + 1)[:blocks] + np.bincount(block, most[held] * second, blocks + 1)[1 : blocks + 1]
+        enough = bound >= RETRIEVE - 1e-9
+        if not enough.any():
+            continue
+        near = np.zeros(blocks + 1, bool)
+        near[:blocks] = enough
+        one, two = first & near[block], second & near[block - 1] & (block > 0)
+        passage = np.concatenate([block[one], block[two] - 1])
+        terms = np.concatenate([own[held][one], own[held][two]])
+        order = np.argsort(passage, kind="stable")
+        passage, terms = passage[order], terms[order]
+        reached: dict[int, list[int]] = defaultdict(list)
+        for k, b in blocks_above(part, passage, terms, RETRIEVE):
+            reached[k].append(b)
+        for k, found in reached.items():
+            lo, hi = np.searchsorted(passage, (k, k + 1))
+            out.append((part, k * step, terms[lo:hi].tolist(), found))
     return out
 
 
 def leaks(index: dict, text: str | None) -> list[tuple]:
     """``(item_id, score, overlap, question overlap, answer overlap)`` of the items a text holds, the best passage of each."""
     words, best = words_of(text), {}
-    for part, start, terms in passages(index, words):
-        for n, score in block_max_wand(part, terms, RETRIEVE):
+    for part, start, terms, blocks in passages(index, words):
+        for n, score in [hit for b in blocks for hit in in_block(part, terms, b, RETRIEVE)]:
             item, item_text, item_words = part["items"][n]
             lo, hi = max(0, start - part["step"]), start + 3 * part["step"]
             shared = [_share(p, words[lo:hi]) for p in (item_words, *question_and_answer(item_text))]
@@ -184,12 +242,31 @@ def _share(part: list[str], near: list[str]) -> float:
 FIELDS = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
-def item_blocks(items: DataFrame, item_chars: int = ITEM_CHARS) -> list[DataFrame]:
-    """The items in blocks of about ``item_chars`` characters each, dealt by a hash."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / item_chars))
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
+def item_blocks(items: DataFrame, item_chars: int = ITEM_CHARS) -> Iterator[tuple[list[tuple], tuple]]:
+    """The items in blocks of about ``item_chars`` characters each, dealt by a hash, with the statistics of all items.
+
+    Every block is collected by itself, with the number of items that hold each of its own terms.
+    """
+    clean = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+
+    def worded(batches):
+        for batch in batches:
+            own = [words_of(t) for t in batch.column(1).to_pylist()]
+            columns = [*batch.columns, pa.array([sorted(set(w)) for w in own], pa.list_(pa.string())), pa.array([len(w) for w in own], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["item_id", "text", "terms", "size"])
+
+    held = saved(clean.mapInArrow(worded, "item_id long, text string, terms array<string>, size long").where("size > 0"), "items")
+    chars, total, mean = held.agg(F.sum(F.length("text")), F.count("*"), F.avg("size")).first()
+    n = max(1, math.ceil((chars or 0) / item_chars))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    seen = dealt.select("block", F.explode("terms").alias("term")).groupBy("term", "block").agg(F.count("*").alias("n"))
+    every = seen.groupBy("term").agg(F.sum("n").alias("n"))
+    counts = saved(seen.select("term", "block").join(every, "term"), "terms")
+    for k in range(n):
+        rows = [tuple(r) for r in dealt.where(F.col("block") == k).select("item_id", "text").collect()]
+        known = {r["term"]: r["n"] for r in counts.where(F.col("block") == k).select("term", "n").collect()}
+        if rows:
+            yield rows, (total, mean, known)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, item_chars: int = ITEM_CHARS) -> DataFrame:
@@ -199,14 +276,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, item_chars: int = ITEM_CHARS)
     ``RETRIEVE`` or more of their own score are verified: ``OVERLAP`` of their five-word
     shingles, and ``PART`` of their question's and of their answer's, must stand there.
     Items are indexed in blocks of a bounded size, so the broadcast does not grow with
-    them; each block is one pass.  Null and wordless texts and items match nothing; rows
+    them; each block is one pass, and as term statistics are those of all items, scores and
+    what is found do not depend on ``item_chars``.  Null and wordless texts and items match nothing; rows
     repeating a document or an item are matched each.
     """
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
-    for block in item_blocks(items, item_chars):
-        shared = context.broadcast(build([tuple(r) for r in block.collect()]))
+    for block, statistics in item_blocks(items, item_chars):
+        shared = context.broadcast(build(block, statistics))
 
         def search(batches, shared=shared):
             index = shared.value
@@ -216,4 +294,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, item_chars: int = ITEM_CHARS)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in FIELDS.split(", ")])
 
         parts.append(texts.mapInArrow(search, FIELDS))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else texts.sparkSession.createDataFrame([], FIELDS)

@@ -174,10 +174,13 @@ def test_leaks_equal_brute_force(spark):
     docs += [(200, None, 1.0), (201, "", None), (202, docs[3][1], 1.0), (202, docs[3][1], 1.0), (203, "the " * 50_000 + (items[4][1]), 1.0)]
     held = spark.createDataFrame(docs, "doc_id long, text string, score double")
     want = sorted({(d, str(i)) for d, t, _ in docs for i in brute_leaks(t, items)})
-    for most in (1 << 23, 900):  # one index, and several
+    rows = []
+    for most in (1 << 23, 900, 200):  # one index, and several
         found = decontaminate.find_leaks(held, spark.createDataFrame(items, "item_id long, text string"), most).collect()
         assert sorted({(r.doc_id, str(r.item_id)) for r in found}) == want
         assert all(r.score >= decontaminate.RETRIEVE for r in found)
+        rows.append(sorted(str((r.doc_id, r.item_id, round(r.score, 9), r.overlap, r.question_overlap, r.answer_overlap)) for r in found))
+    assert rows[0] == rows[1] == rows[2]  # scores are those of all items, however many an index holds
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(held, none).count() == 0 and decontaminate.find_leaks(held.limit(0), none).count() == 0
 
