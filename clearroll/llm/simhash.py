@@ -40,29 +40,17 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(
-    docs: DataFrame, text: str = "text", keep: list[str] | None = None, kinds: tuple[tuple[int, int], ...] = ((3, 0),)
-) -> DataFrame:
-    """``keep`` columns and a 64-bit fingerprint per ``(width, shortest)`` of ``kinds``: fp0, fp1 ...
+def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None, width: int = 3) -> DataFrame:
+    """``keep`` columns and ``fp0``, the 64-bit fingerprint of shingles of ``width`` words.
 
-    A-Z are lower-cased and words split at ASCII white space; ``width`` words make a shingle,
-    of words with at least ``shortest`` bytes (all words where none is that long).  Null and
-    wordless texts have fingerprint zero.
+    A-Z are lower-cased and words split at ASCII white space.  Null and wordless texts have
+    fingerprint zero.
     """
 
     def work():
-        def scan(texts):
-            out = [[] for _ in kinds]
-            for t in texts:
-                words = t.lower().split() if t else []
-                for found, (width, shortest) in zip(out, kinds):
-                    long = [w for w in words if len(w) >= shortest] if shortest else words
-                    found.append(signed(shingle_bits(long or words, width)))
-            return out
-
-        return scan
+        return lambda texts: [[signed(shingle_bits(t.lower().split() if t else [], width)) for t in texts]]
 
-    return per_text(docs, text, [(f"fp{i}", "long") for i in range(len(kinds))], work, keep)
+    return per_text(docs, text, [("fp0", "long")], work, keep)
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
@@ -75,33 +63,26 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
 
 
-def node_of(fps: list[str]) -> Column:
-    """The point of a row: its fingerprint, or a 64-bit hash of both."""
-    return F.col("fp0") if len(fps) == 1 else F.xxhash64(*fps)
-
-
-def links(points: DataFrame, radius: int, blocks: int, second: int | None = None) -> DataFrame:
-    """Edges ``(a, b)`` between the nodes of ``points(fp0[, fp1])``, see :func:`node_of`, whose fp0 differ in ``radius`` bits or fewer.
+def links(points: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Edges ``(a, b)`` between the fingerprints of ``points(fp0)`` that differ in ``radius`` bits or fewer.
 
-    With ``second``, fp1 must also differ in at most that many bits.  The edges connect what
-    all links connect: groups of up to ``SMALL`` give every link, larger ones each member's
-    link to the smallest member it reaches inside its cell, so no group emits all its pairs.
+    The edges connect what all links connect: groups of up to ``SMALL`` give every link,
+    larger ones each member's link to the smallest member it reaches inside its cell, so no
+    group emits all its pairs.
     """
     masks = [signed(m) for m in block_masks(radius, blocks)]
-    fps = ["fp0"] if second is None else ["fp0", "fp1"]
     # a block's number and bits as one hash: rows stay short, and a chance collision only adds pairs to verify
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp0").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
-    dealt = cells(points.select(*fps, keys.alias("k")), ["k"], node_of(fps), CHUNK)
+    dealt = cells(points.select("fp0", keys.alias("k")), ["k"], F.col("fp0"), CHUNK)
     group = ["k", "_i", "_j"]
     # by node inside a group, so that the cells of a crowd name the same smallest members and their edges coincide
-    dealt = dealt.select(*group, node_of(fps).alias("node"), *fps).repartition(*group).sortWithinPartitions(*group, "node")
+    dealt = dealt.select(*group, F.col("fp0").alias("node")).repartition(*group).sortWithinPartitions(*group, "node")
 
     def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count((x ^ y).view(np.uint64))  # of a signed number it would count the absolute value's bits
 
     def close(rows: dict, a, b):
-        near = apart(rows["fp0"][a], rows["fp0"][b]) <= radius
-        return near if second is None else near & (apart(rows["fp1"][a], rows["fp1"][b]) <= second)
+        return apart(rows["node"][a], rows["node"][b]) <= radius
 
     def compare(rows: dict, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, node = len(rows["node"]), rows["node"]
@@ -129,49 +110,24 @@ def links(points: DataFrame, radius: int, blocks: int, second: int | None = None
 
 
 def near_duplicates(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    width: int = 3,
-    radius: int = 2,
-    blocks: int = 4,
-    wide: tuple[int, int] | None = None,
-    shortest: int = 0,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, blocks: int = 4
 ) -> DataFrame:
     """``doc_id, fingerprint (16 hex digits), component_id`` per row of ``docs``.
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the smallest
-    doc_id reachable (null only where no row of the group has an id).  ``wide=(width, bits)``
-    asks for a second fingerprint of that shingle width to be as close.  Equal fingerprints
+    doc_id reachable (null only where no row of the group has an id).  Equal fingerprints
     are one point whatever their number.  Repeated rows are returned as often as they occur;
     an empty table gives no rows.
     """
-    kinds = ((width, shortest), *([(wide[0], 0)] if wide else []))
-    prints = fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], kinds)
+    prints = fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], width)
     prints = saved(prints, "prints")
-    fps = [f"fp{i}" for i in range(len(kinds))]
-    node = node_of(fps)
-    points = saved(prints.groupBy(*fps).agg(F.min("doc_id").alias("first")).withColumn("node", node), "points")
-    found = components(links(points, radius, blocks, wide[1] if wide else None))
+    points = saved(prints.groupBy("fp0").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("fp0")), "points")
+    found = components(links(points, radius, blocks))
     named = points.join(found, "node").select("node", "component", "first")
     smallest = named.groupBy("component").agg(F.min("first").alias("least"))
     linked = named.join(smallest, "component").select("node", "least")
     label = F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id")
     labels = saved(points.join(linked, "node", "left").select("node", label), "labels")
     # two plain exchanges, so that a fingerprint of very many copies can be split
-    own = prints.withColumn("node", node).join(labels, "node")
+    own = prints.withColumn("node", F.col("fp0")).join(labels, "node")
     return own.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose group in ``found`` has a smaller id, and one row per id.
-
-    Rows without an id cannot be named by ``found`` and stay.
-    """
-    found = saved(found, "found")
-    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    own = F.col(f"`{doc_id}`")
-    kept = docs.join(gone, own.cast("long") == gone["_gone"], "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").take(1):
-        kept = kept.where(own.isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(own.isNull()))
-    return kept

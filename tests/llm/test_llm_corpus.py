@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clearroll.llm import chat, decontaminate, langid, mixing, secret_scan, simhash
+from clearroll.llm import chat, decontaminate, langid, mixing, secret_scan
 from clearroll.llm.queries import ORACLE, QUERIES
 from test_llm_copies import union
 
@@ -207,17 +207,22 @@ def test_pipeline_equals_brute_force(spark, folder):
     rows = {r.doc_id: r for r in docs.collect()}
     pred = {r.doc_id: r for r in langid.label(docs, langid.fit(docs), keep=["doc_id"]).collect()}
     rows = {d: r for d, r in rows.items() if pred[d].lang_pred != "und" and pred[d].score >= corpus_pipeline.LANGUAGE_SCORE}
-    near = corpus_pipeline.NEAR
-    prints = {}
+    shingled = {}
     for d, r in rows.items():
         w = (r.text or "").encode().lower().split()
-        long = [x for x in w if len(x) >= near["shortest"]] or w
-        prints[d] = (simhash.shingle_bits(long, near["width"]), simhash.shingle_bits(w, near["wide"][0]))
-    close = lambda a, b: (a[0] ^ b[0]).bit_count() <= near["radius"] and (a[1] ^ b[1]).bit_count() <= near["wide"][1]
-    group = union([(a, b) for a in prints for b in prints if a < b and close(prints[a], prints[b])], prints)
+        shingled[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    close = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    group = union([(a, b) for a in shingled for b in shingled if a < b and close(shingled[a], shingled[b])], shingled)
+    assert len({group[d] for d in group}) < len(group)
+    free = corpus_pipeline.near_copies(spark, docs.where(F.col("doc_id").isin(list(rows))), folder)
+    assert {r.doc_id for r in free.select("doc_id").collect()} == {d for d in rows if group[d] == d}
     rows = {d: r for d, r in rows.items() if group[d] == d}
     rows = {d: r for d, r in rows.items() if not brute_leaks(r.text, items)}
     texts = {d: secret_scan.redacted(r.text) for d, r in rows.items()}
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, folder)
+    assert {r.doc_id: r.text for r in kept.collect()} == texts
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(got) <= set(rows)
     sizes, taken = defaultdict(int), defaultdict(int)
