@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -24,8 +24,8 @@ LEAST, COVERED, TOP = 30, 80, 2000
 SCALE = 2_000_000
 #: Bits of the filter of frequent parts; a filter that fills up lets more through, and nothing is lost.
 BITS = 27
-#: Distinct phrases a task counts before it hands them on, and characters of chunks it emits at once.
-HELD, CHARS = 400_000, 4 << 20
+#: Distinct phrases and words a task keeps before it hands them on, and characters it works through at once.
+HELD, CHARS = 600_000, 4 << 20
 
 #: Bytes with A-Z lower-cased, tabs as spaces and piece ends as " \n ".
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
@@ -38,28 +38,42 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [t for t in out if t] + [_END] * OVERLAP
 
 
-def chunks(tokens: list[bytes], marks: dict[bytes, int]) -> Iterator[bytes]:
-    """The parse of a token sequence: chunks that end at a triggering window and share it with the next one.
+class Marks(dict):
+    """A hash of every token asked for."""
+
+    def __missing__(self, token: bytes) -> int:
+        mark = self[token] = crc32(token)
+        return mark
+
+
+def chunks(texts: list[list[bytes]], marks: Marks) -> Iterator[tuple[int, bytes]]:
+    """The parse of token sequences, as ``(text, chunk)``: chunks end at a triggering window and share it with the next one.
 
     What triggers is a matter of the window's own tokens, so equal passages are cut alike
-    wherever they stand.  ``marks`` keeps the hashes of tokens.
+    wherever they stand.
     """
-    n = len(tokens)
-    if n <= OVERLAP:
+    tokens = [t for own in texts for t in own]
+    n, ends = len(tokens), np.cumsum([len(own) for own in texts])
+    if not n:
         return
-    for t in set(tokens).difference(marks):
-        marks[t] = crc32(t)
     h = np.fromiter(map(marks.__getitem__, tokens), np.uint64, n)
     window = np.zeros(n - OVERLAP + 1, np.uint64)
     for k in range(OVERLAP):
         window = window * np.uint64(0x9E3779B97F4A7C15) + h[k : n - OVERLAP + 1 + k]
     window = (window ^ (window >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    start = 0
-    for at in np.flatnonzero((window >> np.uint64(33)) % np.uint64(EVERY) == 0).tolist():
-        if start < at < n - OVERLAP:
-            yield b" ".join(tokens[start : at + OVERLAP])
+    cut = (window >> np.uint64(33)) % np.uint64(EVERY) == 0
+    cut = np.append(cut, np.zeros(OVERLAP - 1, bool))
+    for k in range(1, OVERLAP + 1):
+        cut[ends - k] = False  # the ends behind a text begin no chunk
+    at = 0
+    for number, (own, end) in enumerate(zip(texts, ends.tolist())):
+        if len(own) > OVERLAP:
             start = at
-    yield b" ".join(tokens[start:])
+            for stop in (np.flatnonzero(cut[at + 1 : end]) + at + 1).tolist():
+                yield number, b" ".join(tokens[start : stop + OVERLAP])
+                start = stop
+            yield number, b" ".join(tokens[start:end])
+        at = end
 
 
 def parsed(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -67,93 +81,156 @@ def parsed(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     held = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks: dict[bytes, int] = {}
-        langs, found, size = [], [], 0
+        marks = Marks()
 
-        def told():
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string())], names=["lang", "chunk"])
+        def told(langs, texts):
+            found = list(chunks(texts, marks))
+            columns = [pa.array([langs[n] for n, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "chunk"])
 
         for batch in batches:
+            langs, texts, size = [], [], 0
             for own, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for c in chunks(tokens_of(raw.as_py()), marks):
-                    langs.append(own)
-                    found.append(c)
-                    size += len(c)
-                    if size > CHARS:
-                        yield told()
-                        langs, found, size = [], [], 0
+                raw = raw.as_py()
+                langs.append(own)
+                texts.append(tokens_of(raw))
+                size += len(raw)
+                if size > CHARS:
+                    yield told(langs, texts)
+                    langs, texts, size = [], [], 0
                 if len(marks) > HELD:
                     marks.clear()
-        yield told()
+            yield told(langs, texts)
 
     return held.where("text IS NOT NULL").mapInArrow(parse, "lang string, chunk string").groupBy("lang", "chunk").agg(F.count("*").alias("times"))
 
 
-def place(lang: str, phrase: bytes) -> int:
-    """The bit of a phrase; Spark's ``xxhash64`` of the same bytes, as :func:`frequent_bits` takes it."""
-    return xxhash.xxh64_intdigest(lang.encode() + b"\t" + phrase, 42) & ((1 << BITS) - 1)
+def hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """XXH64 of every number's eight bytes, as Spark's ``xxhash64`` takes it of a long."""
+    p = [np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+    turned = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = (seed + p[4] + np.uint64(8)) ^ (turned(x * p[1], 31) * p[0])
+    h = turned(h, 27) * p[0] + p[3]
+    h = (h ^ (h >> np.uint64(33))) * p[1]
+    h = (h ^ (h >> np.uint64(29))) * p[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def hashes(lang: str, words: list[np.ndarray]) -> np.ndarray:
+    """A hash per phrase whose k-th word has the hash ``words[k]``; :func:`frequent_bits` has the same in SQL."""
+    with np.errstate(over="ignore"):
+        acc = np.array([xxhash.xxh64_intdigest(lang.encode(), 42)], np.uint64)
+        for own in words:
+            acc = hash_long(own, hash_long(acc, np.uint64(42)))
+    return acc
 
 
 def frequent_bits(counts: DataFrame) -> np.ndarray:
     """A filter of ``2 ** BITS`` bits, 16 MB whatever the input, with those of ``counts(lang, phrase)`` set."""
-    at = F.xxhash64(F.concat_ws("\t", "lang", "phrase")).bitwiseAND(F.lit((1 << BITS) - 1))
-    word = F.shiftright(at, 6)
-    bit = F.expr("shiftleft(1L, cast(xxhash64(concat_ws('\t', lang, phrase)) & 63 as int))")
-    rows = counts.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    h = F.aggregate(F.split("phrase", " "), F.xxhash64("lang"), lambda acc, w: F.xxhash64(acc, F.xxhash64(w)))
+    placed = counts.select(h.bitwiseAND(F.lit((1 << BITS) - 1)).alias("at"))
+    rows = placed.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
+class Words(dict):
+    """A number for every word asked for, from 0; 0 is the end of a piece."""
+
+    def __init__(self):
+        super().__init__({_END: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def count_phrases(dictionary: DataFrame, size: int, parts: np.ndarray | None) -> DataFrame:
     """``lang, phrase, f`` of all phrases of ``size`` words, each distinct chunk counted once with its frequency.
 
     A chunk counts the phrases that start before its last ``OVERLAP`` tokens; those belong to
     the next.  With the filter ``parts``, a phrase is counted only if the ``size - 1`` words
     before its last and after its first one may both be frequent, as no frequent phrase has
-    an infrequent part.
+    an infrequent part.  Chunks are worked through some megabytes at a time, words as numbers.
     """
     shared = None if parts is None else dictionary.sparkSession.sparkContext.broadcast(parts)
 
-    def phrases(tokens: list[bytes], lang: str, known: dict[bytes, bool]) -> list[bytes]:
-        own = len(tokens) - OVERLAP
-        if size == 1:
-            return [t for t in tokens[:own] if t != _END]
-        part = list(map(b" ".join, zip(*[tokens[k : own + 1 + k] for k in range(size - 1)])))
-        bits = shared.value
-        for p in set(part).difference(known):
-            at = place(lang, p)
-            known[p] = _END not in p and bool(int(bits[at >> 6]) >> (at & 63) & 1)
-        ok = list(map(known.__getitem__, part))
-        return [part[i] + b" " + tokens[i + size - 1] for i in range(own) if ok[i] and ok[i + 1]]
+    def frequent(lang: str, words: list[np.ndarray]) -> np.ndarray:
+        at = (hashes(lang, words) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        return (shared.value[at >> 6] >> (at & 63) & 1).astype(bool)
+
+    def count(lang: str, chunks: list[bytes], times: list[int], numbers: Words, word_hashes: list[int]) -> Iterator[tuple[bytes, int]]:
+        tokens = b" ".join(chunks).split(b" ")
+        ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+        lengths = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
+        weight, ends = np.repeat(times, lengths), np.cumsum(lengths)
+        own = np.ones(len(ids), bool)
+        for k in range(1, OVERLAP + 1):
+            own[ends - k] = False
+        if shared is None:
+            starts = np.flatnonzero(own & (ids > 0))
+        else:
+            known = list(numbers)
+            word_hashes += [xxhash.xxh64_intdigest(w, 42) for w in known[len(word_hashes) :]]
+            h = np.array(word_hashes, np.uint64)
+            n = len(ids) - size + 2
+            if size == 2:
+                ok = frequent(lang, [h])[ids]
+            else:
+                ok = frequent(lang, [h[ids[k : n + k]] for k in range(size - 1)])
+            for k in range(size - 1):
+                ok[:n] &= ids[k : n + k] > 0
+            starts = np.flatnonzero(own[: n - 1] & ok[: n - 1] & ok[1:n])
+        if not len(starts):
+            return
+        group = ids[starts]
+        for k in range(1, size):
+            _, group = np.unique(group << 32 | ids[starts + k], return_inverse=True)
+        _, first, group = np.unique(group, return_index=True, return_inverse=True)
+        sums = np.zeros(len(first), np.int64)
+        np.add.at(sums, group, weight[starts])
+        for at, n in zip(starts[first].tolist(), sums.tolist()):
+            yield b" ".join(tokens[at : at + size]), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, Counter] = {}
-        known: dict[str, dict] = {}
-        grown = 0
+        totals: dict[str, dict[bytes, int]] = {}
+        waiting: dict[str, tuple[list[bytes], list[int]]] = {}
+        numbers, word_hashes = Words(), []
+
+        def worked() -> Iterator[pa.RecordBatch]:
+            for lang, (chunks, times) in waiting.items():
+                total = totals.setdefault(lang, defaultdict(int))
+                for phrase, n in count(lang, chunks, times, numbers, word_hashes):
+                    total[phrase] += n
+            waiting.clear()
+            if len(numbers) > HELD:
+                numbers.clear()
+                numbers[_END] = 0
+                word_hashes.clear()
+            if sum(map(len, totals.values())) > HELD:
+                yield told()
 
         def told():
-            rows = [(lang, p, n) for lang, total in totals.items() for p, n in total.items()]
+            columns = [
+                pa.array([lang for lang, total in totals.items() for _ in total], pa.string()),
+                pa.array([p for total in totals.values() for p in total], pa.string()),
+                pa.array([n for total in totals.values() for n in total.values()], pa.int64()),
+            ]
             totals.clear()
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
             return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
 
+        held = 0
         for batch in batches:
-            for lang, chunk, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                total = totals.setdefault(lang, Counter())
-                if sum(map(len, known.values())) > HELD:
-                    known.clear()
-                found = phrases(chunk.split(b" "), lang, known.setdefault(lang, {}))
-                size_before = len(total)
-                if times == 1:
-                    total.update(found)
-                else:
-                    for p in found:
-                        total[p] += times
-                grown += len(total) - size_before
-                if grown > HELD:
-                    yield told()
-                    grown = 0
+            for lang, chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = waiting.setdefault(lang, ([], []))
+                own[0].append(chunk)
+                own[1].append(n)
+                held += len(chunk)
+                if held > CHARS:
+                    yield from worked()
+                    held = 0
+        yield from worked()
         yield told()
 
     held = dictionary.select("lang", F.col("chunk").cast("binary"), "times")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from clearroll.llm import collocations
@@ -98,13 +99,17 @@ def test_parse_is_prefix_free_and_counts_each_start_once():
     rng = random.Random(8)
     shared = " ".join(f"w{rng.randrange(50)}" for _ in range(400))
     tokens = [collocations.tokens_of(f"{rng.random()} {shared} {rng.random()}.".encode()) for _ in range(3)]
-    parses = [list(collocations.chunks(t, {})) for t in tokens]
+    parses = [[c for _, c in collocations.chunks([t], collocations.Marks())] for t in tokens]
     for t, parse in zip(tokens, parses):
         starts = []
         for c in parse:
             c = c.split(b" ")
             starts += c[: len(c) - collocations.OVERLAP]
         assert starts + t[-collocations.OVERLAP :] == t
+    together = [[], [], []]
+    for n, c in collocations.chunks(tokens, collocations.Marks()):
+        together[n].append(c)
+    assert together == parses
     assert len(set(parses[0]) & set(parses[1]) & set(parses[2])) >= len(parses[0]) - 4
     flat = {c for p in parses for c in p}
     assert not any(a != b and b.startswith(a + b" ") and not a.endswith(b"\n") for a in flat for b in flat)
@@ -113,7 +118,8 @@ def test_parse_is_prefix_free_and_counts_each_start_once():
 def test_filter_holds_every_frequent_part(spark):
     rows = [("en", f"w{i} é{i}", 1) for i in range(500)]
     bits = collocations.frequent_bits(spark.createDataFrame(rows, "lang string, phrase string, f long"))
-    at = np.array([collocations.place(lang, p.encode()) for lang, p, _ in rows])
+    words = np.array([[xxhash.xxh64_intdigest(w.encode(), 42) for w in p.split(" ")] for _, p, _ in rows], np.uint64)
+    at = (collocations.hashes("en", list(words.T)) & np.uint64((1 << collocations.BITS) - 1)).astype(np.int64)
     assert all(int(bits[k >> 6]) >> (int(k) & 63) & 1 for k in at.tolist())
     assert sum(int(x).bit_count() for x in bits.view(np.uint64)) == len(set(at.tolist()))
 
