@@ -14,7 +14,7 @@ from ...schema import BATCH_FIELDS
 from ...sources import files
 from ...streaming import (
     alert_stream, drain, high_risk_stream, job_progress_stream, latest_updates, request_limit_stream,
-    retry_failed, retryable_requests, session_stream, stream_table, unique_requests, validate_arrivals,
+    retry_failed, retry_stream, retryable_requests, session_stream, stream_table, unique_requests, validate_arrivals,
     validation_rate_stream,
 )
 from ...streaming.run import work_folder
@@ -30,6 +30,11 @@ ACTIONS = {
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"
 
 
+def attempts_of(t):
+    status = F.when(F.col("status") == "valid", "completed").when(F.col("status") == "invalid", "failed").otherwise("running")
+    return t.field_results.select(F.col("job_id").alias("task_id"), status.alias("status"), F.col("line_no").alias("attempt"))
+
+
 def events(t):
     return stream_table(t.spark, t._folder, "events")
 
@@ -63,7 +68,7 @@ def _(t):
 a AS (SELECT request_key, ts, failed FROM (SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY ts) AS rn FROM e) x WHERE rn = 1
   UNION ALL SELECT n.request_key, n.ts, n.failed FROM a, LATERAL (SELECT e.request_key, e.ts, e.failed FROM e WHERE e.request_key = a.request_key AND e.ts > a.ts
     AND (a.failed OR e.ts > a.ts + INTERVAL 24 HOURS) ORDER BY e.ts LIMIT 1) n)
-SELECT request_key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM a""".replace(" AS at ", " AS accepted_at "))
+SELECT request_key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS accepted_at FROM a WHERE time_bucket(INTERVAL 10 MINUTES, ts, TIMESTAMP '1970-01-01 00:00:00') + INTERVAL 10 MINUTES <= """ + CLOSED)
 def _(t):
     status = F.when(F.col("event_id") % 3 == 0, "failed").otherwise("completed")
     keyed = events(t).select(
@@ -108,7 +113,8 @@ def _(t):
 WITH RECURSIVE b AS (SELECT rule, severity, minutes, tick FROM {BREACHES} x WHERE breached),
 f AS (SELECT rule, severity, minutes, min(tick) AS fired_at FROM b GROUP BY rule, severity, minutes
   UNION ALL SELECT f.rule, f.severity, f.minutes, (SELECT min(tick) FROM b WHERE b.rule = f.rule AND b.tick >= f.fired_at + to_minutes(f.minutes)) FROM f
-  WHERE f.fired_at IS NOT NULL) SELECT * FROM f WHERE fired_at IS NOT NULL) z""")
+  WHERE f.fired_at IS NOT NULL) SELECT * FROM f WHERE fired_at IS NOT NULL
+  AND time_bucket(INTERVAL 1 MINUTE, fired_at, TIMESTAMP '1970-01-01 00:00:00') + INTERVAL 1 MINUTE <= (SELECT max(tick) FROM b)) z""")
 def _(t):
     breaches = windows.rule_breaches(tick_metrics(t), TICK_RULES)
     folder = work_folder(t.spark, "ticks")
@@ -165,9 +171,25 @@ def _(t):
        """SELECT job_id AS task_id, max(line_no) + 1 AS attempt FROM field_results GROUP BY job_id
 HAVING bool_or(status = 'invalid') AND NOT bool_or(status = 'valid') AND max(line_no) < 6""")
 def _(t):
-    status = F.when(F.col("status") == "valid", "completed").when(F.col("status") == "invalid", "failed").otherwise("running")
-    attempts = t.field_results.select(F.col("job_id").alias("task_id"), status.alias("status"), F.col("line_no").alias("attempt"))
-    return retry_failed(attempts, 6)
+    return retry_failed(attempts_of(t), 6)
+
+
+@query("stream_retries", "M9", "field_results",
+       """SELECT task_id, attempt, part FROM (SELECT job_id AS task_id, part, max(last) OVER w + 1 AS attempt, bool_or(bad) OVER w AS bad, bool_or(good) OVER w AS good FROM (
+  SELECT job_id, CAST(greatest(least((line_no + 1) // 2, 3), 1) AS BIGINT) AS part, max(line_no) AS last, bool_or(status = 'invalid') AS bad, bool_or(status = 'valid') AS good
+  FROM field_results GROUP BY 1, 2) x WINDOW w AS (PARTITION BY job_id ORDER BY part)) y WHERE bad AND NOT good AND attempt <= 6""")
+def _(t):
+    """Results arrive in three parts; the stream is started anew for each and goes on from its state."""
+    base = work_folder(t.spark, "retries")
+    part = F.greatest(F.least(F.floor((F.col("attempt") + 1) / 2), F.lit(3)), F.lit(1)).cast("long")
+    attempts = attempts_of(t).withColumn("part", part)
+    schema = attempts.drop("part").schema
+    for n in (1, 2, 3):
+        attempts.where(F.col("part") == n).drop("part").write.parquet(f"{base}/in/{n}")
+        arriving = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in/*")
+        retry_stream(arriving.select("task_id", "status", "attempt"), f"{base}/queue/part={n}", f"{base}/checkpoint", 6).awaitTermination()
+    queued = t.spark.read.option("basePath", f"{base}/queue").schema("task_id string, attempt long, part long, batch_id long").parquet(f"{base}/queue/*")
+    return queued.select("task_id", "attempt", "part")
 
 
 @query("audit_partition_totals", "S12 M5", "audit_logs",

@@ -4,7 +4,7 @@ Each transform takes and returns a DataFrame and works on a batch DataFrame as w
 where watermarks have no effect; that is how the streams are tested.
 """
 
-from .ingest import retry_failed, validate_arrivals
+from .ingest import retry_failed, retry_stream, validate_arrivals
 from .run import drain, latest_updates, stream_table
 from .transforms import (
     alert_stream,
@@ -19,6 +19,6 @@ from .transforms import (
 
 __all__ = [
     "alert_stream", "drain", "high_risk_stream", "job_progress_stream", "latest_updates",
-    "request_limit_stream", "retry_failed", "retryable_requests", "session_stream",
+    "request_limit_stream", "retry_failed", "retry_stream", "retryable_requests", "session_stream",
     "stream_table", "unique_requests", "validate_arrivals", "validation_rate_stream",
 ]

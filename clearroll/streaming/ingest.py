@@ -58,21 +58,20 @@ def retry_failed(attempts: DataFrame, most: int = 3) -> DataFrame:
     )
 
 
-def retry_stream(results: DataFrame, log: str, queue: str, checkpoint: str, most: int = 3):
-    """Results of tasks as they arrive; after each batch the tasks due again are written.
+def retry_stream(results: DataFrame, queue: str, checkpoint: str, most: int = 3):
+    """Results of tasks as they arrive; after each batch the tasks due again are written to ``queue``.
 
-    The log of all attempts is a table that grows by one folder per batch.
+    The attempts of a task are counted in the state store (see :func:`retry_failed`), so a
+    batch costs as much as it brings, however long the history is.  A batch writes a folder
+    of its own, ``batch_id=``, which a retry of the batch replaces.
     """
-    spark = results.sparkSession
 
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
-        seen = spark.read.option("basePath", log).parquet(log).where(F.col("batch_id") <= batch_id)
-        touched = seen.join(batch.select("task_id").distinct(), "task_id", "left_semi")
-        retry_failed(touched, most).write.mode("overwrite").parquet(f"{queue}/batch_id={batch_id}")
+    def one_batch(due: DataFrame, batch_id: int) -> None:
+        due.write.mode("overwrite").parquet(f"{queue}/batch_id={batch_id}")
 
     return (
-        results.writeStream.foreachBatch(one_batch)
+        retry_failed(results, most).writeStream.foreachBatch(one_batch)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

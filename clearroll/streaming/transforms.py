@@ -5,9 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import high_risk
+from .ordered import INSTANT, in_order
 
 LATE = "10 minutes"
 
@@ -46,66 +46,61 @@ def unique_requests(requests: DataFrame, key: str, at: str, ttl: str = "24 hours
     return timed.dropDuplicatesWithinWatermark([key]) if timed.isStreaming else timed.dropDuplicates([key])
 
 
-def retryable_requests(requests: DataFrame, key: str, at: str, status: str = "status", ttl_seconds: int = 86400) -> DataFrame:
+def retryable_requests(
+    requests: DataFrame,
+    key: str,
+    at: str,
+    status: str = "status",
+    ttl_seconds: int = 86400,
+    late: str = LATE,
+    block: str = "10 minutes",
+) -> DataFrame:
     """Requests let through: new keys, expired keys, and keys whose last attempt failed.
 
-    The state of a key is the status and expiry of its last accepted request.  The rows
-    a micro-batch has of a key are put in order of time before any is decided, however
-    they are stored or cut into chunks; the files per trigger bound them.
+    The state of a key is the outcome and expiry of its last accepted request, and ends with
+    it.  Requests are decided in order of time, a block of time at once when the watermark
+    has passed its end, whatever files and batches they come in; one request counts per key
+    and instant (the first by status).  Requests later than the watermark are dropped.
     """
     columns = requests.columns
+    ttl = ttl_seconds * 1_000_000
 
-    def step(_, chunks, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, expires = state.get if state.exists else (None, None)
-        ordered = pd.concat(list(chunks)).sort_values(at, kind="stable")
-        times = ordered[at].astype("int64").to_numpy() // 1000
+    def decide(held: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, list[bool]]:
+        outcome, expires = held if held else (None, None)
         accepted = []
-        for when, outcome in zip(times, ordered[status]):
-            fresh = last is None or when > expires or last == "failed"
+        for when, own in zip(rows[INSTANT].tolist(), rows[status].tolist()):
+            fresh = expires is None or when > expires or outcome == "failed"
             accepted.append(fresh)
             if fresh:
-                last, expires = outcome, int(when) + ttl_seconds * 1_000_000
-        yield ordered[accepted][columns]
-        state.update((last, expires))
-        state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs() + 1))
-
-    timed = requests.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, f"{ttl_seconds} seconds")
-    return timed.groupBy(key).applyInPandasWithState(
-        step, timed.schema, "status string, expires long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+                outcome, expires = own, when + ttl
+        return (outcome, expires), accepted
+
+    timed = _timed(requests, at, late)
+    return in_order(timed, key, at, [status], decide, "outcome string, until long", block).select(*columns)
 
 
-def alert_stream(breaches: DataFrame, at: str = "tick") -> DataFrame:
+def alert_stream(breaches: DataFrame, at: str = "tick", late: str = "0 seconds", block: str = "1 minute") -> DataFrame:
     """Alerts with a cooldown per rule: rule, severity, fired_at.
 
-    ``breaches`` has rule, severity, minutes, breached and the time of the tick; there is
-    one row per rule and evaluation tick, so a rule's state is the time it last fired.
+    ``breaches`` has rule, severity, minutes, breached and the time of the tick.  Ticks are
+    decided in order of time, a block at once when the watermark has passed its end; a
+    rule's state is when it last fired, and ends with the cooldown.  Ticks later than the
+    watermark are dropped: they fire nothing and move no cooldown.
     """
 
-    def step(key, chunks, state: GroupState):
-        fired = state.get[0] if state.exists else None
-        rows = []
-        pdf = pd.concat(list(chunks)).sort_values(at)
-        for when, minutes, severity in zip(pdf[at].astype("int64") // 1000, pdf["minutes"], pdf["severity"]):
-            if fired is None or when >= fired + int(minutes) * 60_000_000:
-                fired = int(when)
-                rows.append((key[0], severity, fired))
-        if fired is not None:
-            state.update((fired,))
-        yield pd.DataFrame(rows, columns=["rule", "severity", "fired_us"])
-
-    return (
-        breaches.where("breached")
-        .withColumn(at, F.col(at).cast("timestamp"))
-        .groupBy("rule")
-        .applyInPandasWithState(
-            step, "rule string, severity string, fired_us long", "fired_us long", "append", GroupStateTimeout.NoTimeout
-        )
-        .select("rule", "severity", F.timestamp_micros("fired_us").alias("fired_at"))
-    )
+    def decide(held: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, list[bool]]:
+        until = held[1] if held else None
+        fired = []
+        for when, minutes in zip(rows[INSTANT].tolist(), rows["minutes"].tolist()):
+            fires = until is None or when >= until
+            fired.append(fires)
+            if fires:
+                until = when + int(minutes) * 60_000_000
+        return (None, until), fired
+
+    ticks = _timed(breaches, at, late).where("breached").select("rule", "severity", F.col("minutes").cast("long").alias("minutes"), at)
+    done = in_order(ticks, "rule", at, ["severity"], decide, "outcome string, until long", block)
+    return done.select("rule", "severity", F.col(at).alias("fired_at"))
 
 
 def high_risk_stream(log: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from clearroll.sources import files
 def many_files(spark, tmp_path_factory):
     """The events table as a folder of part files."""
     base = tmp_path_factory.mktemp("parts")
-    for name in ("events", "lineitem"):
+    for name in ("events", "lineitem", "orders"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{base}/{name}.parquet")
     return str(base)
 

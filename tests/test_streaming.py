@@ -53,12 +53,80 @@ def test_failed_requests_may_retry(spark, tmp_path):
     schema = "k string, s bigint, status string"
     first = [("a", 1, "failed"), ("b", 1, "completed"), ("c", 1, "completed")]
     second = [("a", 10, "completed"), ("a", 20, "completed"), ("b", 10, "completed"), ("c", 200, "failed")]
-    stream = files_of(spark, tmp_path, first, second, schema=schema)
+    later = [("z", 1000, "completed"), ("a", 20, "failed")]  # closes what was before; the second is too late to count
+    stream = files_of(spark, tmp_path, first, second, later, schema=schema)
     keyed = stream.select("k", F.timestamp_seconds("s").alias("at"), "status")
-    got = S.drain(S.retryable_requests(keyed, "k", "at", ttl_seconds=100), folder=str(tmp_path / "out"))
+    got = S.drain(S.retryable_requests(keyed, "k", "at", ttl_seconds=100, late="0 seconds", block="1 second"), folder=str(tmp_path / "out"))
     assert sorted((r.k, int(r.at.timestamp())) for r in got.collect()) == [("a", 1), ("a", 10), ("b", 1), ("c", 1), ("c", 200)]
 
 
+def greedy(rows, ttl):
+    """Requests of one key let through, by time."""
+    out, expires, outcome = [], None, None
+    for s, status in sorted(rows):
+        if expires is None or s > expires or outcome == "failed":
+            out.append(s)
+            expires, outcome = s + ttl, status
+    return out
+
+
+def test_a_busy_key_over_many_files(spark, tmp_path):
+    """200,000 requests of one key, in any order inside a file, in pieces that no frame holds whole."""
+    n, files = 200_000, 8
+    status = F.when(F.hash("id") % 7 == 0, "failed").otherwise("completed")
+    rows = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") + 7200).alias("s"), status.alias("status"))
+    for i in range(files):
+        own = rows.where((F.col("s") >= 7200 + i * n // files) & (F.col("s") < 7200 + (i + 1) * n // files))
+        own.orderBy(F.hash("s")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    keyed = stream.select("k", F.timestamp_seconds("s").alias("at"), "status")
+    got = S.drain(S.retryable_requests(keyed, "k", "at", ttl_seconds=500, block="2 hours"), folder=str(tmp_path / "out"))
+    want = greedy([(r.s, r.status) for r in rows.collect()], 500)
+    closed = (7200 + n - 1 - 600) // 7200 * 7200
+    assert sorted(int(r["at"].timestamp()) for r in got.select("at").collect()) == [s for s in want if s < closed]
+
+
+def test_state_ends_with_what_it_holds_back():
+    from clearroll.streaming.ordered import INSTANT, InOrder
+
+    class Value(dict):
+        exists = lambda self: "v" in self
+        get = lambda self: self["v"]
+        update = lambda self, v: self.__setitem__("v", v)
+        clear = lambda self: self.pop("v", None)
+
+    class Map(dict):
+        containsKey = dict.__contains__
+        getValue = dict.__getitem__
+        updateValue = dict.__setitem__
+        removeKey = dict.__delitem__
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.value, self.map = set(), Value(), Map()
+
+        getValueState = lambda self, *a: self.value
+        getMapState = lambda self, *a: self.map
+        registerTimer = lambda self, ms: self.timers.add(ms)
+
+    class Info:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = lambda: ms
+
+    import pandas as pd
+
+    handle = Handle()
+    work = InOrder(lambda last, rows: ((None, int(rows[INSTANT].iloc[0]) + 5_000_000), [True] + [False] * (len(rows) - 1)), ["x", INSTANT], ["x"], 2_000_000, "")
+    work.init(handle)
+    chunks = [pd.DataFrame({"x": [3, 1, 2], INSTANT: [1_500_000, 1_000_000, 1_000_000]}), pd.DataFrame({"x": [0], INSTANT: [1_900_000]})]
+    assert list(work.handleInputRows(("k",), iter(chunks), None)) == []
+    assert handle.timers == {2000} and len(handle.map) == 1
+    out = list(work.handleExpiredTimer(("k",), None, Info(2000)))
+    assert [tuple(r) for r in out[0].to_numpy()] == [(1, 1_000_000)] and not handle.map and handle.value.exists()
+    assert handle.timers == {2000, 8000}
+    assert list(work.handleExpiredTimer(("k",), None, Info(8000))) == [] and not handle.value.exists()
+
+
 def test_alerts_keep_their_cooldown_across_batches(spark, tmp_path):
     schema = "rule string, severity string, minutes bigint, breached boolean, s bigint"
     parts = [[("r", "warning", 8, True, at(m))] for m in range(5, 26)]
@@ -105,7 +173,7 @@ def test_retry_log(spark, tmp_path):
     rows = [("a", "failed", 1), ("b", "failed", 3), ("c", "failed", 1), ("c", "completed", 2), ("d", "completed", 1)]
     assert [tuple(r) for r in S.retry_failed(spark.createDataFrame(rows, schema)).collect()] == [("a", 2)]
     stream = files_of(spark, tmp_path, [("a", "failed", 1)], [("a", "failed", 2), ("b", "failed", 1)], [("a", "failed", 3)], schema=schema)
-    retry_stream(stream, str(tmp_path / "log"), str(tmp_path / "queue"), str(tmp_path / "check")).awaitTermination()
+    retry_stream(stream, str(tmp_path / "queue"), str(tmp_path / "check")).awaitTermination()
     queued = sorted((r.task_id, r.attempt) for r in spark.read.schema("task_id string, attempt bigint").option("recursiveFileLookup", True).parquet(str(tmp_path / "queue")).collect())
     assert queued == [("a", 2), ("a", 3), ("b", 2)]
 
