@@ -157,13 +157,13 @@ FROM licenses WHERE right(license_number, 1) NOT IN ('0', '1')""")
 def _(t):
     last = F.right("license_number", F.lit(1))
     result = F.concat(
-        F.lit('<html><body><div class="provider-name big">'), "holder_name",
-        F.lit('</div><DIV id="x" class=\'license-status\'>Status: '), F.initcap("license_status"),
+        F.lit('<html><body><div><!-- <div class="provider-name">no one</div> --><div class="provider-name big"><div><i></i></div><div>'), "holder_name",
+        F.lit('</div></div></div><DIV id="x" class=\'license-status\'>Status: '), F.initcap("license_status"),
         F.lit('</DIV><div class="issue-date">Issued: '), F.date_format("issue_date", "yyyy-MM-dd"),
         F.lit("</div>"),
         F.when(
             F.col("license_status") == "suspended",
-            F.lit('<div class="board-actions"><b>Suspension</b> for 6 months, 2023-12-01</div>'),
+            F.lit('<div class="board-actions"><div><div>Board:</div></div><br><b>Suspension</b> for 6 months, <div>2023-12-01</div></div>'),
         ).otherwise(F.lit('<div class="board-actions">None</div>')),
         F.lit("</body></html>"),
     )

@@ -1,8 +1,8 @@
-"""Records from stored web pages, by selector tables turned into regular expressions.
+"""Records from stored web pages, by selector tables, in native expressions.
 
 A selector is ``.class``, ``tag``, ``tag.class``, ``#id`` or ``tag[attr='value']``; a list
-of them is separated by commas.  The text of an element ends at the first closing tag of
-its own name, so an element that nests another of the same name is cut there.
+of them is separated by commas.  An element ends at the closing tag of its own depth, so
+elements of one name may nest; one that is never closed is none.  Comments are left out.
 """
 
 from __future__ import annotations
@@ -39,12 +39,6 @@ def _opening(selector: str) -> str:
     return rf"(?:{tag})(?=[\s>/]){want}"
 
 
-def element_pattern(selectors: str) -> str:
-    """One pattern for a selector list: group 1 the tag name, group 2 the inner text."""
-    tags = "|".join(_opening(s) for s in selectors.split(",") if s.strip())
-    return rf"(?is)<({tags})[^>]*>(.*?)</\1\s*>"
-
-
 def opening_pattern(selectors: str) -> str:
     tags = "|".join(_opening(s) for s in selectors.split(",") if s.strip())
     return rf"(?is)<(?:{tags})"
@@ -61,16 +55,77 @@ def plain_text(inner: Column) -> Column:
     return text.strip(bare)
 
 
+#: Elements that have no closing tag.
+_VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+_OPEN = "array<struct<name:string,start:int,hit:boolean>>"
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _tags_of(selectors: str) -> str:
+    """Pattern of the tags that matter to a selector list: those of its names, or all where a selector names none."""
+    names = {_SIMPLE.match(s.strip())["tag"] for s in selectors.split(",") if s.strip()}
+    either = "[A-Za-z][A-Za-z0-9]*" if None in names else "(?:" + "|".join(sorted(names)) + ")"
+    return rf"(?i)</?{either}(?=[\s>/])[^>]*>"
+
+
+def _page(html: str | Column) -> Column:
+    return F.regexp_replace(text.col(html), "(?s)<!--.*?-->", "")
+
+
+def element_spans(page: Column, selectors: str) -> Column:
+    """First and last-plus-one positions of the inner HTML of all matching elements, by where they begin.
+
+    The tags are walked through once, with a stack of those that are open: a closing tag
+    ends the innermost open one of its name, and what was left open inside it is dropped.
+    """
+    opening = opening_pattern(selectors).replace("(?is)<", "(?is)^<")
+    tags, gaps = F.regexp_extract_all(page, F.lit(_tags_of(selectors)), F.lit(0)), F.split(page, _tags_of(selectors))
+    steps = F.transform(
+        tags,
+        lambda t, i: F.struct(
+            F.length(F.get(gaps, i)).alias("gap"),
+            F.length(t).alias("size"),
+            F.lower(F.regexp_extract(t, "^</?([A-Za-z0-9]+)", 1)).alias("name"),
+            t.startswith("</").alias("closes"),
+            (~t.rlike("/>$")).alias("opens"),
+            t.rlike(opening).alias("hit"),
+        ),
+    )
+    start = F.struct(F.lit(1).alias("at"), F.array().cast(_OPEN).alias("open"), F.array().cast(_SPANS).alias("out"))
+
+    def step(acc, x):
+        begin = acc["at"] + x["gap"]
+        after = begin + x["size"]
+        depth = F.array_max(F.transform(acc["open"], lambda o, i: F.when(o["name"] == x["name"], i)))
+        ended = F.get(acc["open"], depth)
+        one = F.array(F.struct(x["name"].alias("name"), after.alias("start"), x["hit"].alias("hit")))
+        opened = F.when(x["opens"] & ~x["name"].isin(_VOID), F.concat(acc["open"], one)).otherwise(acc["open"])
+        closed = F.when(depth.isNull(), acc["open"]).otherwise(F.slice(acc["open"], F.lit(1), F.coalesce(depth, F.lit(0))))
+        span = F.array(F.struct(ended["start"].alias("start"), begin.alias("end")))
+        out = F.when(x["closes"] & ended["hit"], F.concat(acc["out"], span)).otherwise(acc["out"])
+        return F.struct(
+            after.alias("at"),
+            F.when(x["closes"], closed).otherwise(opened).cast(_OPEN).alias("open"),
+            out.cast(_SPANS).alias("out"),
+        )
+
+    return F.aggregate(steps, start, step, lambda acc: F.array_sort(acc["out"]))
+
+
+def _inner(page: Column, span: Column) -> Column:
+    return plain_text(F.substr(page, span["start"], span["end"] - span["start"]))
+
+
 def select_text(html: str | Column, selectors: str) -> Column:
     """Text of the first element that matches any selector, NULL if none does."""
-    pattern = element_pattern(selectors)
-    page = text.col(html)
-    return F.when(page.rlike(pattern), plain_text(F.regexp_extract(page, pattern, 2)))
+    page = _page(html)
+    return F.when(has_element(html, selectors), _inner(page, F.get(element_spans(page, selectors), F.lit(0))))
 
 
 def select_all(html: str | Column, selectors: str) -> Column:
-    found = F.regexp_extract_all(text.col(html), F.lit(element_pattern(selectors)), F.lit(2))
-    return F.transform(found, plain_text)
+    """Texts of all matching elements, those inside others too, in the order they begin."""
+    page = _page(html)
+    return F.transform(element_spans(page, selectors), lambda span: _inner(page, span))
 
 
 def has_element(html: str | Column, selectors: str) -> Column:

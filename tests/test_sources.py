@@ -131,9 +131,18 @@ def test_selectors(one):
     assert one(html.select_text(page, ".b-c")) == "x y"
     assert one(html.select_text(page, ".b")) is None
     assert one(html.select_text(page, "#k2")) == "x y"
+    nested = F.lit(
+        "<div><!-- <p class='a'>no</p> --><DIV class='a'>1<div>2<br>3<DIV/></div>4<p>5</div>6<p class='a'>7<p>8</p>"
+        "</span><div class='a'>9<div class='x a'>10</div></div><section class='a'>open"
+    )
+    assert one(html.select_all(nested, ".a")) == ["12345", "910", "10"]
+    assert one(html.select_all(nested, "div.a")) == ["12345", "910", "10"] and one(html.select_text(nested, "p")) == "8"
+    deep = F.lit("<div class='a'>" + "<div>" * 300 + "x" + "</div>" * 300 + "y</div>z")
+    assert one(html.select_text(deep, ".a")) == "xy"
+    assert one(html.select_text(F.lit(None).cast("string"), "p")) is None and one(html.select_all(F.lit("no tags"), "p")) == []
     assert one(html.has_element(page, "input[name='q']")) is True
     with pytest.raises(ValueError):
-        html.element_pattern("div > p")
+        html.select_text(page, "div > p")
 
 
 def test_scan_documents(spark, tmp_path):
