@@ -8,16 +8,12 @@ span of time.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import scores
-
-
-ISLANDS_PER_TASK = 4096
+from ..session import written
 
 
 def _micros(c: str) -> Column:
@@ -103,46 +99,52 @@ def greedy_spans(ticks: DataFrame, keys: list[str], tick: str, weight: str, widt
     tick, so a key has at most one row per unit of time.  ``width`` may be a column
     that is constant per key.
 
-    A pause of at least the width always ends a span, so the ticks between two such
-    pauses form an island of its own.  An island shorter than the width is one span,
-    a plain aggregate; only longer islands, where each span depends on the one before,
-    are folded tick by tick, many consecutive islands in one call.
+    A pause of at least the width always ends a span, so the ticks between two such pauses
+    form an island of its own.  Where a key never pauses, each span depends on the one
+    before: every tick gets the next one a width later, found inside blocks of one width,
+    and those that are reached from an island's first tick are found by doubling the
+    steps, in as many rounds as the longest way has binary digits.  No step holds the
+    ticks of a key, only those of a block.  Finding the number of rounds runs a job.
     """
     w = (width if isinstance(width, Column) else F.lit(width)).cast("bigint")
-    order = Window.partitionBy(*keys).orderBy(tick)
-    fresh = F.coalesce(F.col(tick) - F.lag(tick).over(order) >= w, F.lit(True))
-    placed = ticks.select(
-        *keys, F.col(tick).cast("bigint").alias("_t"), F.col(weight).cast("bigint").alias("_n"), w.alias("_w"),
-        F.sum(F.when(fresh, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_island"),
-    )
-    island = Window.partitionBy(*keys, "_island")
-    sized = placed.withColumns({"_first": F.min("_t").over(island), "_last": F.max("_t").over(island)})
-    short = F.col("_last") - F.col("_first") < F.col("_w")
-    brief = sized.where(short).groupBy(*keys, "_island").agg(
-        F.min("_t").alias("opened"), F.sum("_n").alias(weight)
-    ).drop("_island")
-
-    schema = T.StructType(
-        [ticks.schema[k] for k in keys]
-        + [T.StructField("opened", T.LongType()), T.StructField(weight, T.LongType())]
-    )
-
-    def fold(pdf):
-        pdf = pdf.sort_values("_t")
-        times, counts = pdf["_t"].to_numpy(), pdf["_n"].to_numpy()
-        span = int(pdf["_w"].iloc[0])
-        starts, at = [], 0
-        while at < len(times):
-            starts.append(at)
-            at = int(times.searchsorted(times[at] + span, side="left"))
-        out = pdf.iloc[starts][keys].reset_index(drop=True)
-        out["opened"] = times[starts]
-        out[weight] = np.add.reduceat(counts, starts)
-        return out
-
-    many = F.floor(F.col("_island") / ISLANDS_PER_TASK).alias("_islands")
-    long = sized.where(~short).groupBy(*keys, many).applyInPandas(fold, schema)
-    return brief.unionByName(long)
+    names, keys = keys, ["_k"]  # as one struct, in which null equals null
+    own = ticks.select(F.struct(*names).alias("_k"), F.col(tick).cast("bigint").alias("_t"), F.col(weight).cast("bigint").alias("_n"), w.alias("_w"))
+    own = own.withColumn("_block", F.floor(F.col("_t") / F.col("_w")))
+    block = Window.partitionBy(*keys, "_block")
+    # the tick before stands in the same block or is the last of the block before; farther back is a pause
+    edges = own.groupBy(*keys, "_block").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    past = edges.select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_last").alias("_past"))
+    near = own.join(past, [*keys, "_block"], "left")
+    before = F.coalesce(F.lag("_t").over(block.orderBy("_t")), F.col("_past"))
+    near = near.withColumn("_opens", F.coalesce(F.col("_t") - before >= F.col("_w"), F.lit(True)))
+
+    # a width later lies in the next block: the first tick from there on is in it, or the first of the one after
+    marks = near.select(*keys, (F.col("_block") + 1).alias("_block"), (F.col("_t") + F.col("_w")).alias("_at"), F.col("_t").alias("_from"))
+    both = marks.unionByName(near.select(*keys, "_block", F.col("_t").alias("_at"), F.lit(None).cast("bigint").alias("_from")))
+    ahead = block.orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn("_next", F.min(F.when(F.col("_from").isNull(), F.col("_at"))).over(ahead)).where(F.col("_from").isNotNull())
+    after = edges.select(*keys, (F.col("_block") - 1).alias("_block"), F.col("_first").alias("_after"))
+    found = found.join(after, [*keys, "_block"], "left").select(*keys, F.col("_from").alias("_t"), F.coalesce("_next", "_after").alias("_next"))
+
+    steps = written(near.select(*keys, "_t", "_n", "_w", "_opens").join(found, [*keys, "_t"]), "steps")
+    # the next tick may open an island itself; then the way ends here
+    opens = steps.where("_opens").select(*keys, F.col("_t").alias("_next"), F.lit(True).alias("_island"))
+    ways = steps.join(opens, [*keys, "_next"], "left").where(F.col("_next").isNotNull() & F.col("_island").isNull()).select(*keys, "_t", "_next")
+    reached = written(steps.where("_opens").select(*keys, "_t"), "reached")
+    ways = written(ways, "ways")
+    while ways.take(1):
+        further = reached.join(ways, [*keys, "_t"]).select(*keys, F.col("_next").alias("_t"))
+        reached = written(reached.unionByName(further).distinct(), "reached")
+        second = ways.select(*keys, F.col("_t").alias("_next"), F.col("_next").alias("_far"))
+        ways = written(ways.join(second, [*keys, "_next"]).select(*keys, "_t", F.col("_far").alias("_next")), "ways")
+
+    # a tick counts in the span that is open: opened in its own block or the one before
+    starts = reached.join(steps.select(*keys, "_t", "_w"), [*keys, "_t"]).select(*keys, F.floor(F.col("_t") / F.col("_w")).alias("_block"), F.col("_t").alias("_start"))
+    placed = starts.select(*keys, F.explode(F.array(F.col("_block"), F.col("_block") + 1)).alias("_block"), F.col("_start").alias("_at"), F.col("_start"), F.lit(None).cast("bigint").alias("_n"))
+    rows = steps.select(*keys, F.floor(F.col("_t") / F.col("_w")).alias("_block"), F.col("_t").alias("_at"), F.lit(None).cast("bigint").alias("_start"), "_n")
+    upto = block.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = placed.unionByName(rows).withColumn("opened", F.max("_start").over(upto)).where(F.col("_n").isNotNull())
+    return counted.groupBy(*keys, "opened").agg(F.sum("_n").alias(weight)).select("_k.*", "opened", weight)
 
 
 def burst_limits(log: DataFrame, key: str, at: str, seconds: int = K.BURST_SECONDS, limit: int = K.BURST_LIMIT) -> DataFrame:

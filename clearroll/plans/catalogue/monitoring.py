@@ -190,14 +190,16 @@ def _(t):
 
 @query("request_bursts", "W5", "request_log",
        """SELECT client, CAST(opened AS BIGINT) AS opened, CAST((SELECT count(*) FROM request_log l WHERE l.client = z.client AND epoch_us(l.requested_at) // 1000000 >= opened
-    AND epoch_us(l.requested_at) // 1000000 < opened + 1800) AS BIGINT) AS requests FROM (
+    AND epoch_us(l.requested_at) // 1000000 < opened + 1800) AS BIGINT) AS requests,
+  CAST(greatest((SELECT count(*) FROM request_log l WHERE l.client = z.client AND epoch_us(l.requested_at) // 1000000 >= opened
+    AND epoch_us(l.requested_at) // 1000000 < opened + 1800) - 2, 0) AS BIGINT) AS over FROM (
 WITH RECURSIVE s AS (SELECT DISTINCT client, epoch_us(requested_at) // 1000000 AS sec FROM request_log),
 b AS (SELECT client, min(sec) AS opened FROM s GROUP BY client
   UNION ALL SELECT n.client, n.sec FROM b, LATERAL (SELECT s.client, s.sec FROM s WHERE s.client = b.client AND s.sec >= b.opened + 1800 ORDER BY s.sec LIMIT 1) n)
 SELECT * FROM b) z""")
 def _(t):
     return windows.burst_limits(t.request_log, "client", "requested_at", seconds=1800, limit=2).select(
-        "client", "opened", "requests"
+        "client", "opened", "requests", "over"
     )
 
 

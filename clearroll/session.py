@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,9 +41,23 @@ def build_session(
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; where it names none, one in the warehouse.
+    """The folder the cluster names in ``spark.checkpoint.dir``, shared by the driver and all executors.
 
-    Both are shared by the driver and all executors; a machine's own temporary folder is never used.
+    Where the session names none and everything runs in one local process (tests), a
+    temporary folder is set; on a cluster without a shared folder this raises.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_clearroll"
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="clearroll-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: its plan ends here, and a lost executor costs no rerun of it."""
+    path = f"{shared_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -202,11 +202,13 @@ def greedy(times, width):
 def test_greedy_spans_match_a_loop(spark):
     rng = random.Random(11)
     rows = [(k, rng.randrange(0, 3000)) for k in "abc" for _ in range({"a": 900, "b": 60, "c": 3}[k])]
-    ticks = spark.createDataFrame(sorted(set(rows)), "k string, t bigint").withColumn("n", F.lit(1))
+    rows += [("d", s) for s in range(-40, 3000)] + [("e", 17 * i) for i in range(50)] + [("f", 18 * i) for i in range(50)]  # never pauses, just pauses
+    rows += [(None, s) for s in range(0, 900, 5)]
+    ticks = spark.createDataFrame(sorted(set(rows), key=str), "k string, t bigint").withColumn("n", F.lit(1))
     got = {}
     for r in windows.greedy_spans(ticks, ["k"], "t", "n", 17).collect():
         got.setdefault(r.k, {})[r.opened] = r.n
-    assert got == {k: greedy({t for kk, t in rows if kk == k}, 17) for k in "abc"}
+    assert got == {k: greedy({t for kk, t in rows if kk == k}, 17) for k in [*"abcdef", None]}
 
 
 def test_burst_counts_all_requests(spark):
