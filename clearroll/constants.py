@@ -172,6 +172,9 @@ SOURCE_RELIABILITY = {
 }
 
 # trust per (source, mode, field); the registry modes differ for three fields
+#: Domains that take mail, where a rule is given none of its own.
+MAIL_DOMAINS = ["gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "icloud.com"]
+
 TRUST_SCORES = {
     ("npi_registry", "npi_search"): {
         "npi_number": 0.98, "given_name": 0.95, "family_name": 0.95,

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import PATH_PATTERNS, SQL_PATTERNS, XSS_PATTERNS
 from .text import col, strip
@@ -25,6 +26,36 @@ def sanitize_map(c: str | Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
 
 
+def _sanitized(c: Column, kind: T.DataType) -> Column:
+    """A value of any type with all strings in it sanitised; what is no string stays."""
+    if isinstance(kind, T.StringType):
+        return sanitize(c)
+    if isinstance(kind, T.StructType):
+        fields = [_sanitized(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _sanitized(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        cut = lambda k: sanitize(k, 100) if isinstance(kind.keyType, T.StringType) else k
+        entries = F.transform(
+            F.map_entries(c),
+            lambda e: F.struct(cut(e["key"]).alias("key"), _sanitized(e["value"], kind.valueType).alias("value")),
+        )
+        later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"])
+        return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
+    return c
+
+
+def sanitize_nested(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``df`` with the strings in ``columns`` (all by default) sanitised, in structs, arrays and maps of any depth.
+
+    Values are cut to 1000 characters, keys of maps to 100; of keys that become equal the
+    last one stays.  The expression is built from the schema, so it stays native.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns({c: _sanitized(F.col(f"`{c}`"), kinds[c]) for c in columns or df.columns})
+
+
 # class -> (patterns, whether a dot also matches a line end)
 HOSTILE_CLASSES = {
     "xss_attempt": (XSS_PATTERNS, True),

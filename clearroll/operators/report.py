@@ -226,6 +226,14 @@ def license_flags(as_of: Column, status: str = "license.license_status", expiry:
     ]
 
 
+def record_flags(fields: str = "fields", copies: str = "copies") -> list[Column]:
+    """Flags that need the whole record or its copies: inconsistent data, and an NPI that other records carry too."""
+    return [
+        F.when(F.size(consistency_issues(fields)) > 0, F.lit("data_inconsistency")),
+        F.when(F.col(copies) > 1, F.lit("potential_duplicate")),
+    ]
+
+
 def recommendations(flags: str = "flags", found: str = "insights") -> Column:
     by_flag = [
         F.when(F.array_contains(F.col(flags), flag), F.lit(advice))

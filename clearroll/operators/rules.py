@@ -33,7 +33,7 @@ DEFAULT_RULES = [
     Rule("phone_primary", "e164_normalization", {}, "npi", 0.4),
     Rule("address_street", "place_id_matching", {"geocode_distance_threshold": 100}, "google_places", 0.25),
     Rule("license_number", "state_board_verification", {}, "state_board", 0.15),
-    Rule("email", "mx_record_check", {}, "hospital_website", 0.2),
+    Rule("email", "mx_record_check", {"known_domains": K.MAIL_DOMAINS}, "hospital_website", 0.2),
     Rule("given_name", "fuzzy_matching", {"levenshtein_threshold": 0.85}, "npi", 0.4),
     Rule("family_name", "fuzzy_matching", {"levenshtein_threshold": 0.85}, "npi", 0.4),
 ]

@@ -386,21 +386,28 @@ def _(t):
     return merge.record_counts(t.field_results)
 
 
+def fuzzy_sql(field: str) -> str:
+    return f"""SELECT 'fuzzy_matching' AS rule_type, '{field}' AS field_name, CASE WHEN r.npi_number IS NULL THEN 'invalid' WHEN s >= 0.85e0 THEN 'valid' WHEN s >= 0.7e0 THEN 'warning' ELSE 'invalid' END AS status
+  FROM (SELECT r.npi_number, round(1 - levenshtein(lower(d.{field}), lower(r.{field})) / CAST(greatest(length(d.{field}), length(r.{field})) AS DOUBLE), 9) AS s FROM {REG_JOIN}
+    WHERE coalesce(trim(d.{field}), '') <> '') r"""
+
+
 @query("rule_results", "X1 J3b J4b J6 J11 F5", "directory registry geocodes licenses",
-       f"""SELECT rule_type, status, CAST(count(*) AS BIGINT) AS n FROM (
-SELECT 'fuzzy_matching' AS rule_type, CASE WHEN r.npi_number IS NULL THEN 'invalid' WHEN s >= 0.85e0 THEN 'valid' WHEN s >= 0.7e0 THEN 'warning' ELSE 'invalid' END AS status
-  FROM (SELECT r.npi_number, round(1 - levenshtein(lower(d.family_name), lower(r.family_name)) / CAST(greatest(length(d.family_name), length(r.family_name)) AS DOUBLE), 9) AS s FROM {REG_JOIN}) r
-UNION ALL SELECT 'state_board_verification', CASE WHEN l.license_number IS NULL THEN 'invalid' WHEN upper(l.license_status) = 'ACTIVE' THEN 'valid'
-  WHEN upper(l.license_status) IN ('SUSPENDED', 'REVOKED') THEN 'invalid' ELSE 'warning' END FROM {LIC_JOIN} WHERE coalesce(d.license_number, '') <> ''
-UNION ALL SELECT 'unheard_of', 'unknown' FROM directory) x GROUP BY rule_type, status""")
-def _(t):
+       f"""SELECT rule_type, field_name, status, CAST(count(*) AS BIGINT) AS n FROM ({fuzzy_sql('given_name')} UNION ALL {fuzzy_sql('family_name')}
+UNION ALL SELECT 'e164_normalization', 'phone_primary', CASE WHEN coalesce(regexp_matches(phone, '^\\+1[2-9][0-9]{{2}}[2-9][0-9]{{6}}$'), false) THEN 'valid' ELSE 'invalid' END
+  FROM (SELECT {PHONE} AS phone FROM directory WHERE coalesce(trim(phone_primary), '') <> '') p
+UNION ALL SELECT 'place_id_matching', 'address_street', CASE WHEN missing THEN 'invalid' WHEN place_id IS NULL THEN 'warning' WHEN m <= 100 THEN 'valid' ELSE 'warning' END
+  FROM (SELECT g.formatted_address IS NULL AS missing, g.place_id, {HAVERSINE} AS m FROM {GEO_JOIN} WHERE coalesce(trim(d.address_street), '') <> '') x
+UNION ALL SELECT 'mx_record_check', 'email', CASE WHEN NOT regexp_matches(email, '{K.EMAIL_PATTERN}') THEN 'invalid'
+    WHEN split_part(email, '@', 2) IN ({', '.join(f"'{d}'" for d in K.MAIL_DOMAINS)}) THEN 'valid' ELSE 'warning' END FROM directory WHERE coalesce(trim(email), '') <> ''
+UNION ALL SELECT 'state_board_verification', 'license_number', CASE WHEN l.license_number IS NULL THEN 'invalid' WHEN upper(l.license_status) = 'ACTIVE' THEN 'valid'
+  WHEN upper(l.license_status) IN ('SUSPENDED', 'REVOKED') THEN 'invalid' ELSE 'warning' END FROM {LIC_JOIN} WHERE coalesce(trim(d.license_number), '') <> ''
+UNION ALL SELECT 'unheard_of', 'given_name', 'unknown' FROM directory WHERE coalesce(trim(given_name), '') <> '') x GROUP BY rule_type, field_name, status""")
+def _(t):
+    """All default rules, and one of a type nobody knows."""
     found = checks.with_references(t.directory, t.registry, t.geocodes, t.licenses)
-    own = [
-        rules.Rule("family_name", "fuzzy_matching", {"levenshtein_threshold": 0.85}),
-        rules.Rule("license_number", "state_board_verification", {}, "state_board"),
-        rules.Rule("given_name", "unheard_of", {}),
-    ]
-    return rules.apply_rules(found, own).groupBy("rule_type", "status").agg(F.count(F.lit(1)).alias("n"))
+    done = rules.apply_rules(found, [*rules.DEFAULT_RULES, rules.Rule("given_name", "unheard_of", {})])
+    return done.groupBy("rule_type", "field_name", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("mean_field_confidence", "A9", "field_results",
@@ -470,7 +477,8 @@ def _(t):
 
 
 REPORT_BASE = f"""SELECT d.provider_id, n, vals, hi, med, lo, c, failed, docs_bad, missing, npi_gone, phone_bad, mail_bad, street_gone, same,
-   lower(l.license_status) = 'expired' OR l.expiry_date < TIMESTAMP '{AS_OF}' AS lapsed, lower(l.license_status) = 'suspended' AS barred
+   lower(l.license_status) = 'expired' OR l.expiry_date < TIMESTAMP '{AS_OF}' AS lapsed, lower(l.license_status) = 'suspended' AS barred,
+   (SELECT count(*) FROM directory q WHERE q.npi_number = d.npi_number AND trim(q.npi_number) <> '') AS copies
 FROM {LIC_JOIN}
 JOIN (SELECT provider_id, count(*) AS n, sum(CASE WHEN coalesce(trim(value), '') <> '' THEN 1 ELSE 0 END) AS vals,
    sum(CASE WHEN conf >= 0.8e0 THEN 1 ELSE 0 END) AS hi, sum(CASE WHEN conf >= 0.6e0 AND conf < 0.8e0 THEN 1 ELSE 0 END) AS med,
@@ -492,7 +500,8 @@ REPORT_SQL = f"""SELECT provider_id, CAST(n AS BIGINT) AS total_fields, CAST(val
   concat_ws(',', CASE WHEN missing IS NOT NULL THEN 'missing_critical_field' END, CASE WHEN lo > n * 0.5e0 THEN 'low_confidence' END,
     CASE WHEN failed > 0 THEN 'validation_failed' END, CASE WHEN npi_gone THEN 'npi_not_found' END, CASE WHEN phone_bad THEN 'invalid_phone' END,
     CASE WHEN mail_bad THEN 'invalid_email' END, CASE WHEN street_gone THEN 'address_not_found' END, CASE WHEN docs_bad THEN 'ocr_failed' END,
-    CASE WHEN lapsed THEN 'expired_license' END, CASE WHEN barred THEN 'suspended_license' END) AS flags,
+    CASE WHEN lapsed THEN 'expired_license' END, CASE WHEN barred THEN 'suspended_license' END,
+    CASE WHEN same THEN 'data_inconsistency' END, CASE WHEN copies > 1 THEN 'potential_duplicate' END) AS flags,
   concat_ws(',', CASE WHEN missing IS NOT NULL THEN 'Missing Critical Fields' END, CASE WHEN lo > 0 THEN 'Low Confidence Fields' END,
     CASE WHEN failed > 0 THEN 'Failed Validations' END, CASE WHEN same THEN 'Data Inconsistency' END,
     CASE WHEN n / 9e0 < 0.8e0 THEN 'Low Validation Coverage' END) AS insights,

@@ -167,14 +167,15 @@ LIMIT_CASE = weights_case("connector", {c: float(m) for c, m in MINUTE_LIMIT.ite
 
 
 @query("sliding_limits", "W4", "request_log",
-       f"""SELECT connector, strftime(seen, '%Y-%m-%d %H:%M:%S.%f') AS seen_at, CAST(requests AS BIGINT) AS requests, CAST(in_window AS BIGINT) AS in_window, in_window > {LIMIT_CASE} AS over_limit
-FROM (SELECT connector, seen, requests, sum(requests) OVER (PARTITION BY connector ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window
+       f"""SELECT connector, strftime(seen, '%Y-%m-%d %H:%M:%S.%f') AS seen_at, CAST(requests AS BIGINT) AS requests, CAST(in_window AS BIGINT) AS in_window, in_window > {LIMIT_CASE} AS over_limit,
+  coalesce(us - lag(us) OVER (PARTITION BY connector ORDER BY us) < 1000, false) OR requests > 1 AS too_close
+FROM (SELECT connector, seen, us, requests, sum(requests) OVER (PARTITION BY connector ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window
   FROM (SELECT connector, requested_at AS seen, epoch_us(requested_at) AS us, count(*) AS requests FROM request_log GROUP BY ALL) c) x""")
 def _(t):
     limits = {c: (1000.0, m) for c, m in MINUTE_LIMIT.items()}
     done = windows.sliding_limit(t.request_log, "connector", "requested_at", limits, seconds=3600)
     return done.select(
-        "connector", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("seen_at"), "requests", "in_window", "over_limit"
+        "connector", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("seen_at"), "requests", "in_window", "over_limit", "too_close"
     )
 
 
@@ -236,6 +237,35 @@ def _(t):
     )
 
 
+DEFAULT_CASES = " UNION ALL ".join(
+    f"SELECT '{n}' AS rule, '{sev}' AS severity, {cond} AS breached FROM m" for n, (cond, sev, _) in K.ALERT_RULES.items()
+)
+
+
+@query("default_rule_breaches", "X2", "metric_ticks",
+       f"""SELECT rule, severity, CAST(count(*) AS BIGINT) AS ticks, CAST(count(*) FILTER (WHERE breached) AS BIGINT) AS breaches FROM (
+WITH m AS (SELECT tick, requests * 6 AS manual_review_queue_length, requests / 36e0 AS provider_validations_per_second, requests % 7 AS validation_workers_active,
+  failures / CAST(requests AS DOUBLE) AS failure_rate, 100 - failures * 100e0 / requests AS provider_high_confidence_percentage,
+  failures / (requests * 2e0) AS external_api_error_rate, failures AS security_events_total, requests % 11 AS database_connections_active FROM metric_ticks)
+{DEFAULT_CASES}) b GROUP BY rule, severity""")
+def _(t):
+    """The nine default rules over a metrics row that has all their figures."""
+    asked, bad = F.col("requests"), F.col("failures")
+    row = t.metric_ticks.select(
+        "tick",
+        (asked * 6).alias("manual_review_queue_length"),
+        (asked / 36.0).alias("provider_validations_per_second"),
+        (asked % 7).alias("validation_workers_active"),
+        (bad / asked).alias("failure_rate"),
+        (100 - bad * 100.0 / asked).alias("provider_high_confidence_percentage"),
+        (bad / (asked * 2.0)).alias("external_api_error_rate"),
+        bad.alias("security_events_total"),
+        (asked % 11).alias("database_connections_active"),
+    )
+    found = windows.rule_breaches(row, rules.alert_rules())
+    return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("ticks"), F.count_if("breached").alias("breaches"))
+
+
 @query("sustained_alerts", "W3", "metric_ticks",
        f"""SELECT rule, severity, {ts_sql('min(tick)')} AS since, {ts_sql('max(tick)')} AS until, CAST(count(*) AS BIGINT) AS ticks FROM (
   SELECT *, row_number() OVER (PARTITION BY rule ORDER BY tick) - row_number() OVER (PARTITION BY rule, breached ORDER BY tick) AS island FROM {BREACHES} b) x

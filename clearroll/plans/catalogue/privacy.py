@@ -240,15 +240,17 @@ def _(t):
 
 # -- retention -------------------------------------------------------------------------------
 
-KEPT = ["provider_id", "given_name", "family_name", "npi_number", "created_at", "overall_confidence"]
-SIZE = "strlen(concat(provider_id, given_name, family_name, npi_number, strftime(created_at, '%Y-%m-%d %H:%M:%S'), CAST(overall_confidence AS STRING)))"
+SIZE = """strlen(concat_ws('', k, class, provider_id, given_name, family_name, npi_number, primary_taxonomy, practice_name, address_street,
+  address_city, address_state, address_zip, phone_primary, email, license_number, license_state, license_status, document_path, claimed_lat, claimed_lng,
+  strftime(last_validated_at, '%Y-%m-%d %H:%M:%S'), strftime(created_at, '%Y-%m-%d %H:%M:%S'), strftime(updated_at, '%Y-%m-%d %H:%M:%S'),
+  overall_confidence, validation_status, CAST(to_json(flag_codes) AS STRING)))"""
 
 
 @query("retention_preview", "A41", "directory",
        f"""SELECT CAST(count(*) AS BIGINT) AS affected_records, CAST(coalesce(sum({SIZE}), 0) AS BIGINT) AS affected_bytes FROM directory
 WHERE created_at < TIMESTAMP '{AS_OF}' - INTERVAL 1000 DAYS""")
 def _(t):
-    return retention.retention_preview(t.directory.select(*KEPT), AS_OF, 1000)
+    return retention.retention_preview(t.directory, AS_OF, 1000)
 
 
 @query("retention_report", "A42 X5", "directory provider_results audit_logs",

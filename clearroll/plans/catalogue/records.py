@@ -231,23 +231,43 @@ def _(t):
     )
 
 
-TRUST = " UNION ALL ".join(
-    f"SELECT npi_number, '{f}' AS field_name, {float(v)}e0 AS score FROM registry"
-    for f, v in K.TRUST_SCORES[("npi_registry", "npi_search")].items() if f != "email"
-)
+def trust_sql(source: str, mode: str, table: str, key: str, email: str | None = None, own: tuple[str, str] | None = None) -> str:
+    fixed = ", ".join(f"('{f}', {v}e0)" for f, v in K.TRUST_SCORES[source, mode].items() if not (email and f == "email"))
+    rows = [f"SELECT {key} AS id, f AS field_name, CAST(s AS DOUBLE) AS score FROM {table}, (VALUES {fixed}) v(f, s)"]
+    if email:
+        rows.append(f"SELECT {key}, 'email', CASE WHEN coalesce({email}, '') <> '' THEN 0.6e0 ELSE 0e0 END FROM {table}")
+    if own:
+        rows.append(f"SELECT {key}, '{own[0]}', {own[1]} FROM {table}")
+    return f"SELECT '{source}' AS source, '{mode}' AS mode, * FROM ({' UNION ALL '.join(rows)}) x"
+
+
+TRUSTED = [
+    trust_sql("npi_registry", "npi_search", "directory", "provider_id", "email"),
+    trust_sql("npi_registry", "name_search", "registry", "npi_number"),
+    trust_sql("google_places", "geocoding", "geocodes g", "formatted_address", own=("match_confidence", weights_case("g.location_type", K.GEOMETRY_CONFIDENCE, 0.5))),
+    trust_sql("state_board", "verification", "licenses", "license_number", own=("confidence_score", "CASE WHEN license_status = 'active' THEN 0.9e0 ELSE 0.6e0 END")),
+]
 
 
 @query(
-    "trust_scores", "F19", "registry",
-    f"""SELECT npi_number, field_name, CAST(score AS DOUBLE) AS score,
-  CASE WHEN score > 0.8e0 THEN 'high' ELSE 'medium' END AS level
-FROM ({TRUST} UNION ALL SELECT npi_number, 'email', CASE WHEN registry_status = 'A' THEN 0.6e0 ELSE 0e0 END FROM registry) x""",
+    "trust_scores", "F19", "directory registry geocodes licenses",
+    f"SELECT *, CASE WHEN score > 0.8e0 THEN 'high' ELSE 'medium' END AS level FROM ({' UNION ALL '.join(TRUSTED)}) z",
 )
 def _(t):
-    known = t.registry.select(
-        "npi_number", F.when(F.col("registry_status") == "A", "x@y.org").otherwise("").alias("email")
-    )
-    return payloads.trust_scores(known, "npi_registry", "npi_search")
+    """All four tables of trust: records by number with their own e-mail, by name, places and licenses with a score of their own."""
+    shape = F.when(F.col("license_status") == "active", 0.9).otherwise(0.6)
+    known = {
+        ("npi_registry", "npi_search"): t.directory.select("provider_id", "email"),
+        ("npi_registry", "name_search"): t.registry.select("npi_number"),
+        ("google_places", "geocoding"): t.geocodes.select("formatted_address", scores.geometry_confidence("location_type").alias("match_confidence")),
+        ("state_board", "verification"): t.licenses.select("license_number", shape.alias("confidence_score")),
+    }
+    rows = None
+    for (source, mode), df in known.items():
+        row = payloads.trust_scores(df, source, mode)
+        row = row.select(F.lit(source).alias("source"), F.lit(mode).alias("mode"), F.col(df.columns[0]).alias("id"), "field_name", "score", "level")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
 
 
 @query(
@@ -579,16 +599,65 @@ def _(t):
 
 
 @query(
-    "export_rows", "S8", "directory",
-    """SELECT provider_id AS "ID", npi_number AS "NPI", given_name AS "First Name",
-  validation_status AS "Status", strftime(last_validated_at, '%Y-%m-%dT%H:%M:%S') AS "Last Validated",
-  strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS "Created At"
-FROM directory WHERE validation_status = 'valid'""",
+    "sanitised_payloads", "F31", "directory",
+    """SELECT provider_id, to_json({'name': trim(given_name), 'k': k, 'contact': {'mail': trim(email), 'gone': NULL::VARCHAR},
+  'tags': [trim(family_name), 'b'], 'extra': MAP {'city': [{'at': trim(address_city), 'n': k}], 'zip': [{'at': trim(address_zip), 'n': NULL}]}})::VARCHAR AS payload FROM directory""",
 )
 def _(t):
-    return sinks.export_rows(t.directory, "valid").select(
-        "ID", "NPI", "First Name", "Status", "Last Validated", "Created At"
+    """Strings at any depth of structs, arrays and maps, keys too."""
+    from ...functions import guard
+
+    messy = lambda c: F.concat(F.lit("\t "), F.col(c), F.lit("\x00 \n"))
+    place = lambda c, n: F.array(F.struct(messy(c).alias("at"), n.alias("n")))
+    none = F.lit(None)
+    payload = F.struct(
+        messy("given_name").alias("name"), F.col("k"),
+        F.struct(messy("email").alias("mail"), none.cast("string").alias("gone")).alias("contact"),
+        F.array(messy("family_name"), F.lit(" b")).alias("tags"),
+        F.create_map(F.lit(" city"), place("address_city", F.col("k")), F.lit("zip\x00"), place("address_zip", none.cast("bigint"))).alias("extra"),
     )
+    clean = guard.sanitize_nested(t.directory.select("provider_id", payload.alias("payload")), ["payload"])
+    return clean.select("provider_id", F.to_json("payload", {"ignoreNullFields": "false"}).alias("payload"))
+
+
+HELD = {
+    "provider_id", "npi_number", "given_name", "family_name", "primary_taxonomy", "practice_name", "address_street", "address_city",
+    "address_state", "address_zip", "phone_primary", "email", "license_number", "license_state", "license_status", "validation_status",
+    "overall_confidence",
+}
+
+
+def export_sql(name: str) -> str:
+    """An export column in SQL; what the directory does not hold is NULL."""
+    source = sinks.EXPORT_SOURCES[name]
+    value = "CAST(NULL AS STRING)"
+    if source.endswith("_at"):
+        value = f"strftime({source}, '%Y-%m-%dT%H:%M:%S')"
+    elif source in HELD:
+        value = f"CAST({source} AS STRING)"
+    return f'{value} AS "{name}"'
+
+
+@query(
+    "export_rows", "S8", "directory",
+    "SELECT " + ", ".join(export_sql(n) for n in sinks.EXPORT_COLUMNS) + " FROM directory WHERE validation_status = 'valid'",
+)
+def _(t):
+    return sinks.export_rows(t.directory, "valid")
+
+
+@query(
+    "archive_files", "S11 R1", "directory",
+    f"""SELECT provider_id, strftime(created_at, '%Y-%m-%d') AS archive_date FROM directory WHERE created_at < TIMESTAMP '{AS_OF}' - INTERVAL 2555 DAYS""",
+)
+def _(t):
+    """The archive written twice, as a retry would, and read back."""
+    from ...streaming.run import work_folder
+
+    target = work_folder(t.spark, "archive")
+    for _ in range(2):
+        sinks.archive(t.directory, AS_OF, 2555, target)
+    return t.spark.read.parquet(target).select("provider_id", F.date_format("archive_date", "yyyy-MM-dd").alias("archive_date"))
 
 
 @query(

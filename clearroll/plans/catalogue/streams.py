@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ...functions.scores import label_of
 from ...operators import audit, windows
 from ...schema import BATCH_FIELDS
-from ...sources import files
+from ...sources import files, sinks
 from ...streaming import (
     alert_stream, drain, high_risk_stream, job_progress_stream, latest_updates, request_limit_stream,
     retry_failed, retry_stream, retryable_requests, session_stream, stream_table, unique_requests, validate_arrivals,
@@ -85,6 +85,18 @@ def _(t):
     return drain(high_risk_stream(log)).select("log_id", "action")
 
 
+@query("audit_trail", "S12 P10", "audit_logs",
+       "SELECT log_id, strftime(logged_at, '%Y-%m-%d') AS date, CAST(10 AS BIGINT) AS hour FROM audit_logs WHERE hour(logged_at) = 10")
+def _(t):
+    """The trail written as a stream, started twice; one hour of all days is read back, other partitions are not opened."""
+    base = work_folder(t.spark, "audit")
+    for _ in range(2):
+        log = events(t).select(F.col("event_id").alias("log_id"), F.col("ts").alias("logged_at"))
+        sinks.audit_stream(log, f"{base}/trail", f"{base}/checkpoint").awaitTermination()
+    trail = t.spark.read.schema("log_id long, logged_at timestamp, date string, hour int").parquet(f"{base}/trail")
+    return trail.where("hour = 10").select("log_id", "date", F.col("hour").cast("bigint").alias("hour"))
+
+
 @query("stream_sessions", "M6", "",
        f"""SELECT user_id, {ts_sql('min(ts)')} AS session_start, CAST(count(*) AS BIGINT) AS events FROM (
   SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import merge, report
+from ..operators import matching, merge, report
 from ..operators.checks import answer_records
+from ..operators.lookup import hot_values
 
 CLEANED = [
     "npi_number", "phone_primary", "email", "license_number", "address_street",
@@ -39,7 +40,10 @@ def validate_records(*tables: DataFrame, normalise: bool = False, **options) ->
     )
 
 
-def report_records(*tables: DataFrame, as_of: str, **options) -> DataFrame:
-    answered = answer_records(*tables, **options)
-    flags = report.license_flags(F.lit(as_of).cast("timestamp"))
+def report_records(records: DataFrame, *tables: DataFrame, as_of: str, **options) -> DataFrame:
+    """Reports of all records; how many records carry an NPI is counted first, an aggregate and one exchange more."""
+    hot = hot_values(records, {"npi_number": F.col("npi_number")}, "provider_id")["npi_number"]
+    counted = matching.mark_duplicates(records, hot=hot)
+    answered = answer_records(counted, *tables, **options)
+    flags = report.license_flags(F.lit(as_of).cast("timestamp")) + report.record_flags()
     return report.build_report(answered, as_of, extra_flags=flags)

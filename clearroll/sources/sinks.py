@@ -73,16 +73,33 @@ def report_digest(reports: DataFrame) -> DataFrame:
 
 
 def archive(df: DataFrame, as_of: str, days: int, path: str, at: str = "created_at", fmt: str = "parquet") -> DataFrame:
-    """Write the rows past their time, by date; the rows that stay are returned.
+    """Write the rows past their time, by the day of the run and their date; the rows that stay are returned.
 
-    The archive is complete before the caller can write what stays.
+    The archive is complete before the caller can write what stays.  A run of the same day
+    replaces the partitions it writes, so a retry leaves no row twice, and keeps those of
+    other days.  Adaptive execution cuts a large date into several files and puts small
+    ones together.
     """
     old = expired(df, as_of, days, at).withColumn("archive_date", F.date_format(at, "yyyy-MM-dd"))
-    old.repartition("archive_date", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns[:2]]), F.lit(16))).write.mode(
-        "append"
-    ).partitionBy("archive_date").format(fmt).save(path)
+    old = old.withColumn("archived_on", F.date_format(F.lit(as_of).cast("timestamp"), "yyyy-MM-dd"))
+    old.hint("rebalance", "archive_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "archived_on", "archive_date"
+    ).format(fmt).save(path)
     return df.where(~F.coalesce(F.col(at) < F.lit(as_of).cast("timestamp") - F.expr(f"make_dt_interval({int(days)})"), F.lit(False)))
 
 
 def append_audit(df: DataFrame, path: str, at: str = "logged_at") -> None:
     with_partitions(df, at).write.mode("append").partitionBy("date", "hour").parquet(path)
+
+
+def audit_stream(log: DataFrame, path: str, checkpoint: str, at: str = "logged_at"):
+    """Audit rows as they arrive, partitioned by date and hour, each exactly once however often the stream is started.
+
+    Returns the started query, which ends when all there is has been taken.
+    """
+    return (
+        with_partitions(log, at).writeStream.format("parquet").option("path", path).partitionBy("date", "hour")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

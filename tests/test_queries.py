@@ -66,5 +66,10 @@ def test_records_are_exchanged_once_per_reference(spark, folder, name, most):
     assert "BroadcastExchange" not in plan
 
 
+def test_audit_trail_prunes_partitions(spark, folder):
+    plan = planned(spark, folder, "audit_trail")
+    assert re.search(r"PartitionFilters: \[[^\]]*hour[^\]]*= 10", plan)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
