@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,55 +24,60 @@ SCALE = 2_000_000
 #: Bits of the filter of frequent parts; a filter that fills up lets more through, and nothing is lost.
 BITS = 27
 #: Distinct phrases and words a task keeps before it hands them on, and characters it works through at once.
-HELD, CHARS = 600_000, 4 << 20
+HELD, CHARS = 1_000_000, 4 << 20
 
 #: Bytes with A-Z lower-cased, tabs as spaces and piece ends as " \n ".
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
 _END = b"\n"
+_TAIL = [_END] * OVERLAP
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens_of(text: bytes) -> list[bytes]:
     """Words of a text and ``\\n`` where a piece ends, with as many ends behind the last word as chunks overlap."""
-    out = text.translate(_LOWER).replace(b"\n", b" \n ").split(b" ")
-    return [t for t in out if t] + [_END] * OVERLAP
+    return [*filter(None, text.translate(_LOWER).replace(b"\n", b" \n ").split(b" ")), *_TAIL]
 
 
-class Marks(dict):
-    """A hash of every token asked for."""
-
-    def __missing__(self, token: bytes) -> int:
-        mark = self[token] = crc32(token)
-        return mark
-
-
-def chunks(texts: list[list[bytes]], marks: Marks) -> Iterator[tuple[int, bytes]]:
+def chunks(texts: list[list[bytes]]) -> Iterator[tuple[int, bytes]]:
     """The parse of token sequences, as ``(text, chunk)``: chunks end at a triggering window and share it with the next one.
 
     What triggers is a matter of the window's own tokens, so equal passages are cut alike
-    wherever they stand.
+    wherever they stand.  Tokens are hashed as polynomials of their bytes, all at once.
     """
-    tokens = [t for own in texts for t in own]
-    n, ends = len(tokens), np.cumsum([len(own) for own in texts])
-    if not n:
+    joined = [b" ".join(own) + b" " for own in texts]
+    flat = np.frombuffer(b"".join(joined), np.uint8)
+    stops = np.flatnonzero(flat == 32)  # one behind every token
+    if not len(stops):
         return
-    h = np.fromiter(map(marks.__getitem__, tokens), np.uint64, n)
+    powers = np.full(len(flat), _BASE, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers)])
+    starts = np.concatenate([[0], stops[:-1] + 1])
+    # the power of a token's place is divided out: what is odd has an inverse
+    back = np.full(len(flat), pow(int(_BASE), -1, 1 << 64), np.uint64)
+    back[0] = 1
+    h = (sums[stops] - sums[starts]) * np.cumprod(back)[starts]
+    h ^= h >> np.uint64(29)
+    n = len(stops)
     window = np.zeros(n - OVERLAP + 1, np.uint64)
     for k in range(OVERLAP):
         window = window * np.uint64(0x9E3779B97F4A7C15) + h[k : n - OVERLAP + 1 + k]
     window = (window ^ (window >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     cut = (window >> np.uint64(33)) % np.uint64(EVERY) == 0
     cut = np.append(cut, np.zeros(OVERLAP - 1, bool))
+    ends = np.cumsum([len(own) for own in texts])
     for k in range(1, OVERLAP + 1):
         cut[ends - k] = False  # the ends behind a text begin no chunk
-    at = 0
-    for number, (own, end) in enumerate(zip(texts, ends.tolist())):
-        if len(own) > OVERLAP:
-            start = at
-            for stop in (np.flatnonzero(cut[at + 1 : end]) + at + 1).tolist():
-                yield number, b" ".join(tokens[start : stop + OVERLAP])
-                start = stop
-            yield number, b" ".join(tokens[start:end])
-        at = end
+    at = begin = 0
+    for number, (text, end) in enumerate(zip(joined, ends.tolist())):
+        if end - at > OVERLAP:
+            inner = np.flatnonzero(cut[at + 1 : end]) + at + 1
+            first = [0, *(starts[inner] - begin).tolist()]
+            last = [*(stops[inner + OVERLAP - 1] - begin).tolist(), len(text) - 1]
+            for a, b in zip(first, last):
+                yield number, text[a:b]
+        at, begin = end, begin + len(text)
 
 
 def parsed(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -81,10 +85,8 @@ def parsed(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     held = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Marks()
-
         def told(langs, texts):
-            found = list(chunks(texts, marks))
+            found = list(chunks(texts))
             columns = [pa.array([langs[n] for n, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())]
             return pa.RecordBatch.from_arrays(columns, names=["lang", "chunk"])
 
@@ -98,8 +100,6 @@ def parsed(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
                 if size > CHARS:
                     yield told(langs, texts)
                     langs, texts, size = [], [], 0
-                if len(marks) > HELD:
-                    marks.clear()
             yield told(langs, texts)
 
     return held.where("text IS NOT NULL").mapInArrow(parse, "lang string, chunk string").groupBy("lang", "chunk").agg(F.count("*").alias("times"))
@@ -146,13 +146,13 @@ class Words(dict):
         return number
 
 
-def count_phrases(dictionary: DataFrame, size: int, parts: np.ndarray | None) -> DataFrame:
-    """``lang, phrase, f`` of all phrases of ``size`` words, each distinct chunk counted once with its frequency.
+def count_phrases(dictionary: DataFrame, sizes: tuple[int, ...], parts: np.ndarray | None) -> DataFrame:
+    """``lang, phrase, f`` of all phrases of so many words, each distinct chunk counted once with its frequency.
 
     A chunk counts the phrases that start before its last ``OVERLAP`` tokens; those belong to
-    the next.  With the filter ``parts``, a phrase is counted only if the ``size - 1`` words
-    before its last and after its first one may both be frequent, as no frequent phrase has
-    an infrequent part.  Chunks are worked through some megabytes at a time, words as numbers.
+    the next.  With the filter ``parts``, a phrase is counted only if the words before its
+    last and after its first one may both be frequent, as no frequent phrase has an
+    infrequent part.  Chunks are worked through some megabytes at a time, words as numbers.
     """
     shared = None if parts is None else dictionary.sparkSession.sparkContext.broadcast(parts)
 
@@ -168,30 +168,31 @@ def count_phrases(dictionary: DataFrame, size: int, parts: np.ndarray | None) ->
         own = np.ones(len(ids), bool)
         for k in range(1, OVERLAP + 1):
             own[ends - k] = False
-        if shared is None:
-            starts = np.flatnonzero(own & (ids > 0))
-        else:
+        word = ids > 0
+        if shared is not None:
             known = list(numbers)
             word_hashes += [xxhash.xxh64_intdigest(w, 42) for w in known[len(word_hashes) :]]
             h = np.array(word_hashes, np.uint64)
-            n = len(ids) - size + 2
-            if size == 2:
-                ok = frequent(lang, [h])[ids]
-            else:
-                ok = frequent(lang, [h[ids[k : n + k]] for k in range(size - 1)])
-            for k in range(size - 1):
-                ok[:n] &= ids[k : n + k] > 0
-            starts = np.flatnonzero(own[: n - 1] & ok[: n - 1] & ok[1:n])
-        if not len(starts):
-            return
-        group = ids[starts]
-        for k in range(1, size):
-            _, group = np.unique(group << 32 | ids[starts + k], return_inverse=True)
-        _, first, group = np.unique(group, return_index=True, return_inverse=True)
-        sums = np.zeros(len(first), np.int64)
-        np.add.at(sums, group, weight[starts])
-        for at, n in zip(starts[first].tolist(), sums.tolist()):
-            yield b" ".join(tokens[at : at + size]), n
+        for size in sizes:
+            n = len(ids) - size + 1
+            use = own[:n].copy()
+            for k in range(size):
+                use &= word[k : n + k]
+            starts = np.flatnonzero(use)
+            if shared is not None and len(starts):
+                ok = frequent(lang, [h[ids[starts + k]] for k in range(size - 1)])
+                starts = starts[ok]
+                starts = starts[frequent(lang, [h[ids[starts + k]] for k in range(1, size)])]
+            if not len(starts):
+                continue
+            group = ids[starts]
+            for k in range(1, size):
+                _, group = np.unique(group << 32 | ids[starts + k], return_inverse=True)
+            _, first, group = np.unique(group, return_index=True, return_inverse=True)
+            sums = np.zeros(len(first), np.int64)
+            np.add.at(sums, group, weight[starts])
+            for at, f in zip(starts[first].tolist(), sums.tolist()):
+                yield b" ".join(tokens[at : at + size]), f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, dict[bytes, int]] = {}
@@ -249,21 +250,22 @@ def collocations(
     ``covered`` percent as often are left out.  ``n`` counts the language's words.  Null texts
     are empty, a null language is ``und``, repeated rows count each, an empty table gives no rows.
 
-    Phrases are counted by length: one whose parts are infrequent cannot be frequent, so a
-    filter of the frequent ones of one word less, of a fixed size, lets the others out.  Only
+    Words and pairs are counted first.  A longer phrase whose parts are infrequent cannot be
+    frequent, so a filter of the frequent ones of one word less, of a fixed size, lets the others out.  Only
     the filter reaches the driver.
     """
     dictionary = saved(parsed(docs, text, lang), "chunks")
-    every = saved(count_phrases(dictionary, 1, None), "words")
-    counts = [saved(every.where(F.col("f") >= least), "phrases1")]
-    for size in range(2, LONGEST + 1):
-        longer = count_phrases(dictionary, size, frequent_bits(counts[-1])).where(F.col("f") >= least)
-        counts.append(saved(longer, f"phrases{size}"))
-    frequent = counts[0]
-    for more in counts[1:]:
-        frequent = frequent.unionByName(more)
+    several = F.instr("phrase", " ") > 0
+    short = saved(count_phrases(dictionary, (1, 2), None).where((F.col("f") >= least) | ~several), "phrases2")
+    every = short.where(~several)
+    frequent = short.where(F.col("f") >= least)
+    counts = frequent.where(several)
+    for size in range(3, LONGEST + 1):
+        longer = count_phrases(dictionary, (size,), frequent_bits(counts)).where(F.col("f") >= least)
+        counts = saved(longer, f"phrases{size}")
+        frequent = frequent.unionByName(counts)
     words = F.split("phrase", " ")
-    candidates = frequent.where(F.instr("phrase", " ") > 0)
+    candidates = frequent.where(several)
 
     cut = F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k")
     halves = candidates.select("lang", "phrase", F.col("f").alias("a"), words.alias("words")).select("*", cut)

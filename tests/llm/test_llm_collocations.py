@@ -99,7 +99,7 @@ def test_parse_is_prefix_free_and_counts_each_start_once():
     rng = random.Random(8)
     shared = " ".join(f"w{rng.randrange(50)}" for _ in range(400))
     tokens = [collocations.tokens_of(f"{rng.random()} {shared} {rng.random()}.".encode()) for _ in range(3)]
-    parses = [[c for _, c in collocations.chunks([t], collocations.Marks())] for t in tokens]
+    parses = [[c for _, c in collocations.chunks([t])] for t in tokens]
     for t, parse in zip(tokens, parses):
         starts = []
         for c in parse:
@@ -107,7 +107,7 @@ def test_parse_is_prefix_free_and_counts_each_start_once():
             starts += c[: len(c) - collocations.OVERLAP]
         assert starts + t[-collocations.OVERLAP :] == t
     together = [[], [], []]
-    for n, c in collocations.chunks(tokens, collocations.Marks()):
+    for n, c in collocations.chunks(tokens):
         together[n].append(c)
     assert together == parses
     assert len(set(parses[0]) & set(parses[1]) & set(parses[2])) >= len(parses[0]) - 4
