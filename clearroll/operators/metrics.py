@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import scores
 from ..functions.text import is_present
+from ..session import written
 
 def _day(c: str) -> Column:
     return F.date_format(F.col(c), "yyyy-MM-dd")
@@ -208,66 +209,41 @@ def histogram_quantile(df: DataFrame, value: str, bounds: list[float], q: float,
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: list[float], *by: str, accuracy: int = 10000) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], *by: str, parts: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, for groups of any size.
 
-    Holding a group's values in one place would not scale, so each quantile is fenced in
-    first: the approximate quantiles a little below and above it have a proven rank error,
-    so the exact one lies between them.  The rows below the fence are only counted; the
-    few in the fence are counted per value and put in order.  A group of fewer than ten
-    times ``accuracy`` rows is put in order as a whole.
+    Rows are counted per group and value first, on the map side already.  The counts are
+    cut into ranges of group and value, whatever shares groups have, and written; what
+    stands before a range is the sum of its group's ranges before it, so a running count
+    inside a range tells every value's rank.  No step holds a group, and rows are joined
+    with nothing: only their counts meet the sums of their range.
     """
-    margin = 2.0 / accuracy
-    small = F.col("_n") < 10 * accuracy
-    v = F.col(value)
-    lower = [float(max(q - margin, 0.0)) for q in qs]
-    upper = [float(min(q + margin, 1.0)) for q in qs]
-    fences = df.where(v.isNotNull()).groupBy(*by).agg(
-        F.count(v).alias("_n"),
-        F.percentile_approx(v, lower + upper, accuracy).alias("_f"),
-        F.min(v).alias("_min"),
-        F.max(v).alias("_max"),
-    )
-    specs = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                (F.lit(float(q)) * (F.col("_n") - 1)).alias("rank"),
-                F.when(small | F.lit(lower[i] == 0), F.col("_min")).otherwise(F.col("_f")[i]).alias("low"),
-                F.when(small | F.lit(upper[i] == 1), F.col("_max")).otherwise(F.col("_f")[i + len(qs)]).alias("high"),
-            )
-            for i, q in enumerate(qs)
-        ]
-    )
-    keyed = fences.select(*by, specs.alias("_s"))
-    if by:
-        placed = df.where(v.isNotNull()).join(keyed, list(by))
-    else:
-        one = F.lit(1).alias("_one")
-        placed = df.where(v.isNotNull()).select("*", one).join(keyed.select("*", one), "_one").drop("_one")
-    # a row counts in a fence at its value, below a fence at NULL, above it not at all
-    hits = F.transform(
-        F.filter("_s", lambda s: v <= s["high"]),
-        lambda s: F.struct(
-            s["i"].alias("i"), s["rank"].alias("rank"), F.when(v >= s["low"], v.cast("double")).alias("v")
-        ),
-    )
-    counted = placed.select(*by, F.explode(hits).alias("h")).groupBy(*by, "h.i", "h.rank", "h.v").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    upto = F.sum("n").over(Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()))
-    ordered = counted.withColumn("upto", upto).where(F.col("v").isNotNull())
+    by_or_one = [F.col(c) for c in by] or [F.lit(1)]
+    group = F.struct(*by_or_one).alias("_g")  # in a struct null equals null
+    counts = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v")).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    number = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = written(counts.repartitionByRange(number, "_g", "_v").withColumn("_p", F.spark_partition_id()), "values")
+    sums = ranges.groupBy("_g", "_p").agg(F.sum("_n").alias("_s"))
+    ahead = Window.partitionBy("_g").orderBy("_p")  # as many rows as there are ranges
+    sums = sums.select(
+        F.col("_g").alias("_h"), F.col("_p").alias("_q"),
+        (F.sum("_s").over(ahead) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy("_g")).alias("_total"),
+    )
+    placed = ranges.join(sums, (F.col("_g") == F.col("_h")) & (F.col("_p") == F.col("_q")))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_p").orderBy("_v"))
+    ordered = placed.withColumn("_upto", upto)
 
     def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.col("v")))
-
-    picked = ordered.groupBy(*by, "i").agg(
-        at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), F.max(F.col("rank") - F.floor("rank")).alias("part")
-    )
-    exact = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
-    return picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("i") == i, exact)).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)]
-    )
+        return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+
+    rank = [F.lit(float(q)) * (F.col("_total") - 1) for q in qs]
+    ends = [c for i, r in enumerate(rank) for c in (at(F.floor(r)).alias(f"_a{i}"), at(F.ceil(r)).alias(f"_b{i}"))]
+    picked = ordered.groupBy("_g").agg(*ends, F.max("_total").alias("_total"))
+    exact = [
+        (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (r - F.floor(r))).alias(f"p{int(q * 100)}")
+        for i, (q, r) in enumerate(zip(qs, rank))
+    ]
+    return picked.select(*[F.col(f"_g.{c}").alias(c) for c in by], *exact)
 
 
 def approx_quantiles(df: DataFrame, value: str, qs: list[float], *by: str, accuracy: int = 10000) -> DataFrame:

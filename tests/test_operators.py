@@ -270,8 +270,11 @@ def test_exact_quantiles_of_any_group(spark):
     rows += [("c", 5.0), ("d", 1.0), ("d", 2.0), ("d", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     qs = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
-    for accuracy in (20, 10000):
-        got = {r.k: r for r in metrics.exact_quantiles(df, "v", qs, "k", accuracy=accuracy).collect()}
+    rows += [(None, float(i % 1000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for parts in (1, 7, None):  # a group lies in many ranges, or many groups in one
+        got = {r.k: r for r in metrics.exact_quantiles(df, "v", qs, "k", parts=parts).collect()}
+        assert set(got) == {"a", "b", "c", "d", None}
         for r in df.groupBy("k").agg(F.percentile("v", qs).alias("p")).collect():
             assert [got[r.k][f"p{int(q * 100)}"] for q in qs] == pytest.approx(r.p)
     whole = metrics.exact_quantiles(df, "v", [0.5]).collect()[0]["p50"]
