@@ -1,5 +1,6 @@
 """Language spans, quality and toxicity: paths and gradients against brute force, held-out accuracy, odd tables."""
 
+import math
 from itertools import product
 
 import numpy as np
@@ -145,6 +146,53 @@ def test_summary():
     assert got[0][:2].tolist() == [3.0, 1.0] and got[1].tolist() == [0] * 5 and got[2][:2].tolist() == [-2.0, -2.0]
 
 
+def plain_logit(p, x):
+    """The logit of one window, step by step and value by value."""
+    H = toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    states = [[] for _ in x]
+    for d in "fb":
+        h = [0.0] * H
+        side = [None] * len(x)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            gx = [sum(x[t][i] * p[f"W{d}"][i][j] for i in range(len(x[t]))) + p[f"c{d}"][j] for j in range(3 * H)]
+            gh = [sum(h[i] * p[f"U{d}"][i][j] for i in range(H)) for j in range(3 * H)]
+            r = [sig(gx[j] + gh[j]) for j in range(H)]
+            z = [sig(gx[H + j] + gh[H + j]) for j in range(H)]
+            new = [math.tanh(gx[2 * H + j] + r[j] * gh[2 * H + j]) for j in range(H)]
+            h = [(1 - z[j]) * new[j] + z[j] * h[j] for j in range(H)]
+            side[t] = h
+        states = [a + b for a, b in zip(states, side)]
+    told = [sum(math.tanh(sum(s[i] * p["A"][i][j] for i in range(2 * H))) * p["v"][j] for j in range(2 * H)) for s in states]
+    share = [math.exp(v - max(told)) for v in told]
+    mean = [sum(a * s[j] for a, s in zip(share, states)) / sum(share) for j in range(2 * H)]
+    return sum(mean[j] * p["w"][j] for j in range(2 * H)) + p["b"][0]
+
+
+def test_summaries_equal_plain_loops_over_every_window():
+    rng = np.random.default_rng(9)
+    p = {k: v.astype(np.float64) for k, v in toxicity.fresh_network(rng.normal(size=1 << toxicity.BITS), rng.normal(size=len(toxicity.SIZES) << toxicity.BITS)).items()}
+    p["b"] = np.array([0.3])
+    texts = [" ".join(f"w{rng.integers(50)}é" for _ in range(n)) for n in (1, 2, 39, 40, 41, 60, 61, 130)] + ["", "123 !"]
+    got = toxicity.summaries(p, texts, charwords.tables())
+    for text, row in zip(texts, got):
+        own = charwords.Words([text], charwords.tables())
+        n, logits = len(own.start), []
+        x = toxicity.word_values(p, *toxicity.inputs(own)).tolist() if n else []
+        at = 0
+        while n:
+            logits.append(plain_logit(p, x[at : at + toxicity.WINDOW]))
+            at += toxicity.STRIDE
+            if at - toxicity.STRIDE + toxicity.WINDOW >= n:
+                break
+        if not logits:
+            assert row.tolist() == [0.0] * 5
+            continue
+        clipped = sorted((min(12, max(-12, v)) for v in logits), reverse=True)
+        want = [clipped[0], clipped[min(1, len(clipped) - 1)], math.log(sum(map(math.exp, clipped)) / len(clipped)), math.log1p(len(clipped)), 1.0]
+        assert np.allclose(row, want, atol=1e-6), text
+
+
 def test_toxicity_of_held_out_and_odd_texts(spark):
     docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
     marked = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
