@@ -35,6 +35,9 @@ HEADLINE = [
     "retention_report",
 ]
 
+#: Timed as well, outside the total, which stays that of the list above.
+OTHERS = ["merged_fields", "exact_latency_quantiles", "request_bursts", "hostile_documents", "stream_sessions"]
+
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
@@ -50,7 +53,7 @@ def main() -> None:
     spark.range(1000000).selectExpr("sum(id)").collect()
 
     seconds = {}
-    for name in HEADLINE:
+    for name in HEADLINE + OTHERS:
         best = None
         for _ in range(runs):
             start = time.perf_counter()
@@ -63,9 +66,10 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "headline queries, total of best runs",
-                "value": round(sum(seconds.values()), 3),
+                "value": round(sum(seconds[n] for n in HEADLINE), 3),
                 "unit": "sec",
-                "queries": seconds,
+                "queries": {n: seconds[n] for n in HEADLINE},
+                "others": {n: seconds[n] for n in OTHERS},
                 "sf": folder.rsplit("sf", 1)[-1],
                 "runs": runs,
                 "records": records,

@@ -16,6 +16,10 @@ from ..functions import scores
 from ..session import written
 
 
+#: Pieces that a block of a sliding span is cut into.
+PIECES = 64
+
+
 def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -32,24 +36,51 @@ def sliding_limit(
 ) -> DataFrame:
     """Per key and instant: requests in the trailing span, over the limit or not, spacing.
 
-    Counts are exact to the microsecond.  The span is cut in blocks as long as itself;
-    each instant also goes to the following block as context, so that a block can be
-    counted alone.  A block holds one row per instant, however many requests it had.
+    Counts are exact to the microsecond.  Time is cut in blocks as long as the span, and
+    those in pieces: what is in the span is what its block holds up to the instant and what
+    the block before holds after the span's begin, and either is the sum of whole pieces
+    and a running count inside one.  A window sees one piece, one row per instant, or the
+    pieces of one block, however busy a key is.
     """
     span = seconds * 1_000_000
     table = limits or K.CONNECTOR_LIMITS
+    widest = max((1e6 / rps for rps, _ in table.values()), default=1.0)  # the instant before matters within this
+    piece = max(1, -(-span // PIECES), min(span, int(widest) + 1))
     instants = log.groupBy(F.col(key), _micros(at).alias("us")).agg(F.count(F.lit(1)).alias("requests"))
-    own = F.floor(F.col("us") / span)
-    placed = instants.withColumn("_own", own).withColumn(
-        "_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
-    )
-    order = Window.partitionBy(key, "_block").orderBy("us")
-    counted = placed.withColumns(
+    cell = lambda us: (F.floor(us / span).alias("_block"), F.floor(F.pmod(us, F.lit(span)) / piece).alias("_piece"))
+    rows = instants.select(F.struct(key).alias("_k"), *cell(F.col("us")), "us", "requests", F.lit(None).cast("long").alias("_for"))
+    asked = rows.select("_k", *cell(F.col("us") - span), (F.col("us") - span).alias("us"), F.lit(None).cast("long").alias("requests"), F.col("us").alias("_for"))
+    inside = Window.partitionBy("_k", "_block", "_piece").orderBy("us")
+    before = F.lag(F.when(F.col("_for").isNull(), F.col("us")), 1).over(inside)
+    upto = F.coalesce(F.sum("requests").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    ran = rows.unionByName(asked).withColumn("_run", upto)
+    pieces = rows.groupBy("_k", "_block", "_piece").agg(F.sum("requests").alias("_own"), F.max("us").alias("_last"))
+    block = Window.partitionBy("_k", "_block").orderBy("_piece")
+    # a begin may lie in a piece without rows, so all pieces of a block that has any are there
+    blocks = rows.select("_k", "_block").distinct().select("_k", "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((span - 1) // piece).cast("long"))).alias("_piece"))
+    sums = blocks.join(pieces, ["_k", "_block", "_piece"], "left").withColumns(
         {
-            "in_window": F.sum("requests").over(order.rangeBetween(-(span - 1), Window.currentRow)),
-            "_gap": F.col("us") - F.lag("us").over(order),
+            "_ahead": F.coalesce(F.sum("_own").over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_total": F.sum("_own").over(Window.partitionBy("_k", "_block")),
         }
-    ).where(F.col("_block") == F.col("_own"))
+    ).select("_k", "_block", "_piece", "_ahead", "_total")
+    known = ran.join(sums, ["_k", "_block", "_piece"], "left")
+    held = F.coalesce(F.col("_ahead"), F.lit(0)) + F.col("_run")
+    began = known.where(F.col("_for").isNotNull()).select("_k", F.col("_for").alias("us"), (F.coalesce("_total", F.lit(0)) - held).alias("_tail"))
+    own = known.where(F.col("_for").isNull()).select("_k", "us", "requests", held.alias("_held"))
+    # the instant before: in the same piece, or the last one of the piece before, which may end the block before
+    lagged = rows.withColumn("_before", before)
+    per_block = (span - 1) // piece + 1
+    after = pieces.select(
+        "_k",
+        F.when(F.col("_piece") + 1 < per_block, F.col("_block")).otherwise(F.col("_block") + 1).alias("_block"),
+        F.when(F.col("_piece") + 1 < per_block, F.col("_piece") + 1).otherwise(0).cast("long").alias("_piece"),
+        F.col("_last").alias("_past"),
+    )
+    gaps = lagged.join(after, ["_k", "_block", "_piece"], "left").select("_k", "us", (F.col("us") - F.coalesce("_before", "_past")).alias("_gap"))
+    counted = own.join(began, ["_k", "us"]).join(gaps, ["_k", "us"]).select(
+        "_k.*", "us", "requests", (F.col("_held") + F.col("_tail")).alias("in_window"), "_gap"
+    )
     per_minute = scores.weight_of(key, {c: float(m) for c, (_, m) in table.items()}, float("inf"))
     spacing = scores.weight_of(key, {c: 1e6 / rps for c, (rps, _) in table.items()}, 0.0)
     too_close = F.coalesce(F.col("_gap") < spacing, F.lit(False)) | ((F.col("requests") > 1) & (spacing > 0))
