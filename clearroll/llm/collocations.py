@@ -21,7 +21,7 @@ EVERY = 24
 #: Least occurrences of a candidate, percentage at which a longer candidate covers it, results per language.
 LEAST, COVERED, TOP = 30, 80, 2000
 SCALE = 2_000_000
-#: Bits of the filter of frequent parts; a filter that fills up lets more through, and nothing is lost.
+#: Bits of the filter of frequent pairs; a filter that fills up lets more through, and nothing is lost.
 BITS = 27
 #: Distinct phrases and words a task keeps before it hands them on, and characters it works through at once.
 HELD, CHARS = 1_000_000, 4 << 20
@@ -146,15 +146,15 @@ class Words(dict):
         return number
 
 
-def count_phrases(dictionary: DataFrame, sizes: tuple[int, ...], parts: np.ndarray | None) -> DataFrame:
+def count_phrases(dictionary: DataFrame, sizes: tuple[int, ...], pairs: np.ndarray | None = None) -> DataFrame:
     """``lang, phrase, f`` of all phrases of so many words, each distinct chunk counted once with its frequency.
 
     A chunk counts the phrases that start before its last ``OVERLAP`` tokens; those belong to
-    the next.  With the filter ``parts``, a phrase is counted only if the words before its
-    last and after its first one may both be frequent, as no frequent phrase has an
-    infrequent part.  Chunks are worked through some megabytes at a time, words as numbers.
+    the next.  With the filter ``pairs``, a phrase is counted only if each two neighbouring
+    words of it may be a frequent pair, as no frequent phrase holds an infrequent one.
+    Chunks are worked through some megabytes at a time, words as numbers.
     """
-    shared = None if parts is None else dictionary.sparkSession.sparkContext.broadcast(parts)
+    shared = None if pairs is None else dictionary.sparkSession.sparkContext.broadcast(pairs)
 
     def frequent(lang: str, words: list[np.ndarray]) -> np.ndarray:
         at = (hashes(lang, words) & np.uint64((1 << BITS) - 1)).astype(np.int64)
@@ -173,16 +173,18 @@ def count_phrases(dictionary: DataFrame, sizes: tuple[int, ...], parts: np.ndarr
             known = list(numbers)
             word_hashes += [xxhash.xxh64_intdigest(w, 42) for w in known[len(word_hashes) :]]
             h = np.array(word_hashes, np.uint64)
+            pairs = np.zeros(len(ids), bool)
+            at = np.flatnonzero(word[:-1] & word[1:])
+            pairs[at] = frequent(lang, [h[ids[at]], h[ids[at + 1]]])
         for size in sizes:
             n = len(ids) - size + 1
             use = own[:n].copy()
             for k in range(size):
                 use &= word[k : n + k]
+            if shared is not None:
+                for k in range(size - 1):
+                    use &= pairs[k : n + k]
             starts = np.flatnonzero(use)
-            if shared is not None and len(starts):
-                ok = frequent(lang, [h[ids[starts + k]] for k in range(size - 1)])
-                starts = starts[ok]
-                starts = starts[frequent(lang, [h[ids[starts + k]] for k in range(1, size)])]
             if not len(starts):
                 continue
             group = ids[starts]
@@ -250,20 +252,18 @@ def collocations(
     ``covered`` percent as often are left out.  ``n`` counts the language's words.  Null texts
     are empty, a null language is ``und``, repeated rows count each, an empty table gives no rows.
 
-    Words and pairs are counted first.  A longer phrase whose parts are infrequent cannot be
-    frequent, so a filter of the frequent ones of one word less, of a fixed size, lets the others out.  Only
+    Words and pairs are counted first.  A longer phrase with an infrequent pair in it cannot
+    be frequent, so a filter of the frequent pairs, of a fixed size, lets the others out.  Only
     the filter reaches the driver.
     """
     dictionary = saved(parsed(docs, text, lang), "chunks")
     several = F.instr("phrase", " ") > 0
-    short = saved(count_phrases(dictionary, (1, 2), None).where((F.col("f") >= least) | ~several), "phrases2")
+    short = saved(count_phrases(dictionary, (1, 2)).where((F.col("f") >= least) | ~several), "short")
     every = short.where(~several)
     frequent = short.where(F.col("f") >= least)
-    counts = frequent.where(several)
-    for size in range(3, LONGEST + 1):
-        longer = count_phrases(dictionary, (size,), frequent_bits(counts)).where(F.col("f") >= least)
-        counts = saved(longer, f"phrases{size}")
-        frequent = frequent.unionByName(counts)
+    filtered = frequent_bits(frequent.where(several))
+    longer = count_phrases(dictionary, tuple(range(3, LONGEST + 1)), filtered).where(F.col("f") >= least)
+    frequent = frequent.unionByName(saved(longer, "longer"))
     words = F.split("phrase", " ")
     candidates = frequent.where(several)
 
