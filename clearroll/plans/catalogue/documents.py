@@ -9,6 +9,7 @@ from ...functions import documents as D
 from ...functions import text
 from ...operators import matching, metrics
 from ...sources import documents, html
+from ...streaming.run import work_folder
 from .records import r6_sql
 from .registry import query, r6
 
@@ -114,6 +115,24 @@ def _(t):
     return t.directory.select("provider_id", D.document_type(name).alias("document_type"))
 
 
+#: What files are written with: first bytes (Latin-1) and suffix, by ``k % 4``; two of the suffixes are wrong or say nothing.
+FILE_KINDS = [("%PDF-1.4 ", "txt"), ("\x89PNG ", "pdf"), ("text ", "png"), ("text ", "txt")]
+
+
+@query("scanned_documents", "S17", "directory",
+       """SELECT CAST(k % 4 AS BIGINT) AS kind, CASE k % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'image' ELSE 'unknown' END AS document_type,
+  CAST(sum(CASE k % 4 WHEN 0 THEN 9 ELSE 5 END + length(provider_id) + 1) AS BIGINT) AS bytes FROM directory GROUP BY 1, 2""")
+def _(t):
+    """Documents written as files and read back as bytes: the type is that of the first bytes, else of the suffix."""
+    base = work_folder(t.spark, "documents")
+    for kind, (head, suffix) in enumerate(FILE_KINDS):
+        lines = t.directory.where(F.col("k") % 4 == kind).select(F.concat(F.lit(head), "provider_id"))
+        lines.write.option("extension", suffix).option("encoding", "ISO-8859-1").csv(f"{base}/kind={kind}")
+    found = documents.scan_documents(t.spark, base)
+    kind = F.regexp_extract("path", r"/kind=(\d)/", 1).cast("bigint")
+    return found.groupBy(kind.alias("kind"), "document_type").agg(F.sum("length").alias("bytes"))
+
+
 # -- stored pages --------------------------------------------------------------------------------
 
 TAG = "(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>"
