@@ -17,7 +17,7 @@ from .store import saved
 LONGEST = 4
 OVERLAP = LONGEST - 1
 #: One window of ``OVERLAP`` tokens in so many ends a chunk.
-EVERY = 24
+EVERY = 48
 #: Least occurrences of a candidate, percentage at which a longer candidate covers it, results per language.
 LEAST, COVERED, TOP = 30, 80, 2000
 SCALE = 2_000_000
@@ -189,10 +189,12 @@ def count_phrases(dictionary: DataFrame, sizes: tuple[int, ...], pairs: np.ndarr
                 continue
             group = ids[starts]
             for k in range(1, size):
-                _, group = np.unique(group << 32 | ids[starts + k], return_inverse=True)
-            _, first, group = np.unique(group, return_index=True, return_inverse=True)
-            sums = np.zeros(len(first), np.int64)
-            np.add.at(sums, group, weight[starts])
+                group = group << 32 | ids[starts + k]
+                if k < size - 1:
+                    _, group = np.unique(group, return_inverse=True)
+            order = np.argsort(group, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], group[order[1:]] != group[order[:-1]]]))
+            first, sums = order[edges], np.add.reduceat(weight[starts][order], edges)
             for at, f in zip(starts[first].tolist(), sums.tolist()):
                 yield b" ".join(tokens[at : at + size]), f
 
@@ -237,7 +239,9 @@ def count_phrases(dictionary: DataFrame, sizes: tuple[int, ...], pairs: np.ndarr
         yield told()
 
     held = dictionary.select("lang", F.col("chunk").cast("binary"), "times")
-    return held.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # a task has added up what it could, so its rows go to their partition as they are
+    counted = held.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
+    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def collocations(
