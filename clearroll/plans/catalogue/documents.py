@@ -191,7 +191,7 @@ def _(t):
         .when(last == "1", F.lit('<p class="alert">Service error</p>'))
         .otherwise(result)
     )
-    found = html.extract_records(t.licenses.select("license_number", page.alias("html")))
+    found = html.extract_records(t.wide(t.licenses, "license_number").select("license_number", page.alias("html")))
     first = F.try_element_at("board_actions", F.lit(1))
     return found.select(
         "license_number", "provider_name", F.col("license_status").alias("status"), "issue_date",

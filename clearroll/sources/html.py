@@ -8,6 +8,7 @@ elements of one name may nest; one that is never closed is none.  Comments are l
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,60 +73,78 @@ def _page(html: str | Column) -> Column:
     return F.regexp_replace(text.col(html), "(?s)<!--.*?-->", "")
 
 
-def element_spans(page: Column, selectors: str) -> Column:
-    """First and last-plus-one positions of the inner HTML of all matching elements, by where they begin.
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    The tags are walked through once, with a stack of those that are open: a closing tag
-    ends the innermost open one of its name, and what was left open inside it is dropped.
-    """
+
+def _pieces(page: Column, selectors: str) -> Column:
+    """The page cut before every tag that matters: each tag with what follows it, and what it is."""
     opening = opening_pattern(selectors).replace("(?is)<", "(?is)^<")
     tags, gaps = F.regexp_extract_all(page, F.lit(_tags_of(selectors)), F.lit(0)), F.split(page, _tags_of(selectors))
-    steps = F.transform(
-        tags,
-        lambda t, i: F.struct(
-            F.length(F.get(gaps, i)).alias("gap"),
-            F.length(t).alias("size"),
-            F.lower(F.regexp_extract(t, "^</?([A-Za-z0-9]+)", 1)).alias("name"),
-            t.startswith("</").alias("closes"),
-            (~t.rlike("/>$")).alias("opens"),
-            t.rlike(opening).alias("hit"),
+    return F.transform(
+        F.arrays_zip(tags.alias("tag"), F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("gap")),
+        lambda x: F.struct(
+            F.concat(x["tag"], x["gap"]).alias("text"),
+            F.length(x["tag"]).alias("size"),
+            F.lower(F.regexp_extract(x["tag"], "^</?([A-Za-z0-9]+)", 1)).alias("name"),
+            x["tag"].startswith("</").alias("closes"),
+            (~x["tag"].rlike("/>$")).alias("opens"),
+            x["tag"].rlike(opening).alias("hit"),
         ),
     )
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(_OPEN).alias("open"), F.array().cast(_SPANS).alias("out"))
+
+
+def element_spans(pieces: Column) -> Column:
+    """First and last-plus-one pieces of all matching elements, by where they begin.
+
+    The tags are walked through once, with a stack of those that are open: a closing tag
+    ends the innermost open one of its name, and what was left open inside it is dropped.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        after = begin + x["size"]
-        depth = F.array_max(F.transform(acc["open"], lambda o, i: F.when(o["name"] == x["name"], i)))
-        ended = F.get(acc["open"], depth)
-        one = F.array(F.struct(x["name"].alias("name"), after.alias("start"), x["hit"].alias("hit")))
+        one = F.array(F.struct(x["name"].alias("name"), acc["at"].alias("start"), x["hit"].alias("hit")))
         opened = F.when(x["opens"] & ~x["name"].isin(_VOID), F.concat(acc["open"], one)).otherwise(acc["open"])
-        closed = F.when(depth.isNull(), acc["open"]).otherwise(F.slice(acc["open"], F.lit(1), F.coalesce(depth, F.lit(0))))
-        span = F.array(F.struct(ended["start"].alias("start"), begin.alias("end")))
-        out = F.when(x["closes"] & ended["hit"], F.concat(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(
-            after.alias("at"),
-            F.when(x["closes"], closed).otherwise(opened).cast(_OPEN).alias("open"),
-            out.cast(_SPANS).alias("out"),
-        )
 
-    return F.aggregate(steps, start, step, lambda acc: F.array_sort(acc["out"]))
+        def close(depth):
+            ended = F.get(acc["open"], depth)
+            span = F.array(F.struct(ended["start"].alias("start"), acc["at"].alias("end")))
+            return F.struct(
+                (acc["at"] + 1).alias("at"),
+                F.when(depth.isNull(), acc["open"]).otherwise(F.slice(acc["open"], F.lit(1), F.coalesce(depth, F.lit(0)))).cast(_OPEN).alias("open"),
+                F.when(ended["hit"], F.concat(acc["out"], span)).otherwise(acc["out"]).cast(_SPANS).alias("out"),
+            )
+
+        depth = F.array_max(F.transform(acc["open"], lambda o, i: F.when(o["name"] == x["name"], i)))
+        going_on = F.struct((acc["at"] + 1).alias("at"), opened.cast(_OPEN).alias("open"), acc["out"].alias("out"))
+        return F.when(x["closes"], _bound(depth, close)).otherwise(going_on)
+
+    return F.aggregate(pieces, start, step, lambda acc: F.array_sort(acc["out"]))
 
 
-def _inner(page: Column, span: Column) -> Column:
-    return plain_text(F.substr(page, span["start"], span["end"] - span["start"]))
+def _inner(pieces: Column, span: Column) -> Column:
+    """Text of the element that the piece ``start`` opens and the piece ``end`` closes."""
+    own = F.slice(pieces, span["start"] + 1, span["end"] - span["start"])
+    return plain_text(F.substr(F.array_join(own["text"], ""), F.get(own, F.lit(0))["size"] + 1))
 
 
 def select_text(html: str | Column, selectors: str) -> Column:
     """Text of the first element that matches any selector, NULL if none does."""
-    page = _page(html)
-    return F.when(has_element(html, selectors), _inner(page, F.get(element_spans(page, selectors), F.lit(0))))
+
+    def first(pieces: Column) -> Column:
+        return _bound(F.get(element_spans(pieces), F.lit(0)), lambda span: F.when(span.isNotNull(), _inner(pieces, span)))
+
+    return F.when(has_element(html, selectors), _bound(_page(html), lambda page: _bound(_pieces(page, selectors), first)))
 
 
 def select_all(html: str | Column, selectors: str) -> Column:
     """Texts of all matching elements, those inside others too, in the order they begin."""
-    page = _page(html)
-    return F.transform(element_spans(page, selectors), lambda span: _inner(page, span))
+
+    def every(pieces: Column) -> Column:
+        return F.transform(element_spans(pieces), lambda span: _inner(pieces, span))
+
+    return _bound(_page(html), lambda page: _bound(_pieces(page, selectors), every))
 
 
 def has_element(html: str | Column, selectors: str) -> Column:

@@ -145,6 +145,19 @@ def test_selectors(one):
         html.select_text(page, "div > p")
 
 
+def test_pages_cost_what_they_hold(spark):
+    """A page of 6,000 tags is cut up once, not once per tag."""
+    import time
+
+    page = "<div class='a'>" + "".join(f"<p>{i} &amp; <b>x</b></p>" for i in range(1500)) + "</div>"
+    df = spark.createDataFrame([(page,)], "html string").select(
+        F.size(html.select_all("html", "p")).alias("n"), html.select_all("html", "p")[1499].alias("last"), F.length(html.select_text("html", ".a")).alias("size")
+    )
+    begin = time.time()
+    want = "".join(f"{i} & x" for i in range(1500))
+    assert tuple(df.first()) == (1500, "1499 & x", len(want)) and time.time() - begin < 20
+
+
 def test_scan_documents(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"%PDF-1.4 x")
     (tmp_path / "b.png").write_bytes(b"not really")
