@@ -34,13 +34,13 @@ class Tables:
         return table(self._spark, self._folder, name)
 
     def wide(self, df: DataFrame, key: str) -> DataFrame:
-        """A scan spread over all cores when its files have fewer splits than there are cores.
+        """A scan spread over all cores, for row-local work that is heavy per row.
 
-        For row-local work that is heavy per row; large inputs have splits enough and are
-        left as they are.  ``df`` must be a scan with projections only.
+        Splits do not tell how rows lie: a row group is read by one task, however many splits
+        its file has, so the rows are exchanged whatever their number.  ``df`` must be a scan with
+        projections only.
         """
-        cores = self._spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+        return df.repartition(max(self._spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()), key)
 
     @property
     def spark(self) -> SparkSession:

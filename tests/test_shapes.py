@@ -96,3 +96,22 @@ def test_repeated_headers_are_seen(spark, tmp_path):
     told = files.check_files(spark, str(tmp_path))
     assert told["duplicate_headers"] == ["email"] and not told["valid"] and told["row_count"] == 1
     assert files.read_batch_csv(spark, str(tmp_path)).first().given_name == "Ann"
+
+
+@pytest.mark.parametrize("name", ["page_elements", "license_pages"])
+def test_pages_of_one_row_group_are_spread(spark, tmp_path, name):
+    """A file of many splits and one row group."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        pages = spark.range(2000).select(
+            F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.sha2(F.col("id").cast("string"), 256), F.lit("</p>")).alias("html")
+        )
+        pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+        people = spark.range(20_000).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment"))
+        people.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+        rows = QUERIES[name].run(spark, str(tmp_path)).withColumn("part", F.spark_partition_id())
+        assert rows.select("part").distinct().count() >= 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
