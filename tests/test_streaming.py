@@ -127,6 +127,91 @@ def test_state_ends_with_what_it_holds_back():
     assert list(work.handleExpiredTimer(("k",), None, Info(8000))) == [] and not handle.value.exists()
 
 
+class Store(dict):
+    """The calls of a state variable that :class:`InOrder` makes, counted."""
+
+    calls = 0
+
+    def _of(name):
+        def call(self, *args):
+            Store.calls += 1
+            return {
+                "containsKey": lambda k: k in self, "getValue": lambda k: dict.get(self, k), "updateValue": lambda k, v: self.__setitem__(k, v),
+                "removeKey": lambda k: self.pop(k, None), "exists": lambda: "v" in self, "get": lambda: self["v"],
+                "update": lambda v: self.__setitem__("v", v), "clear": lambda: self.pop("v", None), "registerTimer": lambda ms: self.__setitem__(ms, ms),
+                "keys": lambda: list(dict.keys(self)),
+            }[name](*args)
+
+        return call
+
+    for name in ("containsKey", "getValue", "updateValue", "removeKey", "exists", "get", "update", "clear", "registerTimer", "keys"):
+        locals()[name] = _of(name)
+
+
+def in_order_by_hand(parts, block, ttl):
+    """Instants that an :class:`InOrder` lets through when the timers of a part come after it, and its calls to the store."""
+    import pandas as pd
+
+    from clearroll.streaming.ordered import INSTANT, InOrder
+
+    value, held, timers = Store(), Store(), Store()
+
+    class Handle:
+        getValueState = lambda self, *a: value
+        getMapState = lambda self, *a: held
+        registerTimer = timers.registerTimer
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    def decide(last, rows):
+        until, accepted = last[1] if last else None, []
+        for when in rows[INSTANT].tolist():
+            accepted.append(until is None or when > until)
+            until = when + ttl if accepted[-1] else until
+        return (None, until), accepted
+
+    work, out, Store.calls = InOrder(decide, ["x", INSTANT], ["x"], block, ""), [], 0
+    work.init(Handle())
+    for chunks, watermark in parts:
+        frames = (pd.DataFrame({"x": 0, INSTANT: c}) for c in chunks)
+        assert list(work.handleInputRows(("k",), frames, At(watermark))) == []
+        while any(ms < watermark for ms in dict.keys(timers)):
+            ms = min(dict.keys(timers))
+            timers.pop(ms)
+            out += [x for f in work.handleExpiredTimer(("k",), At(watermark), At(ms)) for x in f[INSTANT].tolist()]
+    return out, Store.calls, dict(held), dict(value)
+
+
+def test_a_key_with_few_rows_costs_few_calls():
+    """Fifteen rows over a month: some calls for the key, not for every row."""
+    day = 86_400_000_000
+    got, calls, held, value = in_order_by_hand([([[day * (2 * i + 1) for i in range(15)]], 100 * day // 1000)], 600_000_000, day)
+    assert got == [day * (2 * i + 1) for i in range(15)] and calls <= 20 and not held and not value
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_piles_lose_nothing(seed):
+    """Many rows in any order, over several batches, some of them before what is held already."""
+    import random
+
+    from clearroll.streaming.ordered import PILE
+
+    rand = random.Random(seed)
+    block, ttl, n = 1_000_000, 7_500, 4 * PILE
+    rows = [rand.randrange(5_000_000, 45_000_000) for _ in range(n)]
+    early = [w for w in rows if w < 30_000_000]
+    parts = [([early[: n // 4][::-1], early[n // 4 :]], 4_000), ([[w for w in rows if w >= 30_000_000]], 17_500), ([[45_500_000]], 60_000)]
+    want, until = [], -1
+    for when in sorted({*rows, 45_500_000}):
+        if when > until:
+            want.append(when)
+            until = when + ttl
+    got, _, held, value = in_order_by_hand(parts, block, ttl)
+    assert got == want and not held and not value
+
+
 def test_alerts_keep_their_cooldown_across_batches(spark, tmp_path):
     schema = "rule string, severity string, minutes bigint, breached boolean, s bigint"
     parts = [[("r", "warning", 8, True, at(m))] for m in range(5, 26)]
