@@ -13,7 +13,7 @@ from ...operators import audit, windows
 from ...schema import BATCH_FIELDS
 from ...sources import files, sinks
 from ...streaming import (
-    alert_stream, drain, high_risk_stream, job_progress_stream, latest_updates, request_limit_stream,
+    alert_stream, closing_tick, drain, high_risk_stream, job_progress_stream, latest_updates, request_limit_stream,
     retry_failed, retry_stream, retryable_requests, session_stream, stream_table, unique_requests, validate_arrivals,
     validation_rate_stream,
 )
@@ -125,13 +125,14 @@ def _(t):
 WITH RECURSIVE b AS (SELECT rule, severity, minutes, tick FROM {BREACHES} x WHERE breached),
 f AS (SELECT rule, severity, minutes, min(tick) AS fired_at FROM b GROUP BY rule, severity, minutes
   UNION ALL SELECT f.rule, f.severity, f.minutes, (SELECT min(tick) FROM b WHERE b.rule = f.rule AND b.tick >= f.fired_at + to_minutes(f.minutes)) FROM f
-  WHERE f.fired_at IS NOT NULL) SELECT * FROM f WHERE fired_at IS NOT NULL
-  AND time_bucket(INTERVAL 1 MINUTE, fired_at, TIMESTAMP '1970-01-01 00:00:00') + INTERVAL 1 MINUTE <= (SELECT max(tick) FROM b)) z""")
+  WHERE f.fired_at IS NOT NULL) SELECT * FROM f WHERE fired_at IS NOT NULL) z""")
 def _(t):
     breaches = windows.rule_breaches(tick_metrics(t), TICK_RULES)
     folder = work_folder(t.spark, "ticks")
     breaches.write.parquet(folder)
-    arriving = t.spark.readStream.schema(breaches.schema).option("maxFilesPerTrigger", 1000).parquet(folder)
+    closing_tick(t.spark.read.schema(breaches.schema).parquet(folder)).write.mode("append").parquet(folder)
+    # the files are in no order of time, so that all of them are one batch
+    arriving = t.spark.readStream.schema(breaches.schema).parquet(folder)
     return drain(alert_stream(arriving)).select("rule", "severity", ts("fired_at").alias("fired_at"))
 
 

@@ -8,6 +8,7 @@ from .ingest import retry_failed, retry_stream, validate_arrivals
 from .run import drain, latest_updates, stream_table
 from .transforms import (
     alert_stream,
+    closing_tick,
     high_risk_stream,
     job_progress_stream,
     request_limit_stream,
@@ -18,7 +19,7 @@ from .transforms import (
 )
 
 __all__ = [
-    "alert_stream", "drain", "high_risk_stream", "job_progress_stream", "latest_updates",
+    "alert_stream", "closing_tick", "drain", "high_risk_stream", "job_progress_stream", "latest_updates",
     "request_limit_stream", "retry_failed", "retry_stream", "retryable_requests", "session_stream",
     "stream_table", "unique_requests", "validate_arrivals", "validation_rate_stream",
 ]

@@ -85,7 +85,8 @@ def alert_stream(breaches: DataFrame, at: str = "tick", late: str = "0 seconds",
     ``breaches`` has rule, severity, minutes, breached and the time of the tick.  Ticks are
     decided in order of time, a block at once when the watermark has passed its end; a
     rule's state is when it last fired, and ends with the cooldown.  Ticks later than the
-    watermark are dropped: they fire nothing and move no cooldown.
+    watermark are dropped: they fire nothing and move no cooldown.  A tick without minutes,
+    see :func:`closing_tick`, only moves the watermark on.
     """
 
     def decide(held: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, list[bool]]:
@@ -98,11 +99,20 @@ def alert_stream(breaches: DataFrame, at: str = "tick", late: str = "0 seconds",
                 until = when + int(minutes) * 60_000_000
         return (None, until), fired
 
-    ticks = _timed(breaches, at, late).where("breached").select("rule", "severity", F.col("minutes").cast("long").alias("minutes"), at)
+    # the condition on the time of the tick keeps the filter behind the watermark, which closing ticks must reach
+    counts = F.when(F.col(at).isNotNull(), F.col("minutes").isNotNull())
+    ticks = _timed(breaches.where("breached"), at, late).where(counts).select("rule", "severity", F.col("minutes").cast("long").alias("minutes"), at)
     done = in_order(ticks, "rule", at, ["severity"], decide, "outcome string, until long", block)
     return done.select("rule", "severity", F.col(at).alias("fired_at"))
 
 
+def closing_tick(breaches: DataFrame, at: str = "tick", after: str = "1 day") -> DataFrame:
+    """A row for :func:`alert_stream` after all others: where no more ticks come, it closes the last block."""
+    last = breaches.where("breached").agg((F.max(at) + F.expr(f"INTERVAL {after}")).alias(at)).where(F.col(at).isNotNull())
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in breaches.schema.fields}
+    return last.select(*[F.col(at) if c == at else F.lit(True).alias(c) if c == "breached" else v.alias(c) for c, v in blank.items()])
+
+
 def high_risk_stream(log: DataFrame) -> DataFrame:
     """Audit events of high or critical risk, for an alert sink; no state."""
     return high_risk(log)

@@ -1,5 +1,7 @@
 """Each stream against its batch form, and the rules only a stream has."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +224,16 @@ def test_alerts_keep_their_cooldown_across_batches(spark, tmp_path):
     assert sorted(r.fired_at for r in got.collect()) == sorted(r.fired_at for r in batch.collect())
 
 
+def test_the_last_alert_fires_behind_a_closing_tick(spark, tmp_path):
+    schema = "rule string, severity string, minutes bigint, breached boolean, tick timestamp"
+    rows = [("r", "warning", 8, True, datetime(2024, 1, 1, 0, m)) for m in (1, 5, 9)] + [("q", "info", 1, False, datetime(2024, 1, 1, 0, 30))]
+    ticks = spark.createDataFrame(rows, schema)
+    ticks.write.parquet(str(tmp_path / "in"))
+    S.closing_tick(ticks).write.mode("append").parquet(str(tmp_path / "in"))
+    got = S.drain(S.alert_stream(spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "in"))), folder=str(tmp_path / "out"))
+    assert sorted((r.rule, r.fired_at.minute) for r in got.collect()) == [("r", 1), ("r", 9)]
+
+
 def test_sessions(spark, tmp_path):
     stream = files_of(spark, tmp_path, [("a", at(0)), ("a", at(20)), ("a", at(60))], [("b", at(600))], schema=SCHEMA)
     got = S.drain(S.session_stream(timed(stream), "k", "at"), folder=str(tmp_path / "out"))
