@@ -133,6 +133,10 @@ def near_names(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     )
 
 
+#: Candidates of a block that may hold a word; a word that more hold is met in groups of equal addresses only.
+FEW = 20
+
+
 def best_address_match(
     asked: DataFrame, candidates: DataFrame, block: str, suggestions: int = 5, query: str = "provider_id"
 ) -> DataFrame:
@@ -141,21 +145,83 @@ def best_address_match(
     ``asked`` has the query id, ``address`` and the block column; ``candidates`` the
     block column, ``formatted_address``, ``place_id`` and ``types``.  Equal addresses are
     asked once, however many records share one, and the answer is looked up by address.
-    Candidates are ranked per address with the cut made before the exchange; suggestions
-    are listed only below a confidence of .8.
+    Suggestions are listed only below a confidence of .8.
+
+    Confidence is that of the types plus a share of common words, so not all pairs of a block
+    are looked at.  An address meets the candidates it shares a word with that at most
+    :data:`FEW` hold.  By its other words it differs from few addresses of its block: those with the
+    same ones and as many words are answered together, by the first candidates of every
+    base confidence and set of such words.  A candidate that is not among these comes behind
+    all of them for each address of the group, unless it shares a rare word and is met by that.
     """
+    most = suggestions + 1
     question = F.concat_ws("\x01", block, "address")
     questions = asked.where(F.col(block).isNotNull() & F.col("address").isNotNull()).withColumn("_q", question)
-    pairs = questions.select("_q", "address", block).distinct().join(candidates.distinct(), block)
-    confidence = scores.stable(scores.address_match_confidence(F.col("types"), "formatted_address", "address"))
-    order = Window.partitionBy("_q").orderBy(F.col("confidence").desc(), "formatted_address", "place_id")
-    ranked = (
-        pairs.withColumn("confidence", confidence)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= suggestions + 1)
-    )
-    entry = F.struct("rank", "formatted_address", "place_id", "confidence", scores.address_type_ok(F.col("types")).alias("valid"))
-    grouped = ranked.groupBy("_q").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+    distinct = questions.select("_q", "address", block).distinct()
+    sought = distinct.select(
+        "_q", "address", block, F.size(text.words("address")).alias("_n"), F.explode_outer(text.words("address")).alias("_word")
+    )
+    known = candidates.where(F.col(block).isNotNull()).distinct().select(block, F.struct(*candidates.columns).alias("_c"))
+    base = scores.address_match_confidence(F.col("_c.types"), F.lit(""), F.lit(""))
+    held = known.select(block, "_c", F.explode_outer(text.words("_c.formatted_address")).alias("_word"))
+    of_word = Window.partitionBy(block, "_word").orderBy("_c")
+    index = (
+        held.join(sought.select(block, "_word").distinct(), [block, "_word"], "left_semi")
+        .withColumn("_at", F.row_number().over(of_word))
+        .where(F.col("_at") <= FEW + 1)
+        .groupBy(block, "_word")
+        .agg(F.collect_list("_c").alias("_near"))
+        .withColumn("_often", F.size("_near") > FEW)
+    )
+
+    def often() -> Column:
+        return F.sort_array(F.collect_set(F.when(F.col("_often"), F.col("_word")))).alias("_often")
+
+    met = sought.join(index, [block, "_word"], "left").groupBy("_q", "address", block, "_n").agg(
+        often(), F.flatten(F.collect_list(F.when(~F.col("_often"), F.col("_near")))).alias("_near")
+    )
+    same = Window.partitionBy(block, "_base", "_held").orderBy("_c.formatted_address", "_c.place_id")
+    firsts = (
+        held.join(index.where("_often").select(block, "_word", "_often"), [block, "_word"], "left")
+        .groupBy(block, "_c")
+        .agg(often())
+        .select(block, "_c", base.alias("_base"), F.col("_often").alias("_held"))
+        .withColumn("_at", F.row_number().over(same))
+        .where(F.col("_at") <= most)
+        .groupBy(block, "_base", "_held")
+        .agg(F.collect_list("_c").alias("_first"))
+    )
+    share = F.when(F.col("_n") > 0, F.size(F.array_intersect("_often", "_held")) / F.col("_n")).otherwise(F.lit(0.0))
+    likely = scores.stable(F.least(F.lit(1.0), F.col("_base") + 0.2 * share))
+    group = Window.partitionBy(block, "_n", "_often").orderBy(F.desc("_likely"), "_c.formatted_address", "_c.place_id")
+    general = (
+        met.select(block, "_n", "_often").distinct()
+        .join(firsts, block)
+        .withColumn("_likely", likely)
+        .withColumn("_c", F.explode("_first"))
+        .withColumn("_at", F.row_number().over(group))
+        .where(F.col("_at") <= most)
+        .groupBy(block, "_n", "_often")
+        .agg(F.collect_list("_c").alias("_first"))
+    )
+
+    def judged(c: Column) -> Column:
+        confidence = scores.stable(scores.address_match_confidence(c["types"], c["formatted_address"], F.col("address")))
+        return F.struct(
+            (-confidence).alias("minus"), c["formatted_address"].alias("formatted_address"), c["place_id"].alias("place_id"),
+            scores.address_type_ok(c["types"]).alias("valid"),
+        )
+
+    def entry(x: Column, i: Column) -> Column:
+        return F.struct(
+            (i + 1).alias("rank"), x["formatted_address"].alias("formatted_address"), x["place_id"].alias("place_id"),
+            (-x["minus"]).alias("confidence"), x["valid"].alias("valid"),
+        )
+
+    met_or_first = F.array_distinct(F.concat("_near", "_first"))
+    grouped = met.join(general, [block, "_n", "_often"]).select(
+        "_q", F.transform(F.slice(F.sort_array(F.transform(met_or_first, judged)), 1, most), entry).alias("all")
+    )
     answered = attach(questions, grouped, F.col("_q"), F.col("_q"), "_a", query)
     every = F.col("_a.all")
     best = F.try_element_at(every, F.lit(1))

@@ -436,3 +436,50 @@ def test_search_takes_wildcards_literally(spark):
     df = spark.createDataFrame([("a%b",), ("axb",), ("A%B",)], "given_name string")
     assert filters.search(df, "a%b", ["given_name"]).count() == 2
     assert filters.search(df, "", ["given_name"]).count() == 3
+
+
+def addresses(spark, n, streets, blocks):
+    """Addresses and candidates by formula: numbers are rare words, streets frequent ones; some rows repeat, some parts are missing."""
+    number, street = F.concat((F.col("id") % 97).cast("string"), F.lit(" ")), F.concat(F.lit("Way "), (F.col("id") * 7 % streets).cast("string"))
+    block = (F.col("id") % blocks).cast("string")
+    asked = spark.range(n).select(
+        F.col("id").alias("provider_id"), F.when(F.col("id") % 50 != 3, F.concat(number, street, F.when(F.col("id") % 3 == 0, " North").otherwise(""))).alias("address"),
+        F.when(F.col("id") % 41 != 0, block).alias("block"),
+    )
+    kind = F.when(F.col("id") % 3 == 0, "street_address").when(F.col("id") % 3 == 1, "route").otherwise("locality")
+    found = spark.range(n).select(
+        block.alias("block"), F.when(F.col("id") % 31 != 5, F.concat((F.col("id") * 5 % 89).cast("string"), F.lit(" "), street)).alias("formatted_address"),
+        F.when(F.col("id") % 23 != 0, F.concat(F.lit("pl"), F.col("id").cast("string"))).alias("place_id"), F.array(kind).alias("types"),
+    )
+    return asked, found.unionByName(found.where("place_id like '%7'"))
+
+
+@pytest.mark.parametrize("n,streets,blocks", [(400, 5, 2), (300, 40, 3), (500, 2, 1)])
+def test_best_addresses_are_those_of_all_pairs(spark, n, streets, blocks):
+    asked, found = addresses(spark, n, streets, blocks)
+    got = {r.provider_id: r for r in matching.best_address_match(asked, found, "block").collect()}
+    score = scores.stable(scores.address_match_confidence(F.col("types"), "formatted_address", "address"))
+    pairs = asked.where("address IS NOT NULL").join(found.distinct(), "block").withColumn("c", score)
+    every = pairs.groupBy("provider_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "formatted_address", "place_id"))).alias("l"))
+    want = {r.provider_id: [(-x.c, x.formatted_address, x.place_id) for x in r.l[:6]] for r in every.collect()}
+    assert got.keys() == want.keys() and want
+    for k, rows in want.items():
+        g = got[k]
+        assert (g.confidence, g.formatted_address, g.place_id) == rows[0]
+        rest = rows[1:] if rows[0][0] < 0.8 else []
+        assert [(s.confidence, s.formatted_address, s.place_id) for s in g.suggestions] == rest
+        assert [s["rank"] for s in g.suggestions] == list(range(2, 2 + len(rest)))
+
+
+def test_a_full_block_of_addresses_is_no_product(spark):
+    """60,000 addresses and as many candidates of one block: 3.6 billion pairs."""
+    import time
+
+    number = F.concat(F.col("id").cast("string"), F.lit(" Main St"))
+    asked = spark.range(60_000).select(F.col("id").alias("provider_id"), number.alias("address"), F.lit("1").alias("block"))
+    found = spark.range(60_000).select(
+        F.lit("1").alias("block"), number.alias("formatted_address"), F.col("id").cast("string").alias("place_id"), F.array(F.lit("route")).alias("types")
+    )
+    begin = time.time()
+    best = matching.best_address_match(asked, found, "block").where(F.col("place_id") == F.col("provider_id").cast("string"))
+    assert best.count() == 60_000 and time.time() - begin < 90
