@@ -58,7 +58,7 @@ class InOrder(StatefulProcessor):
             chunk.columns = self.names  # names that are no Python identifiers do not come through
             if self.at:
                 chunk = chunk.drop(columns=self.at)
-            if chunk[INSTANT].hasnans:
+            if chunk[INSTANT].dtype != "int64":  # floats where the batch, maybe for other keys, holds rows without a time
                 chunk = chunk[chunk[INSTANT].notna()].astype({INSTANT: "int64"})
             if not len(chunk):
                 continue

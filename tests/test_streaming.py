@@ -224,6 +224,14 @@ def test_alerts_keep_their_cooldown_across_batches(spark, tmp_path):
     assert sorted(r.fired_at for r in got.collect()) == sorted(r.fired_at for r in batch.collect())
 
 
+def test_requests_without_a_time_count_for_nothing(spark, tmp_path):
+    rows = [("a", 1, "completed"), ("a", None, "failed"), ("b", 2, "completed"), ("z", 1000, "completed")]
+    stream = files_of(spark, tmp_path, rows, schema="k string, s bigint, status string")
+    keyed = stream.select("k", F.timestamp_seconds("s").alias("at"), "status")
+    got = S.drain(S.retryable_requests(keyed, "k", "at", late="0 seconds", block="1 second"), folder=str(tmp_path / "out"))
+    assert sorted(r.k for r in got.collect()) == ["a", "b"]
+
+
 def test_the_last_alert_fires_behind_a_closing_tick(spark, tmp_path):
     schema = "rule string, severity string, minutes bigint, breached boolean, tick timestamp"
     rows = [("r", "warning", 8, True, datetime(2024, 1, 1, 0, m)) for m in (1, 5, 9)] + [("q", "info", 1, False, datetime(2024, 1, 1, 0, 30))]
